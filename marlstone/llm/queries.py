@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import packing, simhash
+from marlstone.llm import decontam, packing, pii, simhash, substring_dedup
 from marlstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, tokenizer="word_bpe_49k.json", end_id=1)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.8)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=5)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
+    "op4_decontamination": op4_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
