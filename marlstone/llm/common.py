@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,16 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that Python objects of a few rows exist at a time."""
+def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Small slices of Arrow batches, of few rows and few bytes of text, so that few Python objects exist at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = int(np.clip(np.searchsorted(ends, before + size, "right") - at, 1, rows))
+            yield batch.slice(at, n)
+            at += n
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -157,8 +157,8 @@ def _stretches(docs: DataFrame, bitmap, lengths: list[int], id_col: str, text_co
 
 def _tiled(pairs: DataFrame, min_match: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            cols = part.to_pydict()
+        for batch in batches:
+            cols = batch.to_pydict()
             out = []
             for doc_id, item_id, doc, item in zip(cols["doc_id"], cols["item_id"], cols["tokens"], cols["item"]):
                 a, b = (np.array(x, np.int64).view(np.uint64) for x in (doc, item))

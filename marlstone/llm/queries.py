@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontam, packing, pii, simhash, substring_dedup
+from marlstone.llm import decontam, langid, packing, pii, simhash, substring_dedup
 from marlstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle_words=4, distance=4)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), folds=4, held_out=2, calibration=3, max_types=1 << 20)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, tokenizer="word_bpe_49k.json", end_id=1)
 
@@ -34,6 +38,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
