@@ -1,6 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words. Labelled texts with identity terms are
+A logistic model over the presence of words and of word beginnings, which inflected
+forms share. Labelled texts with identity terms are
 also seen with each term swapped for another of its group; the squared change of the
 score between the two is penalised, so mentions of a group carry no weight of their
 own. The model is fitted on a bounded sample of labelled rows; word counts and
@@ -33,8 +34,14 @@ IDENTITY_GROUPS = (
 )
 
 
+#: Beginnings of longer words count as features of their own.
+STEMS = (4, 5, 6)
+
+
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """Words in lower case, and their beginnings with a hyphen."""
+    words = set(WORD.findall((text or "").lower()))
+    return words.union(*([f"{w[:k]}-" for w in words if len(w) > k] for k in STEMS))
 
 
 @dataclass
@@ -77,7 +84,10 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
     swaps = [(i, a, b) for i, bag in enumerate(bags) for a, b in _swaps(bag, groups)]
     doc, out, into = np.array(swaps, np.int64).reshape(-1, 3).T
     n, w, bias = len(bags), np.zeros(size), 0.0
-    rate = 1 / (0.25 * (np.bincount(rows, minlength=n).max(initial=0) + 1) * max(np.bincount(cols, minlength=size).max(initial=0) / n, 1 / n) + 2 * penalty + ridge)
+    width = np.bincount(rows, minlength=n) + 1.0
+    # each weight's own step: the curvature is at most this diagonal
+    rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + penalty * np.isin(np.arange(size), np.r_[out, into]))
+    bias_rate = 1 / (0.25 * width.mean())
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(steps):
         z = np.bincount(rows, ahead[cols], n) + ahead_bias
@@ -91,7 +101,7 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
             slope, slope2 = p[doc] * (1 - p[doc]), p2 * (1 - p2)
             at_doc = np.bincount(doc, diff * (slope - slope2), n)
             grad += np.bincount(cols, at_doc[rows], size) + np.bincount(out, diff * slope2, size) - np.bincount(into, diff * slope2, size)
-        new, new_bias = ahead - rate * grad, ahead_bias - rate * miss.sum()
+        new, new_bias = ahead - rate * grad, ahead_bias - bias_rate * miss.sum()
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
