@@ -84,7 +84,9 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
     swaps = [(i, a, b) for i, bag in enumerate(bags) for a, b in _swaps(bag, groups)]
     doc, out, into = np.array(swaps, np.int64).reshape(-1, 3).T
     n, w, bias = len(bags), np.zeros(size), 0.0
-    width = np.bincount(rows, minlength=n) + 1.0
+    hot = labels.sum()
+    cost = np.where(labels == 1, n / (2 * hot), n / (2 * (n - hot)))  # both labels count the same in all
+    width = cost * (np.bincount(rows, minlength=n) + 1.0)
     # each weight's own step: the curvature is at most this diagonal
     rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + penalty * np.isin(np.arange(size), np.r_[out, into]))
     bias_rate = 1 / (0.25 * width.mean())
@@ -92,7 +94,7 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
     for _ in range(steps):
         z = np.bincount(rows, ahead[cols], n) + ahead_bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        miss = (p - labels) / n
+        miss = cost * (p - labels) / n
         grad = np.bincount(cols, miss[rows], size) + ridge * ahead
         if len(doc):  # (s(x) - s(x'))^2, s the score
             z2 = z[doc] - ahead[out] + ahead[into]
