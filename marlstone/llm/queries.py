@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import compress_quality, decontam, langid, packing, pii, quality_rules, simhash, substring_dedup, toxicity
+from marlstone.llm import compress_quality, decontam, langid, line_templates, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 from marlstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"), min_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0, threshold=0.3)
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
+    "op9_line_templates": op9_line_templates,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
