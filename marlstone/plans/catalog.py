@@ -1,10 +1,6 @@
 """The registered relational queries and their SQL counterparts."""
 
-from __future__ import annotations
+from marlstone.plans import documents, listings, rollups, states, texts  # noqa: F401
+from marlstone.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
