@@ -135,16 +135,20 @@ def find_personal_data(docs: DataFrame, accept: float = 0.5, id_col: str = "doc_
 
 
 def redact(docs: DataFrame, accept: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): every span replaced by its kind in angle brackets, longer spans first where they overlap."""
+    """(doc_id, text): every span replaced by its kind in angle brackets; of overlapping spans the one that starts first."""
     found = find_personal_data(docs, accept, id_col, text_col)
-    tagged = F.concat(*(F.transform(F.col(k.name), lambda s, n=k.name: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{n}>").alias("tag"))) for k in (*BASE_KINDS, *ADDED_KINDS)))
+
+    def tagged(kind: Kind) -> Column:
+        return F.transform(F.col(kind.name), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.name}>").alias("tag")))
+
+    every = F.concat(*map(tagged, (*BASE_KINDS, *ADDED_KINDS)))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         goes_on = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), s["tag"]).alias("out"))
         return F.when(s["start"] >= acc["at"], goes_on).otherwise(acc)
 
-    whole = F.aggregate(F.array_sort(tagged), begin, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    whole = F.aggregate(F.array_sort(every), begin, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
     return found.select("doc_id", whole.alias("text"))
 
 

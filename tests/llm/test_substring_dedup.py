@@ -1,0 +1,53 @@
+import duckdb
+from pyspark.sql import functions as F
+
+from helpers import ODD, documents, prose
+from marlstone.llm import queries, substring_dedup
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain(rows, min_words=5):
+    first, out = {}, set()
+    seen = []
+    for d, t in rows:
+        if d is not None:
+            seen += [(d, s, e, u) for s, e, u in substring_dedup.split_units(t or "", min_words)]
+    for d, s, e, u in sorted(seen):
+        if u in first:
+            if first[u] != (d, s):
+                out.add((d, s, e, *first[u]))
+        else:
+            first[u] = (d, s)
+    return out
+
+
+def test_equals_brute_force_and_offsets_hold(spark):
+    shared = prose(77, 60)
+    rows = [(i, prose(i, 40) + ("\n" + shared.upper() + "\n" if i % 3 == 0 else " ") + prose(1000 + i % 4, 20)) for i in range(30)]
+    found = {tuple(r) for r in substring_dedup.repeated_units(documents(spark, rows)).collect()}
+    assert found == plain(rows) and found
+    texts = dict(rows)
+    for d, s, e, kd, ks in found:
+        unit = texts[d][s:e]
+        assert texts[kd][ks : ks + len(unit)].lower().split() == unit.lower().split() and (kd, ks) < (d, s)
+
+
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(f'SELECT doc_id, start, "end", kept_doc_id, kept_start FROM ({queries.ORACLE_SQL["op6_substring_dedup"]})').fetchall()
+    found = [tuple(r) for r in queries.op6_substring_dedup(spark, SF).select("doc_id", "start", "end", "kept_doc_id", "kept_start").collect()]
+    assert sorted(found) == sorted(want)
+
+
+def test_removal():
+    text = "One two. Three four. Five.\nSix"
+    spans = [(s, e) for s, e, u in substring_dedup.split_units(text, 1) if u in (b"three four.", b"six")]
+    assert substring_dedup.remove_spans(text, spans) == "One two. Five.\n"
+
+
+def test_odd_rows(spark):
+    docs = documents(spark, [*ODD, (9, "a b c d e f g h")]).withColumn("high", F.lit(1)).withColumn("kept", F.lit(2))
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in substring_dedup.repeated_units(docs).collect()} == {(9, 4)}
+    assert substring_dedup.repeated_units(docs.limit(0)).collect() == []
