@@ -15,9 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import ASCII_SPACE
+from marlstone.llm.common import ASCII_SPACE, stash
 
-CLASSES = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "sentence": ".,;:?!'\"()-", "symbol": "#*$%&|<>"}
+#: Characters of a class, and the one that stands for all of them where they are counted.
+CLASSES = {"upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), "digit": ("0123456789", "0"), "sentence": (".,;:?!'\"()-", "."), "symbol": ("#*$%&|<>", "#"), "blank": (" \t\n\x0b\f\r", " ")}
+_FROM = "".join(chars for chars, _ in CLASSES.values())
+_TO = "".join(sign * len(chars) for chars, sign in CLASSES.values())
 #: The reference of documents whose language is null or has none.
 ANY = ""
 WINDOW = 5
@@ -28,10 +31,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, ASCII_SPACE), "")
 
@@ -40,8 +39,8 @@ def repeated_words(words: Column) -> Column:
     """Words in windows of five words that occur twice or more in the text, the first included."""
 
     def hashes(w: Column) -> Column:
-        n = F.size(w)
-        return F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        n = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
+        return F.transform(F.arrays_zip(*(F.slice(w, k + 1, n) for k in range(WINDOW))), lambda x: F.xxhash64(x))
 
     def positions(h: Column) -> Column:
         """Sorted starts of windows that occur twice or more."""
@@ -60,56 +59,64 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row for every row of docs: its words, counts, and character classes as c_<name>."""
+    """A row for every row of docs: its text, counts, and character classes as c_<name>."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
-    rows = rows.select("doc_id", "lang", "text", words_of(F.col("text")).alias("words"), F.length("text").alias("chars"))
+    rows = rows.select("*", words_of(F.col("text")).alias("words"), F.translate("text", _FROM, _TO).alias("signs"), F.length("text").alias("chars"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rest = {k: (F.col("chars") - _without(F.col("text"), v)).cast("long") for k, v in CLASSES.items()}
-    blanks = F.col("chars") - _without(F.col("text"), " \t\n\x0b\f\r")
+    signs = {k: (F.col("chars") - F.length(F.replace("signs", F.lit(sign), F.lit("")))).cast("long").alias(f"c_{k}") for k, (_, sign) in CLASSES.items()}
     rows = rows.select(
         "doc_id",
         "lang",
-        "words",
+        "text",
         F.size("words").cast("long").alias("n_words"),
-        (F.col("chars") - blanks).cast("long").alias("word_chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        *(v.alias(f"c_{k}") for k, v in rest.items()),
+        *signs.values(),
         (F.octet_length("text") - F.col("chars")).cast("long").alias("c_accent"),
+        F.col("chars").cast("long").alias("chars"),
     )
-    known = reduce(Column.__add__, (F.col(f"c_{k}") for k in (*CLASSES, "accent")))
+    rows = rows.withColumn("word_chars", F.col("chars") - F.col("c_blank"))
+    known = reduce(Column.__add__, (F.col(c) for c in CLASS_COLUMNS[:-1]))
     return rows.withColumn("c_other", F.greatest(F.lit(0), F.col("word_chars") - known))
 
 
-CLASS_COLUMNS = [f"c_{k}" for k in (*CLASSES, "accent", "other")]
-
+CLASS_COLUMNS = [f"c_{k}" for k in (*(k for k in CLASSES if k != "blank"), "accent", "other")]
 
-def short_words(words: Column, max_chars: int) -> Column:
-    """The words of at most max_chars letters, in lower case and without punctuation around them."""
-    plain = F.transform(F.filter(words, lambda w: F.length(w) <= max_chars + 1), lambda w: F.lower(F.translate(w, ".,;:?!\"()", "")))
-    return F.filter(plain, lambda w: F.length(w).between(1, max_chars))
 
+def short_words(text: Column, max_chars: int) -> Column:
+    """Words of at most max_chars characters, ASCII in lower case; punctuation and symbols end a word."""
+    ends = "".join(CLASSES[k][0] for k in ("sentence", "symbol", "blank"))
+    upper = CLASSES["upper"][0]
+    plain = F.translate(text, ends + upper, " " * len(ends) + upper.lower())
+    return F.filter(F.split(plain, " "), lambda w: F.length(w).between(1, max_chars))
 
-def class_references(counts: DataFrame) -> DataFrame:
-    """(lang, classes): shares of the character classes in all texts of a language, and of all under ANY."""
-    sums = counts.groupBy(F.coalesce("lang", F.lit(ANY)).alias("lang")).agg(*(F.sum(c).cast("double").alias(c) for c in CLASS_COLUMNS))
-    every = sums.where(F.col("lang") != ANY).unionByName(sums.agg(*(F.sum(c).alias(c) for c in CLASS_COLUMNS)).select(F.lit(ANY).alias("lang"), *CLASS_COLUMNS))
-    total = F.greatest(F.lit(1.0), reduce(Column.__add__, map(F.col, CLASS_COLUMNS)))
-    return every.select("lang", F.array(*(F.col(c) / total for c in CLASS_COLUMNS)).alias("classes"))
 
-
-def word_references(words: DataFrame, common: int, max_chars: int) -> DataFrame:
-    """(lang, common, shares): the most common short words of all texts of a language and their shares of its words."""
-    short = words.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.explode(short_words(F.col("words"), max_chars)).alias("word"))
-    counts = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    total = words.groupBy(F.coalesce("lang", F.lit(ANY)).alias("lang")).agg(F.sum(F.size("words").cast("long")).alias("total"))
-    per_lang = counts.join(total, "lang").select("lang", "word", "n", "total").where(F.col("lang") != ANY)
-    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).crossJoin(total.agg(F.sum("total").alias("total"))).select(F.lit(ANY).alias("lang"), "word", "n", "total")
+def word_references(docs: DataFrame, common: int, max_chars: int) -> dict[str, list[str]]:
+    """The most common short words of all texts of each language, and of all texts under ANY."""
+    short = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.explode(short_words(F.coalesce("text", F.lit("")), max_chars)).alias("word"))
+    counts = stash(short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "short-words")
+    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "word", "n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = per_lang.unionByName(pooled).withColumn("rank", rank).where(F.col("rank") <= common)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "word", (F.col("n") / F.col("total")).alias("share"))))
-    return top.groupBy("lang").agg(listed.alias("top")).select("lang", F.col("top.word").alias("common"), F.col("top.share").alias("shares"))
+    top = counts.where(F.col("lang") != ANY).unionByName(pooled).withColumn("rank", rank).where(F.col("rank") <= common)
+    listed = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))
+    return {r["lang"]: [t["word"] for t in r["top"]] for r in listed.collect()}  # `common` words a language
+
+
+def shares(counts: DataFrame, common: int) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """Of each language, and of all texts under ANY: shares of the character classes, and of its common words."""
+    n_words = [F.sum(F.coalesce(F.get("common", F.lit(i)), F.lit(0))).alias(f"w_{i}") for i in range(common)]
+    sums = counts.groupBy("reference").agg(*(F.sum(c).alias(c) for c in CLASS_COLUMNS), F.sum("n_words").alias("n_words"), *n_words)
+    pooled = counts.agg(*(F.sum(c).alias(c) for c in CLASS_COLUMNS), F.sum("n_words").alias("n_words"), *(F.lit(0).alias(f"w_{i}") for i in range(common)))
+    classes, words = {}, {}
+    for r in sums.unionByName(pooled.withColumn("reference", F.lit(None).cast("string"))).collect():  # a row a language
+        total = max(1, sum(r[c] or 0 for c in CLASS_COLUMNS))
+        key = ANY if r["reference"] is None else r["reference"]
+        if key not in classes or r["reference"] is None:
+            classes[key] = [(r[c] or 0) / total for c in CLASS_COLUMNS]
+        if r["reference"] is not None:
+            words[key] = [r[f"w_{i}"] / max(1, r["n_words"]) for i in range(common)]
+    return classes, words
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -126,42 +133,46 @@ def _with_rest(shares: Column) -> Column:
     return F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))))
 
 
-def judge(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 40, max_class_divergence: float = 0.10, max_word_divergence: float = 0.22, common: int = 32, max_chars: int = 5) -> DataFrame:
+def _of_language(values: dict[str, list], empty: Column) -> Column:
+    """The list of the row's reference; a constant map, as references are few and short."""
+    if not values:
+        return empty
+    by_lang = F.create_map(*(x for lang, value in values.items() for x in (F.lit(lang), F.array(*map(F.lit, value)) if value else empty)))
+    return F.coalesce(F.try_element_at(by_lang, F.col("reference")), empty)
+
+
+def judge(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 40, max_class_divergence: float = 0.10, max_word_divergence: float = 0.10, chance: float = 3.0, common: int = 32, max_chars: int = 5) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence, word_divergence).
 
     A row for every row of docs. kept is false if the base rules fail or if the text has
-    guard_words or more and one of its divergences is above its bound. Null texts count
+    guard_words or more and one of its divergences is above its bound; for words, a text of
+    n words may stray by chance / n more. Null texts count
     as empty and fail the base rules; repeated rows and null ids are each judged. An
     empty table gives an empty result.
     """
-    counts = base_counts(docs)
-    plain = docs.select("lang", words_of(F.coalesce("text", F.lit(""))).alias("words"))
-    classes = class_references(counts.drop("words", "n_repeat_words", "n_dup_lines"))
-    references = classes.join(word_references(plain, common, max_chars), "lang", "left")
-    found = references.collect()  # a row of at most `common` words a language
-    none = F.expr("cast(array() as array<string>)")
-
-    def reference(column: str, empty: Column) -> Column:
-        entries = [(r["lang"], F.array(*map(F.lit, r[column])) if r[column] else empty) for r in found]
-        by_lang = F.create_map(*(x for lang, value in entries for x in (F.lit(lang), value))) if entries else F.create_map(F.lit(ANY), empty)
-        return F.coalesce(F.try_element_at(by_lang, F.coalesce("lang", F.lit(ANY))), F.try_element_at(by_lang, F.lit(ANY)), empty)
+    listed = word_references(docs, common, max_chars)
+    texts = F.expr("cast(array() as array<string>)")
+    reference = F.when(F.coalesce("lang", F.lit(ANY)).isin(list(listed)), F.coalesce("lang", F.lit(ANY))).otherwise(ANY)
+    counts = base_counts(docs).withColumn("reference", reference)
+
+    def counted(words: Column) -> Column:
+        return F.transform(_of_language(listed, texts), lambda w: F.size(words) - F.size(F.array_remove(words, w)))
 
+    common_counts = let(short_words(F.col("text"), max_chars), counted)
+    counts = stash(counts.withColumn("common", common_counts).drop("text"), "quality-counts")
+    classes, words = shares(counts, common)
     numbers = F.expr("cast(array() as array<double>)")
     total = F.greatest(F.lit(1), reduce(Column.__add__, map(F.col, CLASS_COLUMNS))).cast("double")
     own = F.array(*(F.col(c) / total for c in CLASS_COLUMNS))
-
-    def word_divergence(listed: Column) -> Column:
-        short = F.filter(short_words(F.col("words"), max_chars), lambda w: F.array_contains(listed, w))
-        shares = let(short, lambda s: F.transform(listed, lambda c: F.size(F.filter(s, lambda w: w == c)) / F.greatest(F.lit(1), F.size("words"))))
-        return divergence(_with_rest(shares), _with_rest(reference("shares", numbers)))
-
+    own_words = F.transform("common", lambda n: n / F.greatest(F.lit(1), F.col("n_words")))
+    usual_words = F.slice(_of_language(words, numbers), 1, F.greatest(F.size("common"), F.lit(0)))
     judged = counts.withColumns(
         {
-            "class_divergence": divergence(own, reference("classes", numbers)),
-            "word_divergence": let(reference("common", none), word_divergence),
+            "class_divergence": divergence(own, _of_language(classes, numbers)),
+            "word_divergence": divergence(_with_rest(own_words), _with_rest(usual_words)),
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
         }
     )
-    strange = (F.col("class_divergence") > max_class_divergence) | (F.col("word_divergence") > max_word_divergence)
+    strange = (F.col("class_divergence") > max_class_divergence) | (F.col("word_divergence") > max_word_divergence + chance / F.greatest(F.lit(1), F.col("n_words")))
     kept = ~F.col("base_failed") & ~((F.col("n_words") >= guard_words) & F.coalesce(strange, F.lit(False)))
     return judged.select("doc_id", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_divergence", "word_divergence")
