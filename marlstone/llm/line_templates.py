@@ -16,61 +16,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import ASCII_SPACE, stash
+from marlstone.llm.common import stash
 
 VARIABLE = "<*>"
+#: What a text may have that masking changes; most texts have nothing of it and pass as they are.
+_TO_MASK = r"[0-9\t\x0B\f\r]|\x20\x20|\x20\n|\n\x20|^\x20|\x20$"
+_BLANKS = r"[\x20\t\x0B\f\r]+"
+_EDGES = r"(?<![^\n])\x20|\x20(?![^\n])"
 #: A token that has a digit; it is tried at the beginning of tokens only.
-_HAS_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+_HAS_DIGIT = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+"
 
 
-def masked(line: Column) -> Column:
-    """The line in lower case with single blanks, and variables for tokens with digits."""
-    plain = F.trim(F.regexp_replace(F.lower(line), ASCII_SPACE, " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(plain)
+def masked_lines(text: Column) -> Column:
+    """The lines of a text with single blanks, none at the ends, and variables for tokens with digits."""
+    plain = F.regexp_replace(F.regexp_replace(text, _BLANKS, " "), _EDGES, "")
+    return F.split(F.when(text.rlike(_TO_MASK), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(text), "\n")
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _leaf(line: Column, depth: int) -> Column:
-    count = F.length(line) - F.length(F.translate(line, " ", ""))
-    return F.xxhash64(count, F.substring_index(line, " ", depth))
-
-
-def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similarity: float, constant: float, min_tokens: int) -> DataFrame:
+def recurring_lines(docs: DataFrame, occurrences: DataFrame, min_docs: int, similarity: float, constant: float) -> DataFrame:
     """(line, template, first_doc, n_docs): hashes of the masked lines to drop, and of their templates.
 
-    docs has doc_id and text.
+    docs has doc_id and text, occurrences doc_id, leaf and line.
     """
-    once = F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), masked))).alias("masked")
-    tokens = F.length("masked") - F.length(F.translate("masked", " ", "")) + 1
-    lines = docs.where("doc_id is not null").select("doc_id", once).where((F.col("masked") != "") & (tokens >= min_tokens))
-    lines = lines.select("doc_id", "masked", _leaf(F.col("masked"), depth).alias("leaf"), F.xxhash64("masked").alias("line"))
-    counts = stash(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "lines")
-
-    in_leaf = counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= min_docs)
+    counts = stash(occurrences.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-counts")
     whole = counts.where(F.col("n") >= min_docs).select("line", F.col("line").alias("template"), "first_doc", F.col("n").alias("n_docs"))
 
-    # leaves of several different lines, none of which is told yet
-    open_lines = counts.where(F.col("n") < min_docs).join(in_leaf.where("kinds > 1").select("leaf"), "leaf", "left_semi")
-    shared = open_lines.groupBy("leaf").agg(F.sum("n").alias("leaf_n")).where(F.col("leaf_n") >= min_docs)
-    open_lines = open_lines.join(shared, "leaf")
-    texts = lines.select("line", "masked", "doc_id").join(open_lines.select("line", "leaf", "n", "leaf_n"), "line")
-    texts = stash(texts.select("leaf", "line", "n", "leaf_n", "doc_id", "masked"), "open-lines")
-    each = texts.groupBy("leaf", "line", "n", "leaf_n").agg(F.min("masked").alias("masked"))
-    tokens = each.select("leaf", "line", "n", "leaf_n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    # lines that don't recur by themselves, in leaves that do
+    rare = counts.where(F.col("n") < min_docs)
+    leaves = rare.groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count(F.lit(1)).alias("kinds")).where((F.col("leaf_n") >= min_docs) & (F.col("kinds") > 1))
+    rare = stash(rare.join(leaves.select("leaf", "leaf_n"), "leaf"), "rare-lines")
+
+    # their tokens, each different line once, out of its first document
+    first = docs.join(rare.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = first.select("doc_id", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).select("doc_id", "masked", F.xxhash64("masked").alias("line"))
+    each = texts.join(rare.withColumnRenamed("first_doc", "doc_id"), ["doc_id", "line"]).dropDuplicates(["line"])
+    each = stash(each.select("leaf", "line", "n", "leaf_n", F.split("masked", " ").alias("tokens")), "rare-tokens")
+    tokens = each.select("leaf", "line", "n", "leaf_n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
     held = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("token_n"), F.max("leaf_n").alias("leaf_n"))
     template = held.where(F.col("token_n") >= F.col("leaf_n") * constant).select("leaf", "at", "token")
-    alike = (
-        tokens.join(template, ["leaf", "at", "token"], "left_semi")
-        .groupBy("leaf", "line")
-        .agg(F.count(F.lit(1)).alias("same"))
-        .join(each.select("leaf", "line", F.size(F.split("masked", " ")).alias("size")), ["leaf", "line"])
-        .where(F.col("same") >= F.col("size") * similarity)
-        .select("leaf", "line")
-    )
-    members = texts.select("leaf", "line", "doc_id").join(alike, ["leaf", "line"], "left_semi")
+    alike = tokens.join(template, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "line", "size").agg(F.count(F.lit(1)).alias("same"))
+    alike = stash(alike.where(F.col("same") >= F.col("size") * similarity).select("leaf", "line"), "alike-lines")
+    members = occurrences.join(alike.select("line"), "line", "left_semi")
     wide = members.groupBy("leaf").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
     general = alike.join(wide, "leaf").select("line", F.col("leaf").alias("template"), "first_doc", "n_docs")
     return whole.unionByName(general)
@@ -79,22 +69,29 @@ def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similarity: floa
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, constant: float = 0.6, min_tokens: int = 3) -> DataFrame:
     """docs with the text of the lines that stay, and n_lines and n_dropped of every row.
 
-    A template recurs if at least min_docs different doc_ids have it. Lines of fewer
-    tokens than min_tokens and blank lines always stay, as do the lines of the
-    template's earliest document. Null texts stay null. Rows with a null id are left as
-    they are; rows that repeat an id count as one document. All other columns pass
-    through; an empty table gives an empty result.
+    A template recurs if at least min_docs documents have it. Lines of fewer tokens than
+    min_tokens and blank lines always stay, as do the lines of the template's earliest
+    document. Null texts stay null. Rows with a null id are left as they are; a row that
+    repeats an id may count as another document. All other columns pass through, but for
+    n_lines and n_dropped, which are replaced; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stash(recurring_lines(rows, min_docs, depth, similarity, constant, min_tokens), "recurring")
-    hashes = F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(masked(x))))).alias("line")
-    there = rows.where("doc_id is not null").select("doc_id", hashes)
-    drops = there.join(told.select("line", "first_doc"), "line").where("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_set("line").alias("__drop"))
-    drops = drops.withColumnRenamed("doc_id", "__id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    lines = rows.select("doc_id", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).withColumn("n_tokens", _tokens(F.col("masked")))
+    lines = lines.where((F.col("masked") != "") & (F.col("n_tokens") >= min_tokens))
+    leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", depth))
+    occurrences = stash(lines.select("doc_id", leaf.alias("leaf"), F.xxhash64("masked").alias("line")), "line-hashes")
+    told = stash(recurring_lines(rows, occurrences, min_docs, similarity, constant), "recurring")
+    gone = occurrences.select("doc_id", "line").join(told.select("line", "first_doc"), "line").where("doc_id <> first_doc")
+    drops = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__drop"))  # lines of one document
+
     joined = docs.join(drops, docs["doc_id"] == drops["__id"], "left")
-    stays = F.filter(lines_of(F.col("text")), lambda x: ~F.array_contains("__drop", F.xxhash64(masked(x))))
-    kept = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    before = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text"))))
-    after = F.when(F.col("__drop").isNull(), before).otherwise(F.size(stays))
-    passed = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(*passed, kept.alias("text"), before.cast("long").alias("n_lines"), (before - after).cast("long").alias("n_dropped")).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    pairs = F.arrays_zip(F.split("text", "\n").alias("line"), F.transform(masked_lines(F.col("text")), lambda m: F.xxhash64(m)).alias("hash"))
+    stays = F.transform(F.filter(pairs, lambda p: ~F.array_contains("__drop", p["hash"])), lambda p: p["line"])
+    cut = F.when(F.col("__drop").isNotNull() & F.col("text").isNotNull(), stays)
+    before = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    passed = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    told_rows = joined.select(*(docs[c] for c in passed), docs["text"], before.cast("long").alias("n_lines"), cut.alias("__stays"))
+    text = F.when(F.col("__stays").isNull(), F.col("text")).otherwise(F.array_join("__stays", "\n"))
+    dropped = F.when(F.col("__stays").isNull(), 0).otherwise(F.col("n_lines") - F.size("__stays"))
+    shown = {"text": text.alias("text")}
+    return told_rows.select(*(shown.get(c, F.col(c)) for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", dropped.cast("long").alias("n_dropped"))

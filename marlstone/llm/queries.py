@@ -67,4 +67,30 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MASKED = """
+raw AS (SELECT doc_id, unnest(range(0, len(parts))) AS pos, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+masked AS (SELECT doc_id, pos, array_to_string(list_transform(string_split(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS line FROM raw)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": """
+WITH parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS p FROM documents),
+each AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS unit FROM parts),
+placed AS (SELECT doc_id, unit, CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(unit) - 1 AS BIGINT) AS start FROM each),
+units AS (SELECT doc_id, start, start + length(unit) AS "end", trim(regexp_replace(lower(unit), '[ \\t-\\r]+', ' ', 'g')) AS norm FROM placed),
+ranked AS (SELECT *, row_number() OVER w AS turn, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+  FROM units WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
+SELECT doc_id, start, "end", kept_doc_id, kept_start FROM ranked WHERE turn > 1""",
+    "op9_line_templates": f"""
+WITH {_MASKED},
+lines AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS toks FROM masked WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+counts AS (SELECT line, any_value(toks) AS toks, CAST(len(any_value(toks)) AS VARCHAR) || ' ' || array_to_string(any_value(toks)[1:3], ' ') AS leaf, count(*) AS n, min(doc_id) AS first_doc FROM lines GROUP BY line),
+opened AS (SELECT *, sum(n) OVER (PARTITION BY leaf) AS leaf_n FROM counts WHERE n < 5),
+tokens AS (SELECT leaf, leaf_n, line, n, unnest(range(0, len(toks))) AS pos, unnest(toks) AS tok FROM opened WHERE leaf_n >= 5),
+template AS (SELECT leaf, pos, tok FROM tokens GROUP BY ALL HAVING sum(n) >= max(leaf_n) * 0.6),
+alike AS (SELECT tokens.leaf, line FROM tokens JOIN template USING (leaf, pos, tok) GROUP BY 1, 2 HAVING count(*) >= len(string_split(line, ' ')) * 0.7),
+wide AS (SELECT leaf, min(doc_id) AS first_doc FROM alike JOIN lines USING (line) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT line, first_doc FROM counts WHERE n >= 5 UNION ALL SELECT line, first_doc FROM alike JOIN wide USING (leaf)),
+marked AS (SELECT raw.doc_id, raw.pos, raw.line, told.line IS NOT NULL AND raw.doc_id <> told.first_doc AS gone FROM raw JOIN masked ON raw.doc_id = masked.doc_id AND raw.pos = masked.pos LEFT JOIN told ON told.line = masked.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5 FROM marked GROUP BY doc_id""",
+}
