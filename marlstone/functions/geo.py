@@ -12,7 +12,7 @@ def haversine_km(lat: Column, lon: Column, to_lat: Column, to_lon: Column, decim
     """Great-circle distance in kilometres, rounded half up."""
     d_lat, d_lon = F.radians(to_lat - lat) / 2, F.radians(to_lon - lon) / 2
     a = F.sin(d_lat) * F.sin(d_lat) + F.cos(F.radians(lat)) * F.cos(F.radians(to_lat)) * F.sin(d_lon) * F.sin(d_lon)
-    return F.round(2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))), decimals)
+    return F.round(2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a))), decimals)
 
 
 def planar_square(lat: Column, lon: Column, to_lat: Column, to_lon: Column) -> Column:

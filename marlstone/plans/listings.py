@@ -176,9 +176,9 @@ def _places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT s_suppkey, round(2 * 6371.0 * asin(sqrt(least(1.0,
+SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0 * asin(sqrt(least(1.0,
     sin(radians(40.4 - lat) / 2) * sin(radians(40.4 - lat) / 2)
-    + cos(radians(lat)) * cos(radians(40.4)) * sin(radians(-3.7 - lon) / 2) * sin(radians(-3.7 - lon) / 2)))), 2) AS km
+    + cos(radians(lat)) * cos(radians(40.4)) * sin(radians(-3.7 - lon) / 2) * sin(radians(-3.7 - lon) / 2)))), 2) END AS km
 FROM (SELECT s_suppkey, {_PLACE.format(k='s_suppkey')} FROM supplier)""")
 def geo_distance(spark: SparkSession, sf: str) -> DataFrame:
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(40.4), F.lit(-3.7))

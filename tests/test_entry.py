@@ -1,0 +1,25 @@
+import subprocess
+import sys
+from pathlib import Path
+
+import __spark_entry__ as entry
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.count() > 0 and "n_items" in df.columns
+
+
+def test_every_sql_has_its_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_imports_without_the_corpus_subpackage(tmp_path):
+    """The rest works where the corpus subpackage and its pipeline aren't there."""
+    for p in ("marlstone", "__spark_entry__.py"):
+        subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "marlstone/llm")], check=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q and not any(n[:3] == 'op1' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
