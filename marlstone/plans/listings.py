@@ -192,3 +192,40 @@ def geo_null_last(spark: SparkSession, sf: str) -> DataFrame:
     square = geo.planar_square(F.col("lat"), F.col("lon"), F.lit(40.5), F.lit(-3.5))
     keys = paging.nearest(F.col("lat"), square, F.asc("s_suppkey"), descending=True)
     return paging.page(_places(spark, sf), keys, 95).select("s_suppkey", "lat")
+
+
+@query("SELECT o_orderkey, min(l_partkey) AS first_part, min(strftime(l_shipdate, '%Y-%m-%d')) AS first_ship FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def collapsed_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    """Least child attributes beside each parent, without multiplying parents first."""
+    items = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return rollup.with_child_counts(table(spark, sf, "orders").select("o_orderkey"), items, ["o_orderkey"], first_part=F.min("l_partkey"), first_ship=F.min(F.date_format("l_shipdate", "yyyy-MM-dd")))
+
+
+@query(f"""
+SELECT s_suppkey, km FROM (SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0 * asin(sqrt(least(1.0,
+    sin(radians(-33.9 - lat) / 2) * sin(radians(-33.9 - lat) / 2)
+    + cos(radians(lat)) * cos(radians(-33.9)) * sin(radians(18.4 - lon) / 2) * sin(radians(18.4 - lon) / 2)))), 0) END AS km
+  FROM (SELECT s_suppkey, {_PLACE.format(k='s_suppkey')} FROM supplier))
+ORDER BY km DESC NULLS FIRST, s_suppkey DESC LIMIT 25 OFFSET 5""")
+def exact_distance_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole order reversed: unknown places first, ties by key downwards."""
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(-33.9), F.lit(18.4), decimals=0)
+    return paging.page(_places(spark, sf).select("s_suppkey", km.alias("km")), [F.desc_nulls_first("km"), F.desc("s_suppkey")], 25, 5)
+
+
+@query()
+def geo_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Map links where both coordinates are known; engines write doubles differently, so no SQL."""
+    return _places(spark, sf).select("s_suppkey", geo.map_link(F.col("lat"), F.col("lon")).alias("link"))
+
+
+@query("""
+SELECT c_custkey, coalesce(string_agg(DISTINCT o_orderstatus, '' ORDER BY o_orderstatus), '') AS statuses, count(o_orderkey) AS n_orders, max(o_totalprice) AS largest
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 1 GROUP BY 1 ORDER BY n_orders DESC, c_custkey LIMIT 20""")
+def profile_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """One section of a profile for many subjects at once."""
+    orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    people = table(spark, sf, "customer").where("c_custkey % 50 = 1").select("c_custkey")
+    rows = rollup.with_child_counts(people, orders, ["c_custkey"], n_orders=F.count(F.lit(1)), largest=F.max("o_totalprice"), statuses=F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ""))
+    found = paging.page(rows, [F.desc("n_orders"), F.asc("c_custkey")], 20)
+    return found.select("c_custkey", F.coalesce("statuses", F.lit("")).alias("statuses"), "n_orders", "largest")

@@ -189,3 +189,37 @@ def sliding_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Exact admission is recursive: a refused request doesn't count. Beyond plain SQL."""
     requests = table(spark, sf, "events").select("event_id", "user_id", "ts")
     return admission.admit(requests, "user_id", "ts", "event_id", limit=3, seconds=86_400).select("event_id", "user_id", "admitted")
+
+
+@query("""
+WITH now AS (SELECT source, sha256(string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src1' GROUP BY 1),
+before AS (SELECT source, sha256(string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source NOT IN ('src2', 'src3') OR doc_id % 2 = 0 GROUP BY 1)
+SELECT source, CASE WHEN now.sha IS NULL THEN 'failed' WHEN now.sha = before.sha THEN 'unchanged' ELSE 'imported' END AS status FROM before LEFT JOIN now USING (source)""")
+def change_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """A source whose content hash is the known one needs no import; one without content failed."""
+
+    def hashes(df: DataFrame, name: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct("doc_id", "n_chars")))
+        listed = F.array_join(F.transform(parts, lambda x: x["n_chars"].cast("string")), ",")
+        return df.groupBy("source").agg(F.sha2(listed, 256).alias(name))
+
+    docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    now = hashes(docs.where("source <> 'src1'"), "now")
+    before = hashes(docs.where("source not in ('src2', 'src3') or doc_id % 2 = 0"), "before")
+    status = F.when(F.col("now").isNull(), "failed").when(F.col("now") == F.col("before"), "unchanged").otherwise("imported")
+    return before.join(now, "source", "left").select("source", status.alias("status"))
+
+
+@query()
+def json_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their payload as JSON text; engines differ in its spacing, so no SQL."""
+    from marlstone.sources import sinks
+
+    return sinks.with_json(table(spark, sf, "events"), ["event_id", "user_id", "value"]).select("event_id", "payload")
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'renamed' ELSE r_name END AS r_name FROM region UNION ALL SELECT 99, 'added'")
+def seeded_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    """A small dimension brought up to date from literal rows."""
+    seed = spark.createDataFrame([(1, "renamed"), (99, "added")], "r_regionkey int, r_name string")
+    return state.upsert(table(spark, sf, "region"), seed, ["r_regionkey"])
