@@ -10,8 +10,9 @@ coordinate difference exceeds d can't be within d bits and is discarded; what
 survives is verified on the fingerprints themselves.
 
 Only distinct fingerprints meet in buckets: exact copies are collapsed first by a
-grouped minimum. A bucket emits a spanning forest of its links, not its pairs, and
-holds eight bytes a distinct fingerprint.
+grouped minimum. A bucket emits a spanning forest of its links, not its pairs. A bucket
+that outgrows BUCKET_ROWS isn't held: it is put off and dealt out in pairs of blocks,
+each small enough, which together compare all its members.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from marlstone.llm.components import connected_components
 BITS = 64
 SEED = 42
 SHINGLE_BLOCK = 1 << 16
+#: Fingerprints of a bucket that one task takes at once.
+BUCKET_ROWS = 1 << 16
 
 
 def fingerprint(text: bytes, shingle_words: int = 4) -> int:
@@ -106,60 +109,94 @@ def forest(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int,
     return links
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch], distance: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; a bucket may span batches."""
-
-    def solve(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
-        sizes = np.diff(np.r_[starts, len(key)])
-        shared = np.repeat(sizes > 1, sizes)
-        fp, node, sizes = fp[shared], node[shared], sizes[sizes > 1]
-        starts = np.cumsum(sizes) - sizes
-        table = np.stack([np.bitwise_count(fp ^ p).astype(np.int8) for p in refs], axis=1)
-        a, b = [], []
-        two = starts[sizes == 2]
-        for c in range(len(refs)):
-            two = two[np.abs(table[two, c] - table[two + 1, c]) <= distance]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-        a.append(node[two])
-        b.append(node[two + 1])
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            if pairs := forest(fp[s : s + n], table[s : s + n], distance):
-                x, y = np.array(pairs).T
-                a.append(node[s + x])
-                b.append(node[s + y])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    held: list[list[np.ndarray]] = []
+def _links(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole buckets, whose rows stand together."""
+    starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
+    sizes = np.diff(np.r_[starts, len(key)])
+    shared = np.repeat(sizes > 1, sizes)
+    fp, node, sizes = fp[shared], node[shared], sizes[sizes > 1]
+    starts = np.cumsum(sizes) - sizes
+    table = np.stack([np.bitwise_count(fp ^ p).astype(np.int8) for p in refs], axis=1)
+    two = starts[sizes == 2]
+    for c in range(len(refs)):
+        two = two[np.abs(table[two, c] - table[two + 1, c]) <= distance]
+    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
+    a, b = [node[two]], [node[two + 1]]
+    for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+        if pairs := forest(fp[s : s + n], table[s : s + n], distance):
+            x, y = np.array(pairs).T
+            a.append(node[s + x])
+            b.append(node[s + y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, refs: np.ndarray, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; a bucket may span batches. One of more than limit rows gives its key and size instead of links."""
+
+    def linked(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, b = _links(*(np.concatenate(x) for x in zip(*held)), distance, refs)
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], ["a", "b", "choice", "key", "size"])
+
+    def put_off(choice: int, key: int, size: int) -> pa.RecordBatch:
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *(pa.array([int(x)], pa.int64()) for x in (choice, key, size))], ["a", "b", "choice", "key", "size"])
+
+    held: list[list[np.ndarray]] = []  # of the open bucket
+    size, now = 0, None
     for batch in batches:
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("choice", "key", "fp", "node")]
-        cols[2] = cols[2].view(np.uint64)
         if not batch.num_rows:
             continue
-        same = held and (held[-1][0][-1], held[-1][1][-1]) == (cols[0][-1], cols[1][-1])
-        if same:  # the open bucket goes on to the end of this batch
-            held.append(cols)
-            continue
-        cut = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[-1]) + 1 if len(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))) else 0
-        held.append([c[:cut] for c in cols])
-        if ready := [h for h in held if len(h[0])]:
-            yield solve(*(np.concatenate(x) for x in zip(*ready)))
-        held = [[c[cut:] for c in cols]]
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("choice", "key", "fp", "node")]
+        cols[2] = cols[2].view(np.uint64)
+        edges = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]), True])
+        first = (cols[0][0], cols[1][0])
+        done, at = [], 0
+        if now is not None:
+            if now == first:
+                at = int(edges[1])
+                size += at
+                held = [*held, [c[:at] for c in cols]] if limit is None or size <= limit else []
+            if now != first or at < batch.num_rows:  # the open bucket has ended
+                if held:
+                    done += held
+                else:
+                    yield put_off(*now, size)
+        if at < batch.num_rows:
+            last = int(edges[-2])
+            if last > at:
+                done.append([c[at:last] for c in cols])
+            now, held, size = (cols[0][-1], cols[1][-1]), [[c[last:] for c in cols]], batch.num_rows - last
+        if done:
+            yield linked(done)
     if held:
-        yield solve(*(np.concatenate(x) for x in zip(*held)))
+        yield linked(held)
+    elif now is not None:
+        yield put_off(*now, size)
 
 
-def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16) -> DataFrame:
+def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between node ids whose fingerprints differ in at most distance bits.
 
     reps has distinct fp and their node. The links form spanning forests of buckets;
     together they connect exactly what the full link relation connects.
     """
     refs = pivots(n_pivots)
-    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(distance))))
+    schema = "a long, b long, choice long, key long, size long"
+    choices = F.array(*(F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(distance))))
     keyed = reps.select("fp", "node", F.explode(choices).alias("k")).select("k.choice", "k.key", "fp", "node")
-    dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
-    return dealt.mapInArrow(lambda it: _bucket_links(it, distance, refs), "a long, b long").distinct()
+    dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
+    solved = stash(dealt.mapInArrow(lambda it: _solve_buckets(it, distance, refs, bucket_rows), schema), "simhash-links")
+    links = solved.where("a is not null").select("a", "b")
+    large = solved.where("a is null").select("choice", "key", "size")
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("size") / bucket_rows)
+        own = F.pmod(F.xxhash64("fp"), blocks)
+        rows = keyed.join(large, ["choice", "key"]).select("choice", "key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        rows = rows.select("choice", pair.alias("key"), "fp", "node").repartition("choice", "key").sortWithinPartitions("choice", "key")
+        links = links.unionByName(rows.mapInArrow(lambda it: _solve_buckets(it, distance, refs, None), schema).select("a", "b"))
+    return links.distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int = 4, n_pivots: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
