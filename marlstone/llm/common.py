@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,11 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row; inside a lambda Spark computes an expression anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, of few rows and few bytes of text, so that few Python objects exist at a time."""
     for batch in batches:

@@ -9,13 +9,12 @@ documents aren't judged, as their histograms say little.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import ASCII_SPACE, stash
+from marlstone.llm.common import ASCII_SPACE, let, stash
 
 #: Characters of a class, and the one that stands for all of them where they are counted.
 CLASSES = {"upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), "digit": ("0123456789", "0"), "sentence": (".,;:?!'\"()-", "."), "symbol": ("#*$%&|<>", "#"), "blank": (" \t\n\x0b\f\r", " ")}
@@ -26,11 +25,6 @@ ANY = ""
 WINDOW = 5
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, ASCII_SPACE), "")
 
