@@ -66,3 +66,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: str =
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, max_rows: int, max_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of about max_rows labelled documents at most, chosen by a hash of the id.
+
+    marks has one row a doc_id. With max_bytes, the sample's texts have about that many
+    bytes at most, and a text of over a sixteenth of it isn't taken. The chosen marks are
+    bounded by max_rows, so they go to the documents and no text is shuffled.
+    """
+    share = min(1.0, max_rows / max(marks.count(), 1))
+    rows = docs.select("doc_id", "text")
+    if max_bytes:
+        size = F.octet_length("text")
+        rows = rows.where(size <= max_bytes // 16)
+        there = rows.select("doc_id", size.alias("size")).join(marks, "doc_id").agg(F.sum("size")).first()[0]
+        share = min(share, max_bytes / max(there or 0, 1))
+    chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

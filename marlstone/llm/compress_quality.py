@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fold_of, text_slices, utf8
+from marlstone.llm.common import fold_of, labelled_sample, text_slices, utf8
 
 SAMPLE_CHUNK = 2048
 
@@ -86,19 +86,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(rows: DataFrame, max_rows: int = 8000, max_bytes: int = 24 << 20, dictionary_size: int = 32 << 10, level: int = 3) -> Model:
-    """Learn from (doc_id, text, label), on about max_rows rows and max_bytes of text at most.
+def fit(rows: DataFrame, dictionary_size: int = 32 << 10, level: int = 3) -> Model:
+    """Learn from a bounded sample of (doc_id, text, label), which is gathered.
 
-    The sample is chosen by a hash of the id; a row of over a sixteenth of max_bytes
-    isn't taken. Half of it makes the dictionaries, the other half calibrates.
+    Half of it makes the dictionaries, the other half calibrates.
     """
-    size = F.octet_length("text")
-    rows = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull() & (size <= max_bytes // 16))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
-    share = min(1.0, max_rows / max(total["n"], 1), max_bytes / max(total["bytes"] or 0, 1))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    if share < 1:
-        rows = rows.where(place < F.lit(int(share * (1 << 20))))
+    rows = rows.where("label is not null and text is not null")
     found = rows.select(F.xxhash64(F.col("doc_id"), F.lit(1)).alias("order"), "text", "label").collect()
     found.sort(key=lambda r: (r["order"], r["text"]))
     seen, rest = found[::2], found[1::2] or found
@@ -135,6 +128,6 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     """
     fold = fold_of(F.col("doc_id"), folds)
     marks = labels.where((fold != held_out) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    model = fit(docs.select("doc_id", "text").join(marks, "doc_id"), max_rows, max_bytes)
+    model = fit(labelled_sample(docs, marks, max_rows, max_bytes))
     held = F.coalesce(fold == held_out, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
