@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fold_of, text_slices
+from marlstone.llm.common import fold_of, labelled_sample, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms of a group are exchangeable in a sentence.
@@ -55,13 +55,6 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def sampled(rows: DataFrame, max_rows: int) -> DataFrame:
-    """About max_rows of rows at most, chosen by a hash of the id."""
-    n = rows.count()
-    share = min(1.0, max_rows / max(n, 1))
-    return rows if share == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-
-
 def _bags(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -110,14 +103,13 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
     return w, bias
 
 
-def fit(rows: DataFrame, max_rows: int = 20_000, vocabulary: int = 2048, penalty: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
-    """Learn from (doc_id, text, label), on about max_rows rows at most.
+def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
+    """Learn from a bounded sample of (doc_id, text, label).
 
     The features are the words whose presence differs most between labels by the
     chi-square statistic, at most `vocabulary`, and the identity terms.
     """
-    rows = sampled(rows.where("label is not null"), max_rows)
-    bags = _bags(rows).persist()
+    bags = _bags(rows.where("label is not null")).persist()
     total = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("hot")).first()
     n, hot = total["n"], total["hot"]
     if not hot or hot == n:
@@ -132,7 +124,7 @@ def fit(rows: DataFrame, max_rows: int = 20_000, vocabulary: int = 2048, penalty
     words += [w for g in groups for w in g if w not in set(words)]
     index = {w: i for i, w in enumerate(words)}
     chosen = F.array(*map(F.lit, words))
-    sets = bags.select("label", F.array_intersect("words", chosen).alias("words")).collect()  # bounded by max_rows and the vocabulary
+    sets = bags.select("label", F.array_intersect("words", chosen).alias("words")).collect()  # bounded by the sample and the vocabulary
     bags.unpersist()
     ids = [[index[w] for w in r["words"]] for r in sets]
     w, bias = train(ids, np.array([r["label"] for r in sets], float), len(words), [[index[x] for x in g] for g in groups], penalty)
@@ -152,12 +144,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """(doc_id, text, label) of the documents that have a label."""
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_rows: int = 20_000, vocabulary: int = 2048, penalty: float = 1.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
@@ -167,7 +153,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     labels of both kinds every score is the share of label 1. Empty tables give an
     empty result.
     """
-    known = labels.where(fold_of(F.col("doc_id"), folds) != held_out)
-    model = fit(labelled(docs, known, "toxic"), max_rows, vocabulary, penalty)
+    known = labels.where((fold_of(F.col("doc_id"), folds) != held_out) & F.col("toxic").isNotNull())
+    marks = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    model = fit(labelled_sample(docs, marks, max_rows), vocabulary, penalty)
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
