@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from helpers import ODD, documents, prose
-from marlstone.llm import simhash
+from marlstone.llm import components, simhash
 from marlstone.llm.components import connected_components
 
 
@@ -94,7 +94,9 @@ def test_pivots_never_discard_a_near_pair():
     assert gap.max() <= 1
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("hubs", [8, 5000])  # only the star's centre, or every node, has its minimum broadcast
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, hubs):
+    monkeypatch.setattr(components, "HUBS", hubs)
     links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     want = {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 160)}
