@@ -1,6 +1,6 @@
 """Line deduplication by a log-template tree, in Spark's own functions.
 
-A line's tokens with digits become variables. The tree has a fixed depth: the number of
+Lines are compared in lower case; their tokens with digits become variables. The tree has a fixed depth: the number of
 tokens, then the leading tokens lead to a leaf. Within a leaf the tokens that most of
 its lines share are its template; the positions where they differ are variable fields.
 A line belongs to the leaf's template if enough of its tokens are the template's own,
@@ -28,9 +28,10 @@ _HAS_DIGIT = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+"
 
 
 def masked_lines(text: Column) -> Column:
-    """The lines of a text with single blanks, none at the ends, and variables for tokens with digits."""
+    """The lines of a text in lower case, with single blanks, none at the ends, and variables for tokens with digits."""
     plain = F.regexp_replace(F.regexp_replace(text, _BLANKS, " "), _EDGES, "")
-    return F.split(F.when(text.rlike(_TO_MASK), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(text), "\n")
+    masked = F.when(text.rlike(_TO_MASK), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(text)
+    return F.split(F.lower(masked), "\n")
 
 
 def _tokens(line: Column) -> Column:

@@ -41,6 +41,14 @@ def test_masking(spark):
     assert row["m"] == ["a <*> c", "", "<*> <*>", "plain line"]
 
 
+def test_case_is_folded(spark):
+    footers, pages = ("Read More Here", "READ MORE HERE", "Read more here"), ("Printed PAGE {}", "printed page {}", "Printed Page {}")
+    rows = [(i, f"{prose(i, 30)}\n{footers[i % 3]}") for i in range(9)] + [(i, f"{prose(i, 30)}\n{pages[i % 3].format(i)}\nÉTAT DES LIEUX" + ("" if i % 2 else "\nétat des lieux")) for i in range(10, 19)]
+    found = texts_of(line_templates.drop_recurring_lines(documents(spark, rows)))
+    assert all(found[i]["text"] == rows[i if i < 9 else i - 1][1] and found[i]["n_dropped"] == 0 for i in (0, 10))
+    assert all(found[i]["text"] == prose(i, 30) and found[i]["n_dropped"] for i in (*range(1, 9), *range(11, 19)))
+
+
 def test_odd_rows(spark):
     rows = [*ODD, *((i, "same old footer line\nown " + prose(i, 5)) for i in range(10, 18)), (None, "same old footer line")]
     docs = documents(spark, rows).withColumn("line", F.lit("x")).withColumn("n_lines", F.lit("y")).withColumn("leaf", F.lit(1))
