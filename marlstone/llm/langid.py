@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Counts of four-character runs per language come from all rows given to learn from, in
-parallel. Of them a bounded number of types makes the model: for each order one sorted
-array of the runs' 64-bit keys over all languages, and a row of log-probabilities, one
+parallel. Of each language those that aren't rare for its volume make the model: for
+each order one sorted array of the runs' 64-bit keys over all languages, and a row of log-probabilities, one
 per language, so a run is looked up once for all of them. A text gets the language of
 the lowest cross-entropy per character. Calibration rows, which counting doesn't see,
 give the cross-entropy to expect of each language and length; what exceeds it by far
@@ -29,6 +29,8 @@ BLANK = 32
 UNDETERMINED = "und"
 #: Texts go through in parts of so many characters.
 PART = 1 << 20
+#: A language keeps runs that are met at least the square root of its volume, by this, times.
+KEEP = 1 << 12
 MASKS = [np.uint64((1 << (16 * n)) - 1) for n in range(ORDER + 1)]
 SIXTEEN = np.uint64(16)
 
@@ -192,21 +194,33 @@ def kneser_ney(langs: list[str], types: dict[str, tuple[np.ndarray, np.ndarray]]
     return Model(langs, [Table(*x) for x in zip(union, grams)], [Table(*x) for x in zip(contexts, weights)], unknown)
 
 
-def fit(rows: DataFrame, max_types: int = 1 << 20) -> Model | None:
-    """Learn from (lang, text). Every row is counted; the model keeps at most max_types runs over all languages.
+def fit(rows: DataFrame, max_types: int | None = None) -> Model | None:
+    """Learn from (lang, text). Every row is counted; a language's own volume tells which of its runs make the model.
 
-    Where there are more, the rarest go: the least count kept is the smallest power of
-    two that satisfies the bound. None if there is nothing to learn from.
+    A run stays if its count is at least a 4096th of the square root of all counts of its
+    language, so a language of up to 2^24 runs keeps all, and what a larger one keeps
+    grows with it (at most 4096 times that root). Hot languages take nothing from rare ones.
+    With max_types, each language moreover keeps at most its equal share of so many: the
+    least count is then the smallest power of two that satisfies the bound, but the
+    highest power always stays. None if there is nothing to learn from.
     """
     counted = run_counts(rows).persist()
-    powers = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 63 rows
-    kept, least = 0, 0
+    power = F.floor(F.log2("n")).cast("int")
+    powers = counted.groupBy("lang", power.alias("power")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()  # at most 63 rows a language
+    by_lang: dict[str, list] = {}
     for r in sorted(powers, key=lambda r: -r["power"]):
-        kept += r["n"]
-        if kept > max_types:
-            least = 2 ** (r["power"] + 1)
-            break
-    found = counted.where(F.col("n") >= least).toPandas()
+        by_lang.setdefault(r["lang"], []).append(r)
+    least = {}
+    for lang, own in by_lang.items():
+        least[lang] = int(sum(r["n"] for r in own) ** 0.5 / KEEP)
+        kept = 0
+        for i, r in enumerate(own if max_types is not None else []):
+            kept += r["kinds"]
+            if i and kept > max_types // len(by_lang):
+                least[lang] = max(least[lang], 2 ** (r["power"] + 1))
+                break
+    bounds = counted.sparkSession.createDataFrame(list(least.items()), "lang string, least long")  # a row a language
+    found = counted.join(F.broadcast(bounds), "lang").where("n >= least").select("lang", "run", "n").toPandas()
     counted.unpersist()
     if not len(found):
         return None
@@ -290,7 +304,7 @@ def predict(docs: DataFrame, model: Model | None, accept: float = 0.5, id_col: s
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "lang_pred", "score", (F.col("score") < accept).alias("rejected"))
 
 
-def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, max_types: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, max_types: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A calibrated model from all folds of docs but held_out; the calibration fold only calibrates."""
     fold = fold_of(F.col(id_col), folds)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), fold.alias("fold"))
@@ -300,7 +314,7 @@ def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration
     return model
 
 
-def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, max_types: int = 1 << 20) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, max_types: int | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row, learnt from the rows not held out.
 
     Rows with a null id are predicted, but belong to no fold and teach nothing; nor do

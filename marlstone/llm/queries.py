@@ -18,7 +18,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"), folds=4, held_out=2, calibration=3, max_types=1 << 20)
+    return langid.identify(table(spark, sf_dir, "documents"), folds=4, held_out=2, calibration=3)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,19 @@ def test_pruning_keeps_the_bound(spark):
     assert len(small.grams[3].keys) <= 20 < len(full.grams[3].keys)
 
 
+def test_a_rare_language_beside_a_hot_one(spark, monkeypatch):
+    """The hot language is pruned by its own volume; the rare one, met once, keeps all its runs."""
+    monkeypatch.setattr(langid, "KEEP", 4)
+    rare = "xyz wvu qrx zuv"
+    hot = [("aa", f"abc abd abe acd {chr(97 + i % 26)}{chr(97 + i // 26)}" * 40) for i in range(260)]
+    alone, beside, bounded = (langid.fit(spark.createDataFrame(rows, "lang string, text string"), *more) for rows, *more in (([("bb", rare)],), ([*hot, ("bb", rare)],), ([*hot, ("bb", rare)], 40)))
+    assert beside.langs == bounded.langs == ["aa", "bb"]
+    assert set(alone.grams[3].keys) <= set(beside.grams[3].keys) and set(alone.grams[3].keys) <= set(bounded.grams[3].keys)
+    every = set(langid.runs([t for _, t in hot])[0])
+    assert len(beside.grams[3].keys) < len(every)
+    assert beside.entropies([rare])[0].argmin() == 1
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD + [(i, "plain words of one language") for i in range(10, 30)])
     found = langid.identify(docs.withColumn("score", F.lit("x"))).collect()
