@@ -2,9 +2,9 @@
 
 A logistic model over the presence of words and of word beginnings, which inflected
 forms share. Labelled texts with identity terms are
-also seen with each term swapped for another of its group; the squared change of the
-score between the two is penalised, so mentions of a group carry no weight of their
-own. The model is fitted on a bounded sample of labelled rows; word counts and
+also seen with each term, or its plural, swapped for another of its group; the squared
+change of the score over all features of the two texts is penalised, so mentions of a
+group carry no weight of their own. The model is fitted on a bounded sample of labelled rows; word counts and
 scoring are done in parallel.
 """
 
@@ -32,15 +32,26 @@ IDENTITY_GROUPS = (
     ("old", "young", "elderly", "disabled"),
     ("mujer", "hombre", "femme", "homme", "frau", "mann"),
 )
+#: Plurals that don't end in -s, or are another word; terms that are plurals or have none.
+PLURALS = {"jewish": "jews", "mujer": "mujeres", "frau": "frauen", "mann": "männer"}
+NO_PLURAL = {"women", "men", "woman", "man", "elderly", "disabled", "old", "young"}
+
+
+def inflected(groups: tuple[tuple[str, ...], ...]) -> tuple[tuple[str, ...], ...]:
+    """The groups, and the groups of their terms' plurals."""
+    plurals = (tuple(PLURALS.get(w, f"{w}s") for w in g if w not in NO_PLURAL) for g in groups)
+    return (*groups, *(g for g in plurals if g))
 
 
 #: Beginnings of longer words count as features of their own.
 STEMS = (4, 5, 6)
 
 
-def words_of(text: str | None) -> set[str]:
-    """Words in lower case, and their beginnings with a hyphen."""
+def words_of(text: str | None, swap: tuple[str, str] | None = None) -> set[str]:
+    """Words in lower case, and their beginnings with a hyphen; of the text with one word put for another, if so asked."""
     words = set(WORD.findall((text or "").lower()))
+    if swap:
+        words = words - {swap[0]} | {swap[1]}
     return words.union(*([f"{w[:k]}-" for w in words if len(w) > k] for k in STEMS))
 
 
@@ -55,33 +66,55 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _bags(rows: DataFrame) -> DataFrame:
+def _bags(rows: DataFrame, groups: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(label, words, swapped): the words of a text, and of the text with each of its terms swapped for the next of its group."""
+    after = [(w, g[(k + 1) % len(g)]) for g in groups for k, w in enumerate(g) if len(g) > 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            bags = [sorted(words_of(t)) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(bags, pa.list_(pa.string()))], ["label", "words"])
+            texts = part.column("text").to_pylist()
+            bags = [words_of(t) for t in texts]
+            swapped = [[sorted(words_of(t, s)) for s in after if s[0] in b] for t, b in zip(texts, bags)]
+            columns = [part.column("label"), pa.array(map(sorted, bags), pa.list_(pa.string())), pa.array(swapped, pa.list_(pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "words", "swapped"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, words array<string>")
+    return rows.select("label", "text").mapInArrow(run, "label int, words array<string>, swapped array<array<string>>")
 
 
-def _swaps(bag: list[int], groups: list[list[int]]) -> list[tuple[int, int]]:
-    """(term of the bag, term to put instead) by index: each term for the next of its group."""
+def _swaps(bag: list[int], groups: list[list[int]]) -> list[list[int]]:
+    """The bag with each of its terms exchanged for the next of its group."""
     there = set(bag)
-    return [(t, g[(k + 1) % len(g)]) for g in groups for k, t in enumerate(g) if t in there]
+    return [[*(x for x in bag if x != t), g[(k + 1) % len(g)]] for g in groups for k, t in enumerate(g) if t in there]
 
 
-def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[list[int]], penalty: float, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated full-batch gradient descent."""
+def _flat(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each feature."""
     rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    cols = np.concatenate([np.array(b, np.int64) for b in bags]) if len(rows) else np.zeros(0, np.int64)
-    swaps = [(i, a, b) for i, bag in enumerate(bags) for a, b in _swaps(bag, groups)]
-    doc, out, into = np.array(swaps, np.int64).reshape(-1, 3).T
+    return rows, np.concatenate([np.array(b, np.int64) for b in bags]) if len(rows) else np.zeros(0, np.int64)
+
+
+def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[list[int]], penalty: float, ridge: float = 1e-4, steps: int = 400, swapped: list[list[list[int]]] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated full-batch gradient descent.
+
+    swapped has the counterfactual bags of each bag; without it terms are exchanged by groups.
+    """
+    rows, cols = _flat(bags)
+    if swapped is None:
+        swapped = [_swaps(bag, groups) for bag in bags]
+    doc = np.repeat(np.arange(len(bags)), [len(s) for s in swapped])
+    others = [b for s in swapped for b in s]
+    own_rows, own_cols = _flat([bags[i] for i in doc])
+    rows2, cols2 = _flat(others)
     n, w, bias = len(bags), np.zeros(size), 0.0
     hot = labels.sum()
     cost = np.where(labels == 1, n / (2 * hot), n / (2 * (n - hot)))  # both labels count the same in all
     width = cost * (np.bincount(rows, minlength=n) + 1.0)
     # each weight's own step: the curvature is at most this diagonal
-    rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + penalty * np.isin(np.arange(size), np.r_[out, into]))
+    keys, at = np.unique(np.r_[own_rows * size + own_cols, rows2 * size + cols2], return_inverse=True)
+    keys = keys[np.bincount(at, np.repeat([1.0, -1.0], [len(own_rows), len(rows2)]), len(keys)) != 0]  # what a swap changes
+    wide = np.bincount(keys // size, minlength=len(doc)).astype(float)
+    curve = np.bincount(keys % size, wide[keys // size], size) / 2 / np.maximum(np.bincount(keys % size, minlength=size), 1)
+    rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + penalty * curve)
     bias_rate = 1 / (0.25 * width.mean())
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(steps):
@@ -90,12 +123,12 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
         miss = cost * (p - labels) / n
         grad = np.bincount(cols, miss[rows], size) + ridge * ahead
         if len(doc):  # (s(x) - s(x'))^2, s the score
-            z2 = z[doc] - ahead[out] + ahead[into]
+            z2 = np.bincount(rows2, ahead[cols2], len(doc)) + ahead_bias
             p2 = 1 / (1 + np.exp(-np.clip(z2, -40, 40)))
             diff = 2 * penalty * (p[doc] - p2) / len(doc)
             slope, slope2 = p[doc] * (1 - p[doc]), p2 * (1 - p2)
-            at_doc = np.bincount(doc, diff * (slope - slope2), n)
-            grad += np.bincount(cols, at_doc[rows], size) + np.bincount(out, diff * slope2, size) - np.bincount(into, diff * slope2, size)
+            at_doc = np.bincount(doc, diff * slope, n)
+            grad += np.bincount(cols, at_doc[rows], size) - np.bincount(cols2, (diff * slope2)[rows2], size)
         new, new_bias = ahead - rate * grad, ahead_bias - bias_rate * miss.sum()
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
@@ -107,9 +140,10 @@ def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: t
     """Learn from a bounded sample of (doc_id, text, label).
 
     The features are the words whose presence differs most between labels by the
-    chi-square statistic, at most `vocabulary`, and the identity terms.
+    chi-square statistic, at most `vocabulary`, and the identity terms and their plurals.
     """
-    bags = _bags(rows.where("label is not null")).persist()
+    groups = inflected(groups)
+    bags = _bags(rows.where("label is not null"), groups).persist()
     total = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("hot")).first()
     n, hot = total["n"], total["hot"]
     if not hot or hot == n:
@@ -124,10 +158,11 @@ def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: t
     words += [w for g in groups for w in g if w not in set(words)]
     index = {w: i for i, w in enumerate(words)}
     chosen = F.array(*map(F.lit, words))
-    sets = bags.select("label", F.array_intersect("words", chosen).alias("words")).collect()  # bounded by the sample and the vocabulary
+    swapped = F.transform("swapped", lambda s: F.array_intersect(s, chosen))
+    sets = bags.select("label", F.array_intersect("words", chosen).alias("words"), swapped.alias("swapped")).collect()  # bounded by the sample and the vocabulary
     bags.unpersist()
     ids = [[index[w] for w in r["words"]] for r in sets]
-    w, bias = train(ids, np.array([r["label"] for r in sets], float), len(words), [[index[x] for x in g] for g in groups], penalty)
+    w, bias = train(ids, np.array([r["label"] for r in sets], float), len(words), [[index[x] for x in g] for g in groups], penalty, swapped=[[[index[w] for w in s] for s in r["swapped"]] for r in sets])
     return Model(dict(zip(words, w.tolist())), float(bias))
 
 

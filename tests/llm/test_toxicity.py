@@ -38,6 +38,18 @@ def test_penalty_takes_weight_off_group_terms(spark):
     assert bound.score("all of them vilified") > 0.7 > bound.score("women and men of the town")
 
 
+def test_penalty_holds_for_stems_and_plurals(spark):
+    """What a neutral mention of a group adds goes away, whichever of its features learnt it."""
+    rows = []
+    for i in range(600):
+        group, insult = i % 4 == 0, i % 10 == 1
+        rows.append((i, prose(i, 30) + (" vilified" if insult else "") + (" muslims" if group else ""), int(insult or (group and i % 5 > 0))))
+    rows = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    free, bound = (toxicity.fit(rows, penalty=p) for p in (0.0, 20.0))
+    gap = [abs(m.score("the muslims of the town") - m.score("the christians of the town")) for m in (free, bound)]
+    assert gap[0] > 0.3 and gap[1] < 0.25 * gap[0]
+
+
 def test_gradient_is_right():
     """The accelerated descent ends where the loss is flat."""
     r = np.random.default_rng(3)
