@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    A temporary folder stands in only where the setting is absent, as in tests.
+    A temporary folder stands in only where the setting is absent and the master is
+    local, as in tests; elsewhere executors couldn't read what others wrote there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Tables of stash, by application, that are there to read.
+_stashed: dict[str, list[str]] = {}
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _stashed.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes the tables that stash writes within; gives a stash whose tables stay.
+
+    What is lazily defined within must be written within.
+    """
+    tables = _stashed.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(tables), []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = stash(df, label)
+        kept.append(tables[-1])
+        return out
+
+    yield keep
+    gone = [path for path in tables[before:] if path not in kept]
+    tables[before:] = kept
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; null ids belong to no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -51,6 +83,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Keys that join_hot broadcasts, at most.
+HOT_KEYS = 5000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Equi-join of left with right, which has each key once; its `weight` column is how many rows of left have the key.
+
+    Keys with more than 1 / HOT_KEYS of left's total rows are fewer than that, so they
+    are broadcast; no hot key is shuffled. weight isn't in the result.
+    """
+    hot = F.col(weight) > F.lit(total / HOT_KEYS)
+    hubs = right.where(hot).drop(weight).withColumn("is_hot", F.lit(True))
+    told = left.join(F.broadcast(hubs), keys, "left")
+    rest = told.where("is_hot is null").select(*left.columns).join(right.where(~hot).drop(weight), keys, how)
+    return told.where("is_hot").drop("is_hot").unionByName(rest)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, of few rows and few bytes of text, so that few Python objects exist at a time."""
     for batch in batches:
@@ -71,16 +120,19 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def labelled_sample(docs: DataFrame, marks: DataFrame, max_rows: int, max_bytes: int | None = None) -> DataFrame:
     """(doc_id, text, label) of about max_rows labelled documents at most, chosen by a hash of the id.
 
-    marks has one row a doc_id. With max_bytes, the sample's texts have about that many
-    bytes at most, and a text of over a sixteenth of it isn't taken. The chosen marks are
-    bounded by max_rows, so they go to the documents and no text is shuffled.
+    marks has one row a doc_id. With max_bytes, the sample has about that many bytes of
+    text at most: texts go in parts of max_bytes / 16 characters, each a row, and parts
+    are chosen by a hash of id and number. The chosen marks are bounded by max_rows, so
+    they go to the documents and no text is shuffled.
     """
     share = min(1.0, max_rows / max(marks.count(), 1))
-    rows = docs.select("doc_id", "text")
-    if max_bytes:
-        size = F.octet_length("text")
-        rows = rows.where(size <= max_bytes // 16)
-        there = rows.select("doc_id", size.alias("size")).join(marks, "doc_id").agg(F.sum("size")).first()[0]
-        share = min(share, max_bytes / max(there or 0, 1))
-    chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    buckets = F.lit(1 << 20)
+    chosen = marks.where(F.pmod(F.xxhash64("doc_id"), buckets) < F.lit(int(share * (1 << 20))))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    if not max_bytes:
+        return found
+    there = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = max(1, max_bytes // 16)
+    parts = found.select("doc_id", "text", "label", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / size)).cast("int"))).alias("part"))
+    kept = F.pmod(F.xxhash64("doc_id", "part"), buckets) < F.lit(int(min(1.0, max_bytes / max(there, 1)) * (1 << 20)))
+    return parts.where(kept).select("doc_id", F.substring("text", F.col("part") * size + 1, F.lit(size)).alias("text"), "label")
