@@ -9,6 +9,7 @@ it in parallel by their rank among equal lengths.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,31 +27,83 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of a text, as little-endian bytes, by way of a table of words met before.
+    """Token ids of texts, as little-endian bytes, by way of tables of words and their parts met before.
 
-    The tokenizer drops white space and never joins across it, so words encode alone.
+    For tokenizers that drop white space and never join across it, so words encode
+    alone. Words of Latin-1 letters are split by the tokenizer's own pattern here, which
+    is cheaper than in its pipeline, and only new parts are encoded; other words go
+    through the whole pipeline.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        if self.ids("a b\n").tolist() != [*self.ids("a"), *self.ids("b")]:
+            raise ValueError(f"{path} doesn't encode words alone")
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        form = json.loads(self.tokenizer.to_str())
+        shape = [form["model"].get("end_of_word_suffix"), *(n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])), *(p["type"] for p in (form["pre_tokenizer"] or {}).get("pretokenizers", []))]
+        self.inner = None
+        if shape == ["</w>", "NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            self.split = regex.compile(form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "| ").findall
+            self.inner = Tokenizer.from_str(json.dumps(form | {"normalizer": None, "added_tokens": []}))
+            self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(max(form["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in form["model"]["vocab"].items() if t.endswith("</w>")]] = True
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others are shown from U+0100 on
+            self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown))) if b != ord(" ")}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    @staticmethod
+    def cut(text: bytes) -> list[bytes]:
+        """Words, with ASCII letters in lower case but where a special token or a combining mark (U+0300 to U+036F) makes a difference."""
+        return (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [self.cut(t) for t in texts]
+        if len(self.words) + len(self.parts) > CACHED_WORDS:
+            self.words.clear()
+            self.parts.clear()
+        self.learn(set().union(*words).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, w)) for w in words]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        plain = []
+        for w in words:
+            if self.inner is None or b"<|" in w or max(w) > 0xC3:  # beyond Latin-1
+                self.words[w] = self.ids(w.decode()).tobytes()
+            else:
+                plain.append(w)
+        if not plain:
+            return
+        found = self.split(b" ".join(plain).decode().lower())
+        self.learn_parts(set(found).difference(self.parts, (" ",)))
+        self.parts[" "] = b""
+        coded = list(map(self.parts.__getitem__, found))
+        at = 0
+        ends = [i for i, part in enumerate(found) if part == " "]
+        for w, end in zip(plain, [*ends, len(found)], strict=True):
+            self.words[w] = coded[at] if end - at == 1 else b"".join(coded[at:end])
+            at = end + 1
+
+    def learn_parts(self, parts: set[str]) -> None:
+        """All at once: the tokenizer sees them between blanks, as the characters their bytes are shown by; a token that ends a word ends a part."""
+        if not parts:
+            return
+        new = list(parts)
+        shown = " ".join(new)
+        if not shown.isascii() or not shown.isprintable():
+            shown = shown.encode().decode("latin-1").translate(self.shown)
+        ids = np.array(self.inner.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends, flat, at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes(), 0
+        for part, end in zip(new, ends, strict=True):
+            self.parts[part] = flat[at:end]
+            at = end
 
 
 def encoder(tokenizer: str) -> WordEncoder:
@@ -78,8 +131,8 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col:
         step = 4 * capacity
         for part in text_slices(batches):
             rows = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), utf8(part, "text")):
-                ids = encode(text) + end
+            for doc, found in zip(part.column("doc_id").to_pylist(), encode(utf8(part, "text"))):
+                ids = found + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     n = len(piece) // 4
@@ -147,7 +200,11 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def place(ranked: DataFrame, packed: Plan) -> DataFrame:
-    """Sequence and offset of every piece. The plan has a bounded number of runs, so it goes along with the task."""
+    """Sequence and offset of every piece. The plan has a bounded number of runs, so it goes along with the task.
+
+    ranked has each piece's rank among all of its length, which must be the pieces that
+    packed was made for; no pieces give no rows. Null ids pass through.
+    """
     runs = np.array(sorted(packed.runs), np.int64).reshape(-1, 5)
     keys = (runs[:, 0] << 44) + runs[:, 1]
 

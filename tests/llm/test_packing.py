@@ -40,6 +40,22 @@ def test_round_trip(spark, tokenizer):
     assert n <= 1.02 * total / CAP + 1
 
 
+def test_ids_are_those_of_the_whole_text(tokenizer):
+    """Words by table and by part give what the tokenizer gives for the text at once."""
+    r = np.random.default_rng(1)
+    signs = [*"aZé'st ß²\xa0\x85\x1c.$9ÿ\x00\x01\xad\n", "İ", "J\u030c", "e\u0301", "\u0301", "ﬁ", "中", "<|endoftext|>", "<|", "Σ", "'ll", "'D"]
+    texts = ["".join(r.choice(signs, r.integers(0, 30))) for _ in range(2000)]
+    texts += ["don't we'LL x's's I'd've", "a\u00a0b \u00a0", "12.5€ ①x", "W\u030a T\u0308 É E\u0301"]
+    encode = packing.encoder("word_bpe_49k.json")
+    for text, ids in zip(texts, encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_tokenizer_that_keeps_blanks_is_refused():
+    with pytest.raises(ValueError):
+        packing.encoder("byte_bpe_50k.json")
+
+
 def test_odd_rows(spark, tokenizer):
     docs = documents(spark, ODD)
     check(ODD, packing.pack(docs.withColumnRenamed("source", "rank")).collect(), tokenizer, 4096)
