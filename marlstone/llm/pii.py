@@ -28,18 +28,47 @@ NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit) of the leftmost non-overlapping matches, in order."""
+BLOCK = 64
+
+
+def running(values: Column, levels: int = 2) -> Column:
+    """Of an array of integers the sum of those before each, by blocks of blocks, so that long arrays take no quadratic time."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+    if not levels:
+        return F.transform(values, lambda x, i: total(F.slice(values, 1, i)))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    sums = F.when(F.size(values) > 0, F.transform(blocks, lambda b: total(F.slice(values, b * BLOCK + 1, BLOCK)))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def placed(before: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return F.get(before, block) + total(F.slice(values, block * BLOCK + 1, i - block * BLOCK))
+
+        return F.transform(values, at)
+
+    return let(let(sums, lambda v: running(v, levels - 1)), placed)
+
+
+def each_match(text: Column, pattern: str, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """Array of body(start, hit, context) of the leftmost non-overlapping matches, in order; context is the text before, two matches back at most."""
     pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("before"))
-    found = F.filter(pieces, lambda p: p["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
 
-    def add(acc: Column, p: Column) -> Column:
-        a = acc["at"] + F.length(p["before"])
-        b = a + F.length(p["hit"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), p["hit"].alias("hit")))).alias("out"))
+    def placed(found: Column) -> Column:
+        def one(at: Column) -> Column:
+            def told(p: Column, i: Column) -> Column:
+                back = [F.get(found, i - k) for k in (2, 1)]
+                context = F.concat_ws("", *(b[c] for b in back for c in ("before", "hit")), p["before"])
+                return body(F.get(at, i) + F.length(p["before"]), p["hit"], context)
+
+            return F.transform(found, told)
 
-    return F.aggregate(found, start, add, lambda acc: acc["out"])
+        lengths = F.transform(found, lambda p: F.length(p["before"]) + F.length(p["hit"]))
+        return let(let(lengths, lambda v: running(v)), one)
+
+    return let(F.filter(pieces, lambda p: p["hit"].isNotNull()), placed)
 
 
 def digits(hit: Column) -> Column:
@@ -103,12 +132,12 @@ def spans(text: Column, kind: Kind, accept: float | None = None) -> Column:
     """Array of (start, end, score) of a kind: valid matches, with a score of accept at least where that is given."""
     none = F.expr("cast(array() as array<struct<start:int,end:int,score:double>>)")
 
-    def scored(m: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(F.lit(1), m["start"] - CONTEXT_CHARS + 1), F.least(F.lit(CONTEXT_CHARS), m["start"])))
+    def scored(start: Column, hit: Column, context: Column) -> Column:
+        near = F.lower(F.right(context, F.lit(CONTEXT_CHARS)))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), score.alias("score"))
+        return F.when(kind.valid(hit), F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), score.alias("score")))
 
-    found = F.transform(F.filter(matches(text, kind.pattern), lambda m: kind.valid(m["hit"])), scored)
+    found = F.filter(each_match(text, kind.pattern, scored), lambda s: s.isNotNull())
     if accept is not None:
         found = F.filter(found, lambda s: s["score"] >= accept)
     return F.when(text.rlike(kind.hint), found).otherwise(none)
@@ -132,7 +161,12 @@ def find_personal_data(docs: DataFrame, accept: float = 0.5, id_col: str = "doc_
 
 
 def redact(docs: DataFrame, accept: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): every span replaced by its kind in angle brackets; of overlapping spans the one that starts first."""
+    """(doc_id, text): every span replaced by its kind in angle brackets, for every row.
+
+    Of overlapping spans the one that starts first is replaced; of those that start
+    together the one that ends first, then the first kind by name. Null texts become
+    empty; rows with null or repeated ids are each redacted.
+    """
     found = find_personal_data(docs, accept, id_col, text_col)
 
     def tagged(kind: Kind) -> Column:

@@ -82,3 +82,26 @@ def test_odd_rows(spark):
     found = pii.digest(pii.find_personal_data(docs)).collect()
     assert len(found) == len(ODD) and all(r["spans"] == "" and r["n_email"] == 0 for r in found)
     assert pii.find_personal_data(docs.limit(0)).collect() == []
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 5000):
+        found = spark.range(1).select(pii.running(F.transform(F.slice(F.sequence(F.lit(1), F.lit(n + 1)), 1, n), lambda x: x % 7))).first()[0]
+        want, at = [], 0
+        for x in range(1, n + 1):
+            want.append(at)
+            at += x % 7
+        assert found == want
+
+
+def test_a_log_full_of_addresses(spark):
+    """One text of 200,000 lines with an address each is no quadratic work, and its offsets hold."""
+    lines = [f"é{i} host 10.0.{i % 256}.{i // 256 % 256} ok" for i in range(200_000)]
+    row = pii.find_personal_data(documents(spark, [(1, "\n".join(lines))])).select("ip").first()
+    assert len(row["ip"]) == len(lines)
+    at = 0
+    for i, (line, span) in enumerate(zip(lines, row["ip"])):
+        if i % 997 == 0:
+            hit = line.split(" ")[2]
+            assert (span["start"], span["end"]) == (at + line.index(hit), at + line.index(hit) + len(hit)) and span["score"] > 0.7
+        at += len(line) + 1
