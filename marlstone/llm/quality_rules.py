@@ -1,7 +1,7 @@
 """Quality rules in Spark's own functions: base counts, and divergence from what a language looks like.
 
 Every language of the corpus gets two reference histograms from all its documents:
-of character classes, and of its most common short words. A document's histograms are
+of character classes, and of its most common words. A document's histograms are
 compared to those of its language by Jensen-Shannon divergence (the square of the
 distance, in bits); a null or unseen language is compared to the whole corpus. Short
 documents aren't judged, as their histograms say little.
@@ -33,8 +33,11 @@ def repeated_words(words: Column) -> Column:
     """Words in windows of five words that occur twice or more in the text, the first included."""
 
     def hashes(w: Column) -> Column:
-        n = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
-        return F.transform(F.arrays_zip(*(F.slice(w, k + 1, n) for k in range(WINDOW))), lambda x: F.xxhash64(x))
+        def windows(h: Column) -> Column:
+            each = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
+            return F.slice(each, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
+
+        return let(F.transform(w, lambda x: F.xxhash64(x)), windows)
 
     def positions(h: Column) -> Column:
         """Sorted starts of windows that occur twice or more."""
@@ -67,7 +70,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         *signs.values(),
-        (F.octet_length("text") - F.col("chars")).cast("long").alias("c_accent"),
+        F.when(F.octet_length("text") == F.col("chars"), 0).otherwise(F.length(F.regexp_replace("text", r"[\x00-\x7F]+", ""))).cast("long").alias("c_accent"),
         F.col("chars").cast("long").alias("chars"),
     )
     rows = rows.withColumn("word_chars", F.col("chars") - F.col("c_blank"))
@@ -78,22 +81,26 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 CLASS_COLUMNS = [f"c_{k}" for k in (*(k for k in CLASSES if k != "blank"), "accent", "other")]
 
 
-def short_words(text: Column, max_chars: int) -> Column:
-    """Words of at most max_chars characters, ASCII in lower case; punctuation and symbols end a word."""
+def plain_words(text: Column) -> Column:
+    """Words in lower case; punctuation and symbols end a word."""
     ends = "".join(CLASSES[k][0] for k in ("sentence", "symbol", "blank"))
-    upper = CLASSES["upper"][0]
-    plain = F.translate(text, ends + upper, " " * len(ends) + upper.lower())
-    return F.filter(F.split(plain, " "), lambda w: F.length(w).between(1, max_chars))
+    return F.array_remove(F.split(F.translate(F.lower(text), ends, " " * len(ends)), " "), "")
 
 
-def word_references(docs: DataFrame, common: int, max_chars: int) -> dict[str, list[str]]:
-    """The most common short words of all texts of each language, and of all texts under ANY."""
-    short = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.explode(short_words(F.coalesce("text", F.lit("")), max_chars)).alias("word"))
-    counts = stash(short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "short-words")
+def word_references(docs: DataFrame, common: int) -> dict[str, list[str]]:
+    """The most common words of all texts of each language, and of all texts under ANY."""
+    words = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.explode(plain_words(F.coalesce("text", F.lit("")))).alias("word"))
+    counts = stash(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
     pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "word", "n")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.where(F.col("lang") != ANY).unionByName(pooled).withColumn("rank", rank).where(F.col("rank") <= common)
-    listed = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))
+    both = counts.where(F.col("lang") != ANY).unionByName(pooled).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(1024)))
+
+    def top(df: DataFrame, *keys: str) -> DataFrame:
+        """The `common` first of a key."""
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+        return df.withColumn("rank", rank).where(F.col("rank") <= common)
+
+    # first of parts of a language, so that no task ranks all its words
+    listed = top(top(both, "lang", "part"), "lang").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))
     return {r["lang"]: [t["word"] for t in r["top"]] for r in listed.collect()}  # `common` words a language
 
 
@@ -135,7 +142,7 @@ def _of_language(values: dict[str, list], empty: Column) -> Column:
     return F.coalesce(F.try_element_at(by_lang, F.col("reference")), empty)
 
 
-def judge(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 40, max_class_divergence: float = 0.10, max_word_divergence: float = 0.10, chance: float = 3.0, common: int = 32, max_chars: int = 5) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 40, max_class_divergence: float = 0.10, max_word_divergence: float = 0.10, chance: float = 3.0, common: int = 32) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence, word_divergence).
 
     A row for every row of docs. kept is false if the base rules fail or if the text has
@@ -144,15 +151,17 @@ def judge(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, gu
     as empty and fail the base rules; repeated rows and null ids are each judged. An
     empty table gives an empty result.
     """
-    listed = word_references(docs, common, max_chars)
+    listed = word_references(docs, common)
     texts = F.expr("cast(array() as array<string>)")
     reference = F.when(F.coalesce("lang", F.lit(ANY)).isin(list(listed)), F.coalesce("lang", F.lit(ANY))).otherwise(ANY)
     counts = base_counts(docs).withColumn("reference", reference)
 
     def counted(words: Column) -> Column:
+        """Of each common word how often it is there."""
         return F.transform(_of_language(listed, texts), lambda w: F.size(words) - F.size(F.array_remove(words, w)))
 
-    common_counts = let(short_words(F.col("text"), max_chars), counted)
+    known = sorted({w for words in listed.values() for w in words})
+    common_counts = let(F.filter(plain_words(F.col("text")), lambda w: w.isin(known)), counted)
     counts = stash(counts.withColumn("common", common_counts).drop("text"), "quality-counts")
     classes, words = shares(counts, common)
     numbers = F.expr("cast(array() as array<double>)")

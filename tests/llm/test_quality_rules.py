@@ -30,14 +30,13 @@ def js(p, q):
 
 def classes(text):
     groups = [re.findall(x, text) for x in ("[A-Z]", "[0-9]", r"[.,;:?!'\"()-]", r"[#*$%&|<>]")]
-    accent = len(text.encode()) - len(text)
+    accent = sum(c > "\x7f" for c in text)
     known = [*map(len, groups), accent]
     return [*known, max(0, sum(1 for c in text if c not in " \t\n\x0b\f\r") - sum(known))]
 
 
-def shorts(text):
-    text = re.sub(r"[A-Z]", lambda m: m[0].lower(), re.sub(r"[.,;:?!'\"()\-#*$%&|<> \t\n\x0b\f\r]", " ", text))
-    return [w for w in text.split(" ") if 1 <= len(w) <= 5]
+def plain_words(text):
+    return re.sub(r"[.,;:?!'\"()\-#*$%&|<> \t\n\x0b\f\r]", " ", text.lower()).split(" ")
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +62,7 @@ def test_divergences(judged):
     for lang, texts in by_lang.items():
         sums = [sum(x) for x in zip(*map(classes, texts))]
         usual = [x / sum(sums) for x in sums]
-        counts = Counter(w for t in texts for w in shorts(t))
+        counts = Counter(w for t in texts for w in plain_words(t) if w)
         top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:32]]
         n_words = sum(plain_base(t)[0][0] for t in texts)
         share = [counts[w] / n_words for w in top]
@@ -71,12 +70,23 @@ def test_divergences(judged):
             own = classes(d["text"])
             r = found[d["doc_id"]]
             assert r["class_divergence"] == pytest.approx(js([x / max(1, sum(own)) for x in own], usual), abs=1e-9)
-            mine = Counter(shorts(d["text"]))
+            mine = Counter(plain_words(d["text"]))
             p = [mine[w] / max(1, r["n_words"]) for w in top]
             rest = [max(0, 1 - sum(x)) for x in (p, share)]
             assert r["word_divergence"] == pytest.approx(js([*p, rest[0]], [*share, rest[1]]), abs=1e-9)
 
 
+def test_characters_are_counted_not_bytes(spark):
+    text = "漢字 \U0001f600\U0001f600 é_~ Ab1#."
+    row = quality_rules.base_counts(documents(spark, [(1, text)])).first()
+    assert [row[c] for c in quality_rules.CLASS_COLUMNS] == [1, 1, 1, 1, 5, 3] == [*classes(text)]
+
+
+def test_common_words_of_any_length_in_any_case(spark):
+    docs = documents(spark, [(i, f"ÉTRANGEMENT étrangement the {prose(i, 5)}", "fr") for i in range(9)])
+    assert quality_rules.word_references(docs, 2) == {"fr": ["étrangement", "the"], "": ["étrangement", "the"]}
+
+
 def test_strange_texts_go_and_plain_ones_stay(spark):
     rows = [(i, prose(i, 200).replace("ba", "the of and")) for i in range(60)]
     rows += [(100, " ".join(w + "%%%" for w in prose(100, 200).replace("ba", "the of and").split())), (101, "%%% ### " * 5)]
