@@ -1,9 +1,11 @@
 """Quality by compression: which labelled text does a document share its substrings with?
 
 Zstandard dictionaries are trained on good and on bad labelled text. A document is
-compressed whole with either and without one; the differences of the sizes, normalised
-by the sizes themselves and the text's, are calibrated to a probability on labelled
-rows that the dictionaries don't see. Fitting takes a bounded sample of labelled rows.
+compressed with either, block by block, so that what it repeats of itself doesn't hide
+what it shares with a dictionary. The difference of the two sizes, normalised by the
+text's size and by the compressed sizes, is calibrated to a probability, by length, on
+labelled rows that the dictionaries don't see. Fitting takes a bounded sample of
+labelled rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import fold_of, labelled_sample, text_slices, utf8
 
 SAMPLE_CHUNK = 2048
+#: Bytes that are compressed at once; every block of a text counts.
+BLOCK = 1024
+FEATURES = 5
 
 
 @dataclass
@@ -40,16 +45,16 @@ class Sizes:
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         if not self._made:
-            self._made = [zstandard.ZstdCompressor(level=self.level, write_content_size=False)]
+            plain = zstandard.ZstdCompressor(level=self.level, write_content_size=False)
             for raw in (self.good, self.bad):
                 words = zstandard.ZstdCompressionDict(raw) if raw else None
                 if words:
                     words.precompute_compress(level=self.level)
-                self._made.append(zstandard.ZstdCompressor(level=self.level, dict_data=words, write_content_size=False) if words else self._made[0])
-        none, good, bad = (np.array([len(c.compress(t)) for t in texts], float) for c in self._made)
+                self._made.append(zstandard.ZstdCompressor(level=self.level, dict_data=words, write_content_size=False) if words else plain)
+        good, bad = (np.array([sum(len(c.compress(t[i : i + BLOCK])) for i in range(0, max(1, len(t)), BLOCK)) for t in texts], float) for c in self._made)
         n = np.array([max(1, len(t)) for t in texts], float)
-        ratio = np.log(none / n)
-        return np.stack([(bad - good) / none, (bad - good) / n, (bad - good) / (bad + good), ratio, ratio * ratio, np.log(n)], axis=1)
+        by_text, by_size, length = (bad - good) / n, (bad - good) / (bad + good), np.log(n)
+        return np.stack([by_text, by_size, length, by_text * length, by_size * length], axis=1)
 
 
 @dataclass
@@ -100,7 +105,7 @@ def fit(rows: DataFrame, dictionary_size: int = 32 << 10, level: int = 3) -> Mod
     x = sizes.features([r["text"].encode() for r in rest])
     if not len(y) or y.min() == y.max():
         prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-        return Model(sizes, np.zeros(6), np.ones(6), np.r_[np.zeros(6), prior])
+        return Model(sizes, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), prior])
     centre, scale = x.mean(0), x.std(0) + 1e-9
     return Model(sizes, centre, scale, logistic((x - centre) / scale, y))
 
