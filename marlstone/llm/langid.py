@@ -1,12 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Counts of four-character runs per language come from all rows given to learn from, in
-parallel. Of each language those that aren't rare for its volume make the model: for
-each order one sorted array of the runs' 64-bit keys over all languages, and a row of log-probabilities, one
-per language, so a run is looked up once for all of them. A text gets the language of
-the lowest cross-entropy per character. Calibration rows, which counting doesn't see,
-give the cross-entropy to expect of each language and length; what exceeds it by far
-is rejected.
+Counts of four-character runs per language come from all rows given to learn from, and
+from all of these counts, in parallel, the continuation counts of the shorter runs, the
+discounts and the totals of the contexts. Of each language the runs that aren't rare
+for its volume make the model; what the others had goes to their contexts' back-off
+weights, so the distributions still sum to one. The model has, for each order, one
+sorted array of the runs' 64-bit keys over all languages, and a row of
+log-probabilities, one per language, so a run is looked up once for all of them. A text
+gets the language of the lowest cross-entropy per character. Calibration rows, which
+counting doesn't see, give quantiles of the cross-entropy of each language and length;
+what exceeds them by far is rejected.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +123,7 @@ class Model:
     grams: list[Table]  # by order, from 1
     backoff: list[Table]  # log weights of the next lower order, by order, from 1; keys are contexts
     unknown: np.ndarray  # of a symbol never met
-    expected: dict[str, tuple[float, list[float]]] | None = None  # mean cross-entropy, and the most to accept by length class
+    expected: dict[str, tuple[float, list[float]]] | None = None  # median cross-entropy, and the most to accept by length class
 
     def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """A row per run, a column per language."""
@@ -155,85 +159,109 @@ def length_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(int), 15)
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
-    return once / (once + 2 * twice) if once and twice else 0.5
-
-
-def kneser_ney(langs: list[str], types: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """types: of each language the sorted keys of its runs and their counts."""
-    per_lang = []
-    for lang in langs:
-        keys, n = types[lang]
-        orders = []
-        for order in range(ORDER, 0, -1):
-            contexts, at = np.unique(keys >> SIXTEEN, return_inverse=True)
-            d = _discount(n)
-            orders.append((keys, n, d, contexts, np.bincount(at, n), np.bincount(at)))
-            keys, n = np.unique(keys & MASKS[order - 1], return_counts=True)  # distinct predecessors
-        per_lang.append(orders[::-1])
-    union = [np.unique(np.concatenate([o[k][0] for o in per_lang])) for k in range(ORDER)]
-    contexts = [np.unique(np.concatenate([o[k][3] for o in per_lang])) for k in range(ORDER)]
+@dataclass
+class Counts:
+    """Of one language and order: kept runs, sorted, with their counts and what their contexts have."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    discount: float
+    contexts: np.ndarray
+    total: np.ndarray
+    left: np.ndarray  # the share of a context's mass that the order below gets
+
+
+def kneser_ney(langs: list[str], counts: dict[str, list[Counts]]) -> Model:
+    """counts: of each language by order, from 1."""
+    union = [np.unique(np.concatenate([counts[g][k].keys for g in langs])) for k in range(ORDER)]
+    contexts = [np.unique(np.concatenate([counts[g][k].contexts for g in langs])) for k in range(ORDER)]
     vocabulary = len(union[0]) + 1
     grams = [np.zeros((len(u), len(langs)), np.float32) for u in union]
     weights = [np.zeros((len(c), len(langs)), np.float32) for c in contexts]
     unknown = np.zeros(len(langs), np.float32)
-    for col, orders in enumerate(per_lang):
-        below = np.array([1 / vocabulary])  # of the order below, over union[k - 1]
-        for k, (keys, n, d, own, total, kinds) in enumerate(orders):
+    for col, lang in enumerate(langs):
+        shares: list[np.ndarray] = []  # of the orders so far, over their unions
+
+        def share(keys: np.ndarray, order: int) -> np.ndarray:
+            """Probabilities of runs of an order that is done, in the model or not."""
+            if not order:
+                return np.full(len(keys), 1 / vocabulary)
+            at = np.minimum(np.searchsorted(union[order - 1], keys), len(union[order - 1]) - 1)
+            out = shares[order - 1][at]
+            rest = np.flatnonzero(union[order - 1][at] != keys)
+            if len(rest):
+                _, left = of_context(keys[rest], counts[lang][order - 1])
+                out[rest] = left * share(keys[rest] & MASKS[order - 1], order - 1)
+            return out
+
+        def of_context(keys: np.ndarray, own: Counts) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(own.contexts, keys >> SIXTEEN), len(own.contexts) - 1)
+            met = own.contexts[at] == keys >> SIXTEEN
+            return np.where(met, own.total[at], np.inf), np.where(met, own.left[at], 1.0)
+
+        for k, own in enumerate(counts[lang]):
             count = np.zeros(len(union[k]))
-            count[np.searchsorted(union[k], keys)] = n
-            at = np.minimum(np.searchsorted(own, union[k] >> SIXTEEN), len(own) - 1)
-            met = own[at] == union[k] >> SIXTEEN
-            tot, left = np.where(met, total[at], 1.0), np.where(met, d * kinds[at], 1.0)
-            lower = below[np.searchsorted(union[k - 1], union[k] & MASKS[k])] if k else below[0]
-            below = np.maximum(count - d, 0) / tot * met + left / tot * lower
-            grams[k][:, col] = np.log(below)
-            weights[k][np.searchsorted(contexts[k], own), col] = np.log(d * kinds / total)
+            count[np.searchsorted(union[k], own.keys)] = np.maximum(own.n - own.discount, 0)
+            total, left = of_context(union[k], own)
+            shares.append(count / total + left * share(union[k] & MASKS[k], k))
+            grams[k][:, col] = np.log(shares[k])
+            weights[k][np.searchsorted(contexts[k], own.contexts), col] = np.log(own.left)
         unknown[col] = weights[0][0, col] - np.log(vocabulary)
     return Model(langs, [Table(*x) for x in zip(union, grams)], [Table(*x) for x in zip(contexts, weights)], unknown)
 
 
-def fit(rows: DataFrame, max_types: int | None = None) -> Model | None:
-    """Learn from (lang, text). Every row is counted; a language's own volume tells which of its runs make the model.
-
-    A run stays if its count is at least a 4096th of the square root of all counts of its
-    language, so a language of up to 2^24 runs keeps all, and what a larger one keeps
-    grows with it (at most 4096 times that root). Hot languages take nothing from rare ones.
-    With max_types, each language moreover keeps at most its equal share of so many: the
-    least count is then the smallest power of two that satisfies the bound, but the
-    highest power always stays. None if there is nothing to learn from.
-    """
-    counted = run_counts(rows).persist()
-    power = F.floor(F.log2("n")).cast("int")
-    powers = counted.groupBy("lang", power.alias("power")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()  # at most 63 rows a language
-    by_lang: dict[str, list] = {}
-    for r in sorted(powers, key=lambda r: -r["power"]):
-        by_lang.setdefault(r["lang"], []).append(r)
-    least = {}
-    for lang, own in by_lang.items():
-        least[lang] = int(sum(r["n"] for r in own) ** 0.5 / KEEP)
-        kept = 0
-        for i, r in enumerate(own if max_types is not None else []):
-            kept += r["kinds"]
-            if i and kept > max_types // len(by_lang):
-                least[lang] = max(least[lang], 2 ** (r["power"] + 1))
-                break
-    bounds = counted.sparkSession.createDataFrame(list(least.items()), "lang string, least long")  # a row a language
-    found = counted.join(F.broadcast(bounds), "lang").where("n >= least").select("lang", "run", "n").toPandas()
-    counted.unpersist()
-    if not len(found):
-        return None
-    types = {}
-    for lang, part in found.groupby("lang"):
-        keys = part["run"].to_numpy().view(np.uint64)
+def _by_lang(found: pd.DataFrame) -> dict[str, list[np.ndarray]]:
+    """Sorted keys of each language, and its other columns in their order."""
+    out = {}
+    for lang, own in found.groupby("lang"):
+        keys = own["run"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        types[lang] = keys[order], part["n"].to_numpy()[order]
-    return kneser_ney(sorted(types), types)
+        out[lang] = [keys[order], *(own[c].to_numpy()[order] for c in own.columns[2:])]
+    return out
+
 
+def fit(rows: DataFrame) -> Model | None:
+    """Learn from (lang, text). Every row is counted; a language's own volume tells which of its runs make the model.
 
-def calibrate(model: Model, rows: DataFrame, floor: float = 1.5, deviations: float = 8.0) -> None:
-    """Set the cross-entropy to expect of each language by length, from (lang, text) that the counts didn't see."""
+    Discounts, continuation counts and totals are those of all runs. A run stays in the
+    model if its count is at least a 4096th of the square root of all counts of its
+    language, so a language of up to 2^24 characters keeps all, and what a larger one
+    keeps grows with it. Hot languages take nothing from rare ones, and a language's
+    commonest run stays. None if there is nothing to learn from.
+    """
+    orders = [run_counts(rows).persist()]
+    for order in range(ORDER - 1, 0, -1):  # distinct predecessors of the shorter runs
+        shorter = orders[0].select("lang", F.col("run").bitwiseAND(F.lit((1 << (16 * order)) - 1)).alias("run"))
+        orders.insert(0, shorter.groupBy("lang", "run").agg(F.count(F.lit(1)).alias("n")).persist())
+    found: dict[str, list[Counts]] = {}
+    for counted in orders:
+        told = counted.groupBy("lang").agg(F.sum("n").alias("volume"), F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()  # a row a language
+        discount = {r["lang"]: r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] and r["twice"] else 0.5 for r in told}
+        bounds = [(r["lang"], min(r["most"], int(r["volume"] ** 0.5 / KEEP)), discount[r["lang"]]) for r in told]
+        if not bounds:
+            break
+        known = counted.join(F.broadcast(counted.sparkSession.createDataFrame(bounds, "lang string, least long, discount double")), "lang")
+        kept = F.col("n") >= F.col("least")
+        grams = known.where(kept).select("lang", "run", "n").toPandas()
+        context = F.shiftrightunsigned("run", 16).alias("run")
+        sums = known.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum(F.when(kept, F.col("n") - F.col("discount"))).alias("mass"))
+        sums = sums.where("mass is not null").select("lang", "run", "total", (1 - F.col("mass") / F.col("total")).alias("left")).toPandas()  # no more rows than grams
+        contexts = _by_lang(sums)
+        for lang, (keys, n) in _by_lang(grams).items():
+            found.setdefault(lang, []).append(Counts(keys, n, discount[lang], *contexts[lang]))
+    for counted in orders:
+        counted.unpersist()
+    return kneser_ney(sorted(found), found) if found else None
+
+
+def calibrate(model: Model, rows: DataFrame, quantile: float = 0.995, times: float = 2.0, floor: float = 0.25, enough: int = 200) -> None:
+    """Set the cross-entropy to accept of each language by length, from (lang, text) that the counts didn't see.
+
+    A text is accepted up to its language's median and `times` the `quantile` of the
+    excess over it, floor nats at least, among calibration texts of its language and
+    length class; among those of its length in any language where these are fewer than
+    `enough`, or else among all.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,26 +273,18 @@ def calibrate(model: Model, rows: DataFrame, floor: float = 1.5, deviations: flo
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["lang", "class", "entropy"])
 
-    found = rows.select("lang", "text").where("lang is not null and text is not null").mapInArrow(own, "lang string, class long, entropy double")
-    sums = found.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("entropy").alias("s"), F.sum(F.col("entropy") * F.col("entropy")).alias("q")).collect()  # 16 rows a language
+    found = rows.select("lang", "text").where("lang is not null and text is not null").mapInArrow(own, "lang string, class long, entropy double").persist()
+    medians = {r["lang"]: r["m"] for r in found.groupBy("lang").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("m")).collect()}  # a row a language
     model.expected = {}
-    for lang in model.langs:
-        own_rows = [r for r in sums if r["lang"] == lang]
-        n = sum(r["n"] for r in own_rows)
-        if not n:
-            continue
-        mean = sum(r["s"] for r in own_rows) / n
-        by = {r["class"]: r for r in own_rows}
-        overall = max(0.0, sum(r["q"] for r in own_rows) / n - mean * mean) ** 0.5
-        most = []
-        for c in range(16):
-            if c in by and by[c]["n"] >= 30:
-                r = by[c]
-                spread = max(0.0, r["q"] / r["n"] - 2 * mean * r["s"] / r["n"] + mean * mean) ** 0.5
-            else:  # too few of this length to tell; short texts stray more
-                spread = overall * (2 if c < 5 else 1)
-            most.append(mean + max(floor, deviations * spread))
-        model.expected[lang] = (mean, most)
+    if medians:
+        centre = F.create_map(*(F.lit(x) for pair in medians.items() for x in pair))
+        excess = found.select("lang", "class", (F.col("entropy") - F.element_at(centre, F.col("lang"))).alias("excess"))
+        cube = excess.cube("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("excess", quantile, 10_000).alias("q")).collect()  # 17 rows a language, and 17
+        by = {(r["lang"], r["class"]): r["q"] for r in cube if r["n"] >= enough or (r["lang"] is None and r["class"] is None)}
+        for lang, median in medians.items():
+            bound = (by.get((lang, c), by.get((None, c), by[None, None])) for c in range(16))
+            model.expected[lang] = (median, [median + max(floor, times * q) for q in bound])
+    found.unpersist()
 
 
 def predict(docs: DataFrame, model: Model | None, accept: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -273,9 +293,9 @@ def predict(docs: DataFrame, model: Model | None, accept: float = 0.5, id_col: s
     score is the language's share among all languages by likelihood over at most 32
     symbols, times how well the text's cross-entropy agrees with what is expected.
     Null texts and those without a letter, or all where there is no model, are `und`
-    with score 0 and rejected.
+    with score 0 and rejected. Kept columns of the result's names are replaced.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in ("lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(len(keep))]
     source = names[keep.index(text_col)] if text_col in keep else "source"
@@ -295,32 +315,42 @@ def predict(docs: DataFrame, model: Model | None, accept: float = 0.5, id_col: s
                 for i, text in enumerate(texts):
                     if any(map(str.isalpha, text)):
                         langs[i] = lang = m.langs[best[i]]
-                        most = m.expected[lang][1][cls[i]] if m.expected and lang in m.expected else np.inf
-                        fits = 1 / (1 + np.exp(np.clip(4 * (nats[i, best[i]] - most), -40, 40)))
+                        fits = 1.0
+                        if m.expected and lang in m.expected:
+                            median, most = m.expected[lang]
+                            excess = (nats[i, best[i]] - median) / (most[cls[i]] - median)
+                            fits = 1 / (1 + np.exp(np.clip(8 * (excess - 1), -40, 40)))
                         scores[i] = float(share[i] * fits)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")  # kept columns have names of their own here
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "lang_pred", "score", (F.col("score") < accept).alias("rejected"))
 
 
-def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, max_types: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A calibrated model from all folds of docs but held_out; the calibration fold only calibrates."""
     fold = fold_of(F.col(id_col), folds)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), fold.alias("fold"))
-    model = fit(rows.where(~F.col("fold").isin(held_out, calibration)), max_types)
+    model = fit(rows.where(~F.col("fold").isin(held_out, calibration)))
     if model:
         calibrate(model, rows.where(F.col("fold") == calibration))
     return model
 
 
-def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, max_types: int | None = None) -> DataFrame:
+def identified(docs: DataFrame, model: Model | None, accept: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is told and accepted, with the columns they have, whatever their names."""
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    told = predict(docs.toDF(*names.values()), model, accept, names["doc_id"], names["text"], list(names.values()))
+    return told.where(~F.col("rejected")).select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row, learnt from the rows not held out.
 
     Rows with a null id are predicted, but belong to no fold and teach nothing; nor do
     rows with a null language or text. An empty table gives an empty result.
     """
-    model = fit_on_folds(docs, folds, held_out, calibration, max_types)
+    model = fit_on_folds(docs, folds, held_out, calibration)
     out = predict(docs, model)
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

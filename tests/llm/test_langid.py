@@ -92,23 +92,55 @@ def test_foreign_text_is_rejected(spark):
     assert rejected == {1: True, 2: True, 3: False}
 
 
-def test_pruning_keeps_the_bound(spark):
-    rows = spark.createDataFrame([("aa", "abc abd abe " * 50 + " rare words here"), ("bb", "xyz xyw " * 50)], "lang string, text string")
-    full, small = langid.fit(rows), langid.fit(rows, max_types=20)
-    assert len(small.grams[3].keys) <= 20 < len(full.grams[3].keys)
+def test_pruned_distributions_sum_to_one(spark, monkeypatch):
+    """Discounts are those of all runs; what rare runs had goes to the back-off."""
+    rows = spark.createDataFrame([("aa", "abc abd abe acd bad dab " * 50 + " rare words here"), ("bb", "xyz xyw " * 50)], "lang string, text string")
+    full = langid.fit(rows)
+    monkeypatch.setattr(langid, "KEEP", 4)
+    small = langid.fit(rows)
+    assert len(small.grams[3].keys) < len(full.grams[3].keys)
+    symbols = np.array([ord(c) for c in "abcdehorswxyz "], np.uint64)
+    for model in (full, small):
+        for lead in ("abc", " ab", "rar", "e a", "zzz"):
+            base = sum(np.uint64(ord(c)) << np.uint64(16 * (3 - i)) for i, c in enumerate(lead))
+            known = np.exp(model.log_probs(base + symbols)).sum(0) + np.exp(model.log_probs(np.array([base + np.uint64(0x3000)])))[0]
+            assert np.allclose(known, 1, atol=1e-4)
 
 
 def test_a_rare_language_beside_a_hot_one(spark, monkeypatch):
-    """The hot language is pruned by its own volume; the rare one, met once, keeps all its runs."""
+    """The hot language is pruned by its own volume; the rare one, met once, keeps all its runs and its accuracy."""
     monkeypatch.setattr(langid, "KEEP", 4)
     rare = "xyz wvu qrx zuv"
     hot = [("aa", f"abc abd abe acd {chr(97 + i % 26)}{chr(97 + i // 26)}" * 40) for i in range(260)]
-    alone, beside, bounded = (langid.fit(spark.createDataFrame(rows, "lang string, text string"), *more) for rows, *more in (([("bb", rare)],), ([*hot, ("bb", rare)],), ([*hot, ("bb", rare)], 40)))
-    assert beside.langs == bounded.langs == ["aa", "bb"]
-    assert set(alone.grams[3].keys) <= set(beside.grams[3].keys) and set(alone.grams[3].keys) <= set(bounded.grams[3].keys)
+    alone, beside = (langid.fit(spark.createDataFrame(rows, "lang string, text string")) for rows in ([("bb", rare)], [*hot, ("bb", rare)]))
+    assert beside.langs == ["aa", "bb"]
+    assert set(alone.grams[3].keys) <= set(beside.grams[3].keys)
     every = set(langid.runs([t for _, t in hot])[0])
     assert len(beside.grams[3].keys) < len(every)
-    assert beside.entropies([rare])[0].argmin() == 1
+    asked = [rare, "xyz zuv", "wvu wvu qrx", "qrx xyz"]
+    assert (beside.entropies(asked)[0].argmin(1) == 1).all() and (beside.entropies([t for _, t in hot])[0].argmin(1) == 0).all()
+
+
+def test_rejection_rates(spark):
+    """Held-out texts pass; the same texts with their letters exchanged, which is no language, don't."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit_on_folds(docs)
+    held = docs.where((langid.fold_of(F.col("doc_id"), 4) == 2) & (F.length("text") > 40))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = held.withColumn("text", F.translate(F.lower("text"), letters, letters[::-1]))
+    false, true = (langid.predict(d, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] for d in (held, strange))
+    print("rejected: held-out texts", false, "exchanged letters", true)
+    assert false < 0.01 and true > 0.99
+
+
+def test_clashing_names(spark):
+    docs = documents(spark, [(i, "plain words of one language") for i in range(40)])
+    for c in ("score", "rejected", "lang_pred", "source_", "c0", "k1"):
+        docs = docs.withColumn(c, F.lit(c))
+    kept = langid.identified(docs, langid.fit_on_folds(docs))
+    assert kept.columns == docs.columns and kept.count() == 40 and kept.first()["score"] == "score"
+    told = langid.predict(docs, None, keep=docs.columns)
+    assert told.columns.count("score") == 1 and told.where("rejected").count() == 40
 
 
 def test_odd_rows(spark):
