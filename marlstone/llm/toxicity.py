@@ -1,16 +1,21 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the presence of words and of word beginnings, which inflected
-forms share. Labelled texts with identity terms are
-also seen with each term, or its plural, swapped for another of its group; the squared
-change of the score over all features of the two texts is penalised, so mentions of a
-group carry no weight of their own. The model is fitted on a bounded sample of labelled rows; word counts and
-scoring are done in parallel.
+forms share. Labelled texts with exchangeable terms are also seen with each term
+swapped for every other of its group; the squared change of the score between the text
+and the swapped one, over all features that differ, is penalised, so mentions of a
+group carry no weight of their own. Exchangeable are identity terms and their plurals,
+and besides them the neutral words that the training texts themselves use alike: common
+words whose presence doesn't depend on the label, grouped by the words they stand
+beside. The model is fitted on a bounded sample of labelled rows; word counts, contexts,
+swaps and scoring are done in parallel.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,23 +26,27 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import fold_of, labelled_sample, text_slices
 
+Groups = tuple[tuple[str, ...], ...]
 WORD = re.compile(r"[^\W\d_]+")
-#: Terms of a group are exchangeable in a sentence.
-IDENTITY_GROUPS = (
-    ("women", "men", "woman", "man"),
+#: Terms of a group are exchangeable in a sentence: one kind of identity, one language.
+IDENTITY_GROUPS: Groups = (
+    ("women", "men"),
+    ("woman", "man"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("black", "white", "asian", "latino", "arab", "african", "european"),
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrant", "refugee", "citizen", "foreigner"),
     ("old", "young", "elderly", "disabled"),
-    ("mujer", "hombre", "femme", "homme", "frau", "mann"),
+    ("mujer", "hombre"),
+    ("femme", "homme"),
+    ("frau", "mann"),
 )
 #: Plurals that don't end in -s, or are another word; terms that are plurals or have none.
 PLURALS = {"jewish": "jews", "mujer": "mujeres", "frau": "frauen", "mann": "männer"}
 NO_PLURAL = {"women", "men", "woman", "man", "elderly", "disabled", "old", "young"}
 
 
-def inflected(groups: tuple[tuple[str, ...], ...]) -> tuple[tuple[str, ...], ...]:
+def inflected(groups: Groups) -> Groups:
     """The groups, and the groups of their terms' plurals."""
     plurals = (tuple(PLURALS.get(w, f"{w}s") for w in g if w not in NO_PLURAL) for g in groups)
     return (*groups, *(g for g in plurals if g))
@@ -47,44 +56,104 @@ def inflected(groups: tuple[tuple[str, ...], ...]) -> tuple[tuple[str, ...], ...
 STEMS = (4, 5, 6)
 
 
-def words_of(text: str | None, swap: tuple[str, str] | None = None) -> set[str]:
-    """Words in lower case, and their beginnings with a hyphen; of the text with one word put for another, if so asked."""
+def features(word: str) -> set[str]:
+    """A word and its beginnings, with a hyphen."""
+    return {word, *(f"{word[:k]}-" for k in STEMS if len(word) > k)}
+
+
+def words_of(text: str | None) -> set[str]:
+    """Words in lower case, and their beginnings with a hyphen."""
     words = set(WORD.findall((text or "").lower()))
-    if swap:
-        words = words - {swap[0]} | {swap[1]}
     return words.union(*([f"{w[:k]}-" for w in words if len(w) > k] for k in STEMS))
 
 
+def swaps(text: str | None, groups: Groups) -> Iterator[tuple[str, str, set[str], set[str]]]:
+    """(term, other, gone, new) for each term of the text and each other term of its group: how the features of the text with other in the term's place differ."""
+    words = set(WORD.findall((text or "").lower()))
+    there = [(t, g) for g in groups for t in g if t in words]
+    if there:
+        met = Counter(x for w in words for x in features(w))
+        for term, group in there:
+            own = {x for x in features(term) if met[x] == 1}
+            for other in group:
+                if other != term:
+                    others = features(other)
+                    yield term, other, own - others, {x for x in others if x not in met}
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
+    pairs: int = 0  # text and swapped text, as many as the fit penalised
 
     def score(self, text: str | None) -> float:
         w = self.weights
-        z = self.bias + sum(w[x] for x in words_of(text) & w.keys())
+        z = self.bias + math.fsum(w[x] for x in words_of(text) & w.keys())
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _bags(rows: DataFrame, groups: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """(label, words, swapped): the words of a text, and of the text with each of its terms swapped for the next of its group."""
-    after = [(w, g[(k + 1) % len(g)]) for g in groups for k, w in enumerate(g) if len(g) > 1]
+def _bags(rows: DataFrame) -> DataFrame:
+    """(label, words): the features of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            texts = part.column("text").to_pylist()
-            bags = [words_of(t) for t in texts]
-            swapped = [[sorted(words_of(t, s)) for s in after if s[0] in b] for t, b in zip(texts, bags)]
-            columns = [part.column("label"), pa.array(map(sorted, bags), pa.list_(pa.string())), pa.array(swapped, pa.list_(pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "words", "swapped"])
+            bags = [sorted(words_of(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(bags, pa.list_(pa.string()))], ["label", "words"])
+
+    return rows.select("label", "text").mapInArrow(run, "label int, words array<string>")
+
 
-    return rows.select("label", "text").mapInArrow(run, "label int, words array<string>, swapped array<array<string>>")
+def neutral_groups(rows: DataFrame, words: list[str], alike: float = 0.5, size: int = 3) -> Groups:
+    """Groups of at most `size` of these words that stand beside the same ones of them, by cosine."""
+    index = {w: i for i, w in enumerate(words)}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for part in text_slices(batches):
+            for text in part.column("text").to_pylist():
+                ids = [index.get(w, -1) for w in WORD.findall((text or "").lower())]
+                met.update((a, b) for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0)
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*met)] + [pa.array(list(met.values()), pa.int64())], ["a", "b", "n"])
+
+    beside = np.zeros((len(words), len(words)))
+    for r in rows.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # the words' number squared, at most
+        beside[r["a"], r["b"]] = r["n"]
+    context = np.sqrt(np.c_[beside, beside.T])
+    context /= np.linalg.norm(context, axis=1, keepdims=True) + 1e-9
+    near = np.triu(context @ context.T, 1)
+    groups = {i: [i] for i in range(len(words))}
+    for flat in np.argsort(-near, axis=None, kind="stable"):
+        a, b = divmod(int(flat), len(words))
+        if near[a, b] < alike:
+            break
+        one, two = groups[a], groups[b]
+        if one is not two and len(one) + len(two) <= size:
+            one += two
+            groups.update(dict.fromkeys(two, one))
+    found = {id(g): tuple(words[i] for i in g) for g in groups.values() if len(g) > 1}
+    return tuple(sorted(found.values()))
+
+
+def _coded(rows: DataFrame, index: dict[str, int], groups: list[Groups]) -> DataFrame:
+    """(label, ids, swaps): the model's features of a text, and the kind (which of groups) and the signed differences of each of its swaps. Features count from 1 in these, gone ones are negative."""
 
-def _swaps(bag: list[int], groups: list[list[int]]) -> list[list[int]]:
-    """The bag with each of its terms exchanged for the next of its group."""
-    there = set(bag)
-    return [[*(x for x in bag if x != t), g[(k + 1) % len(g)]] for g in groups for k, t in enumerate(g) if t in there]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            ids, told = [], []
+            for text in part.column("text").to_pylist():
+                ids.append(sorted(index[x] for x in words_of(text) & index.keys()))
+                own = []
+                for kind, some in enumerate(groups):
+                    for _, _, gone, new in swaps(text, some):
+                        change = [*sorted(-1 - index[x] for x in gone & index.keys()), *sorted(1 + index[x] for x in new & index.keys())]
+                        if change:
+                            own.append([kind, *change])
+                told.append(own)
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(told, pa.list_(pa.list_(pa.int32())))], ["label", "ids", "swaps"])
+
+    return rows.select("label", "text").mapInArrow(run, "label int, ids array<int>, swaps array<array<int>>")
 
 
 def _flat(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,27 +162,28 @@ def _flat(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate([np.array(b, np.int64) for b in bags]) if len(rows) else np.zeros(0, np.int64)
 
 
-def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[list[int]], penalty: float, ridge: float = 1e-4, steps: int = 400, swapped: list[list[list[int]]] | None = None) -> tuple[np.ndarray, float]:
+def train(bags: list[list[int]], labels: np.ndarray, size: int, swapped: list[list[list[int]]], penalty: float, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated full-batch gradient descent.
 
-    swapped has the counterfactual bags of each bag; without it terms are exchanged by groups.
+    swapped has, for each bag, (kind, differences...) of its counterfactuals as _coded
+    gives them; the penalty is on the mean over the counterfactuals of each kind.
     """
     rows, cols = _flat(bags)
-    if swapped is None:
-        swapped = [_swaps(bag, groups) for bag in bags]
     doc = np.repeat(np.arange(len(bags)), [len(s) for s in swapped])
-    others = [b for s in swapped for b in s]
-    own_rows, own_cols = _flat([bags[i] for i in doc])
-    rows2, cols2 = _flat(others)
+    kinds: dict[tuple[int, ...], int] = {}  # the same difference in many texts counts once here
+    which = np.array([kinds.setdefault(tuple(c), len(kinds)) for s in swapped for c in s], np.int64)
+    rows2, signed = _flat([list(c[1:]) for c in kinds])
+    cols2, sign = np.abs(signed) - 1, np.sign(signed).astype(float)
     n, w, bias = len(bags), np.zeros(size), 0.0
     hot = labels.sum()
     cost = np.where(labels == 1, n / (2 * hot), n / (2 * (n - hot)))  # both labels count the same in all
     width = cost * (np.bincount(rows, minlength=n) + 1.0)
+    group = np.array([c[0] for c in kinds], np.int64)[which]
+    share = penalty / np.maximum(np.bincount(group), 1)[group] if len(doc) else np.zeros(0)
     # each weight's own step: the curvature is at most this diagonal
-    keys, at = np.unique(np.r_[own_rows * size + own_cols, rows2 * size + cols2], return_inverse=True)
-    keys = keys[np.bincount(at, np.repeat([1.0, -1.0], [len(own_rows), len(rows2)]), len(keys)) != 0]  # what a swap changes
-    wide = np.bincount(keys // size, minlength=len(doc)).astype(float)
-    curve = np.bincount(keys % size, wide[keys // size], size) / 2 / np.maximum(np.bincount(keys % size, minlength=size), 1)
+    wide = np.bincount(rows2, minlength=len(kinds)).astype(float)
+    curve = np.zeros(size)
+    np.maximum.at(curve, cols2, wide[rows2] / 2)
     rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + penalty * curve)
     bias_rate = 1 / (0.25 * width.mean())
     ahead, ahead_bias, t = w.copy(), bias, 1.0
@@ -123,12 +193,12 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
         miss = cost * (p - labels) / n
         grad = np.bincount(cols, miss[rows], size) + ridge * ahead
         if len(doc):  # (s(x) - s(x'))^2, s the score
-            z2 = np.bincount(rows2, ahead[cols2], len(doc)) + ahead_bias
-            p2 = 1 / (1 + np.exp(-np.clip(z2, -40, 40)))
-            diff = 2 * penalty * (p[doc] - p2) / len(doc)
-            slope, slope2 = p[doc] * (1 - p[doc]), p2 * (1 - p2)
-            at_doc = np.bincount(doc, diff * slope, n)
-            grad += np.bincount(cols, at_doc[rows], size) - np.bincount(cols2, (diff * slope2)[rows2], size)
+            moved = np.bincount(rows2, sign * ahead[cols2], len(kinds))
+            p2 = 1 / (1 + np.exp(-np.clip(z[doc] + moved[which], -40, 40)))
+            diff = 2 * share * (p[doc] - p2)
+            down, up = diff * p[doc] * (1 - p[doc]), diff * p2 * (1 - p2)
+            grad += np.bincount(cols, np.bincount(doc, down - up, n)[rows], size)
+            grad -= np.bincount(cols2, sign * np.bincount(which, up, len(kinds))[rows2], size)
         new, new_bias = ahead - rate * grad, ahead_bias - bias_rate * miss.sum()
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
@@ -136,34 +206,36 @@ def train(bags: list[list[int]], labels: np.ndarray, size: int, groups: list[lis
     return w, bias
 
 
-def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
+def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: Groups = IDENTITY_GROUPS, neutral: int = 64) -> Model:
     """Learn from a bounded sample of (doc_id, text, label).
 
     The features are the words whose presence differs most between labels by the
-    chi-square statistic, at most `vocabulary`, and the identity terms and their plurals.
+    chi-square statistic, at most `vocabulary`, and the exchangeable terms: the groups'
+    and their plurals, and those grouped among the `neutral` commonest words whose
+    presence doesn't differ (chi-square of 3.84 at most).
     """
-    groups = inflected(groups)
-    bags = _bags(rows.where("label is not null"), groups).persist()
-    total = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("hot")).first()
+    rows = rows.where("label is not null").persist()
+    bags = _bags(rows)
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("hot")).first()
     n, hot = total["n"], total["hot"]
     if not hot or hot == n:
-        bags.unpersist()
+        rows.unpersist()
         return Model({}, float(np.log((hot + 0.5) / (n - hot + 0.5))))
     a, both = F.col("hot").cast("double"), F.col("n").cast("double")
     odds = a * F.lit(float(n)) - both * F.lit(float(hot))
     chi = odds * odds * F.lit(float(n)) / (both * (F.lit(float(n)) - both + F.lit(1e-9)) * F.lit(float(hot)) * F.lit(float(n - hot)))
     counts = bags.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hot"))
-    best = counts.where("n >= 3").select("word", chi.alias("chi")).where("chi > 15").orderBy(F.desc("chi"), "word").limit(vocabulary)
-    words = [r["word"] for r in best.collect()]
-    words += [w for g in groups for w in g if w not in set(words)]
-    index = {w: i for i, w in enumerate(words)}
-    chosen = F.array(*map(F.lit, words))
-    swapped = F.transform("swapped", lambda s: F.array_intersect(s, chosen))
-    sets = bags.select("label", F.array_intersect("words", chosen).alias("words"), swapped.alias("swapped")).collect()  # bounded by the sample and the vocabulary
-    bags.unpersist()
-    ids = [[index[w] for w in r["words"]] for r in sets]
-    w, bias = train(ids, np.array([r["label"] for r in sets], float), len(words), [[index[x] for x in g] for g in groups], penalty, swapped=[[[index[w] for w in s] for s in r["swapped"]] for r in sets])
-    return Model(dict(zip(words, w.tolist())), float(bias))
+    counts = counts.where("n >= 3").select("word", "n", chi.alias("chi")).persist()
+    words = [r["word"] for r in counts.where("chi > 15").orderBy(F.desc("chi"), "word").limit(vocabulary).collect()]
+    plain = counts.where("chi <= 3.84 and not word like '%-'").orderBy(F.desc("n"), "word").limit(neutral).collect()
+    counts.unpersist()
+    alike = [inflected(groups), neutral_groups(rows, [r["word"] for r in plain])]
+    words = list(dict.fromkeys([*words, *(w for some in alike for g in some for w in g)]))
+    sets = _coded(rows, {w: i for i, w in enumerate(words)}, alike).collect()  # bounded by the sample, the vocabulary and the groups
+    rows.unpersist()
+    swapped = [r["swaps"] for r in sets]
+    w, bias = train([r["ids"] for r in sets], np.array([r["label"] for r in sets], float), len(words), swapped, penalty)
+    return Model(dict(zip(words, w.tolist())), float(bias), sum(map(len, swapped)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -50,13 +50,27 @@ def test_penalty_holds_for_stems_and_plurals(spark):
     assert gap[0] > 0.3 and gap[1] < 0.25 * gap[0]
 
 
+def test_swaps_are_those_of_the_swapped_text():
+    """Differences equal those between the features of the text and of the text with the other word in its place."""
+    groups = toxicity.inflected(toxicity.IDENTITY_GROUPS)
+    texts = ["The Muslims met a muslim and muslin traders", "women and men; womenfolk", "old", "", None, "christian christians christianity", "gay black frauen"]
+    for text in texts:
+        seen = 0
+        for term, other, gone, new in toxicity.swaps(text, groups):
+            before, after = toxicity.words_of(text), toxicity.words_of(toxicity.re.sub(rf"\b{term}\b", other, text.lower()))
+            assert gone == before - after and new == after - before
+            seen += 1
+        words = set(toxicity.WORD.findall((text or "").lower()))
+        assert seen == sum(len(g) - 1 for g in groups for t in g if t in words)
+
+
 def test_gradient_is_right():
     """The accelerated descent ends where the loss is flat."""
     r = np.random.default_rng(3)
     bags = [sorted(r.choice(8, 3, replace=False).tolist()) for _ in range(60)]
     y = np.array([float(0 in b or r.random() < 0.2) for b in bags])
-    groups = [[5, 6]]
-    w, b = toxicity.train(bags, y, 8, groups, penalty=2.0, ridge=0.01, steps=3000)
+    swapped = [[[0, -1 - a, *([1 + c] if c not in b else [])] for a, c in ((5, 6), (6, 5)) if a in b] for b in bags]
+    w, b = toxicity.train(bags, y, 8, swapped, penalty=2.0, ridge=0.01, steps=3000)
 
     def loss(w, b):
         x = np.array([[i in bag for i in range(8)] for bag in bags], float)
@@ -67,8 +81,9 @@ def test_gradient_is_right():
         for row in x:
             for a, c in ((5, 6), (6, 5)):
                 if row[a]:
-                    z = row @ w + b
-                    diffs.append((1 / (1 + np.exp(-z)) - 1 / (1 + np.exp(-(z - w[a] + w[c])))) ** 2)
+                    other = row.copy()
+                    other[a], other[c] = 0, 1
+                    diffs.append((1 / (1 + np.exp(-(row @ w + b))) - 1 / (1 + np.exp(-(other @ w + b)))) ** 2)
         return out + 2.0 * np.mean(diffs)
 
     at = loss(w, b)
@@ -79,6 +94,36 @@ def test_gradient_is_right():
             assert loss(moved, b) > at - 2e-6
 
 
+def test_scores_equal_a_plain_version(spark):
+    """Scoring is the model's weights over the words and beginnings of each whole text."""
+    model = toxicity.Model({"idiot": 2.0, "idio-": 0.5, "kind": -1.0}, -0.25)
+    rows = [(1, "Idiot! kind"), (2, "idiots"), (3, None), (4, "x " * 50_000 + "IDIOT")]
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, rows), model).collect()}
+    want = {1: 2.0 + 0.5 - 1.0 - 0.25, 2: 0.5 - 0.25, 3: -0.25, 4: 2.5 - 0.25}
+    assert all(abs(found[i] - 1 / (1 + np.exp(-z))) < 1e-12 for i, z in want.items())
+
+
+def test_pairs_are_penalised_on_a_corpus_without_identity_terms(spark):
+    """The corpus's own exchangeable words take part, and their swaps move the score less than without the penalty."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label")).where("doc_id % 3 = 0")
+    free, bound = (toxicity.fit(rows, penalty=p) for p in (0.0, 1.0))
+    assert free.pairs == bound.pairs > 1000
+    words = [r["word"] for r in rows.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").groupBy("word").count().orderBy(F.desc("count")).limit(40).collect()]
+    groups = toxicity.neutral_groups(rows, words)
+    assert groups and all(1 < len(g) <= 3 for g in groups)
+    texts = [r["text"] for r in rows.limit(60).collect()]
+
+    def gap(model):
+        w, out = model.weights, []
+        for text in texts:
+            for _, _, gone, new in toxicity.swaps(text, groups):
+                out.append(abs(sum(w.get(x, 0) for x in new) - sum(w.get(x, 0) for x in gone)))
+        return np.mean(out)
+
+    assert gap(bound) < gap(free)
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD).withColumn("label", F.lit("x")).withColumn("words", F.lit(1))
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (4, 0), (77, 1), (None, 1), (5, None)], "doc_id long, toxic int")
