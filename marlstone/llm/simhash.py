@@ -9,6 +9,10 @@ fingerprints is computed once; by the triangle inequality a pair whose largest
 coordinate difference exceeds d can't be within d bits and is discarded; what
 survives is verified on the fingerprints themselves.
 
+Beyond the distance that the blocks find exactly, pairs can be taken too where a bucket
+has them; a second fingerprint, of other features, then confirms a pair, so that chance
+doesn't link texts of one language however large the corpus is.
+
 Only distinct fingerprints meet in buckets: exact copies are collapsed first by a
 grouped minimum. A bucket emits a spanning forest of its links, not its pairs. A bucket
 that outgrows BUCKET_ROWS isn't held: it is put off and dealt out in pairs of blocks,
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stash, text_slices, utf8
+from marlstone.llm.common import join_hot, stash, text_slices, utf8
 from marlstone.llm.components import connected_components
 
 BITS = 64
@@ -37,32 +41,40 @@ SHINGLE_BLOCK = 1 << 16
 BUCKET_ROWS = 1 << 16
 
 
-def fingerprint(text: bytes, shingle_words: int = 4) -> int:
-    """Unsigned 64-bit fingerprint of a UTF-8 text; zero if it has no word."""
+def fingerprint(text: bytes, shingle_words: int = 4, distinct: bool = False) -> int:
+    """Unsigned 64-bit fingerprint of a UTF-8 text's shingles, repeats included or not; zero if it has no word."""
     words = text.lower().split()
     if not words:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     last = max(1, len(words) - shingle_words + 1)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, last, SHINGLE_BLOCK):
-        part = words[at : min(at + SHINGLE_BLOCK, last) + shingle_words - 1]
-        grams = zip(*(part[i:] for i in range(shingle_words))) if len(words) >= shingle_words else [words]
-        hashes = np.array([digest(join(g), SEED) for g in grams], "<u8")
+
+    def grams(part: list[bytes]) -> Iterator[bytes]:
+        return map(join, zip(*(part[i:] for i in range(shingle_words)))) if len(words) >= shingle_words else iter([join(words)])
+
+    if distinct:
+        kinds = list(set(grams(words)))
+        parts, last = (kinds[at : at + SHINGLE_BLOCK] for at in range(0, len(kinds), SHINGLE_BLOCK)), len(kinds)
+    else:
+        parts = (grams(words[at : min(at + SHINGLE_BLOCK, last) + shingle_words - 1]) for at in range(0, last, SHINGLE_BLOCK))
+    for part in parts:
+        hashes = np.array([digest(g, SEED) for g in part], "<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of docs, fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False, confirm_words: int | None = None) -> DataFrame:
+    """(doc_id, fp, fp2): one row per row of docs, as signed longs; fp2 is that of confirm_words, or zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            fps = np.array([fingerprint(t, shingle_words) for t in utf8(part, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = utf8(part, "text")
+            fps = [np.array([fingerprint(t, k, distinct) if k else 0 for t in texts], np.uint64).view(np.int64) for k in (shingle_words, confirm_words)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, fps)], ["doc_id", "fp", "fp2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, fp2 long")
 
 
 def pivots(count: int) -> np.ndarray:
@@ -79,17 +91,18 @@ def block_masks(distance: int, kept: int = 3) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def _near(x: int, coords: np.ndarray, fps: np.ndarray, table: np.ndarray, distance: int) -> np.ndarray:
-    """Indices of fps within distance of fingerprint x, whose pivot distances are coords."""
+def _near(x: int, y: int, coords: np.ndarray, fps: np.ndarray, seconds: np.ndarray, table: np.ndarray, distance: int, confirm: int) -> np.ndarray:
+    """Indices of the fingerprints near to x and, by the second ones, to y; coords are the pivot distances of x."""
     left = np.arange(len(fps))
     for c in range(table.shape[1]):
         left = left[np.abs(table[left, c] - coords[c]) <= distance]
         if not len(left):
             return left
-    return left[np.bitwise_count(fps[left] ^ x) <= distance]
+    left = left[np.bitwise_count(fps[left] ^ x) <= distance]
+    return left[np.bitwise_count(seconds[left] ^ y) <= confirm]
 
 
-def forest(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, seconds: np.ndarray, table: np.ndarray, distance: int, confirm: int) -> list[tuple[int, int]]:
     """Links that connect what is connected within the bucket, one less than members of each component.
 
     A breadth-first search over the members not yet reached, which shrink fast where
@@ -100,7 +113,7 @@ def forest(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int,
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            hit = _near(fps[x], table[x], fps[rest], table[rest], distance)
+            hit = _near(fps[x], seconds[x], table[x], fps[rest], seconds[rest], table[rest], distance, confirm)
             if len(hit):
                 found = rest[hit]
                 links += [(int(x), int(y)) for y in found]
@@ -109,32 +122,33 @@ def forest(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int,
     return links
 
 
-def _links(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, distance: int, confirm: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets, whose rows stand together."""
     starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
     sizes = np.diff(np.r_[starts, len(key)])
     shared = np.repeat(sizes > 1, sizes)
-    fp, node, sizes = fp[shared], node[shared], sizes[sizes > 1]
+    fp, fp2, node, sizes = fp[shared], fp2[shared], node[shared], sizes[sizes > 1]
     starts = np.cumsum(sizes) - sizes
     table = np.stack([np.bitwise_count(fp ^ p).astype(np.int8) for p in refs], axis=1)
     two = starts[sizes == 2]
     for c in range(len(refs)):
         two = two[np.abs(table[two, c] - table[two + 1, c]) <= distance]
     two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
+    two = two[np.bitwise_count(fp2[two] ^ fp2[two + 1]) <= confirm]
     a, b = [node[two]], [node[two + 1]]
     for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-        if pairs := forest(fp[s : s + n], table[s : s + n], distance):
+        if pairs := forest(fp[s : s + n], fp2[s : s + n], table[s : s + n], distance, confirm):
             x, y = np.array(pairs).T
             a.append(node[s + x])
             b.append(node[s + y])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, refs: np.ndarray, limit: int | None) -> Iterator[pa.RecordBatch]:
+def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, confirm: int, refs: np.ndarray, limit: int | None) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a bucket may span batches. One of more than limit rows gives its key and size instead of links."""
 
     def linked(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        a, b = _links(*(np.concatenate(x) for x in zip(*held)), distance, refs)
+        a, b = _links(*(np.concatenate(x) for x in zip(*held)), distance, confirm, refs)
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], ["a", "b", "choice", "key", "size"])
 
@@ -147,8 +161,8 @@ def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, refs: np.nd
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("choice", "key", "fp", "node")]
-        cols[2] = cols[2].view(np.uint64)
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("choice", "key", "fp", "fp2", "node")]
+        cols[2:4] = [c.view(np.uint64) for c in cols[2:4]]
         edges = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]), True])
         first = (cols[0][0], cols[1][0])
         done, at = [], 0
@@ -175,30 +189,43 @@ def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, refs: np.nd
         yield put_off(*now, size)
 
 
-def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16, bucket_rows: int = BUCKET_ROWS, exact: int | None = None, confirm: int = BITS) -> DataFrame:
     """Links (a, b) between node ids whose fingerprints differ in at most distance bits.
 
-    reps has distinct fp and their node. The links form spanning forests of buckets;
-    together they connect exactly what the full link relation connects.
+    reps has distinct fp and their node, and fp2 where a link needs second fingerprints
+    within `confirm` bits too. The links form spanning forests of buckets. All links of
+    up to `exact` bits (distance, if not given) are in a bucket, so together they
+    connect what these connect; of wider ones those that share three blocks.
     """
     refs = pivots(n_pivots)
     schema = "a long, b long, choice long, key long, size long"
-    choices = F.array(*(F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(distance))))
-    keyed = reps.select("fp", "node", F.explode(choices).alias("k")).select("k.choice", "k.key", "fp", "node")
+    if "fp2" not in reps.columns:
+        reps = reps.withColumn("fp2", F.lit(0).cast("long"))
+    masks = block_masks(distance if exact is None else exact)
+    choices = F.array(*(F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
+    keyed = reps.select("fp", "fp2", "node", F.explode(choices).alias("k")).select("k.choice", "k.key", "fp", "fp2", "node")
     dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
-    solved = stash(dealt.mapInArrow(lambda it: _solve_buckets(it, distance, refs, bucket_rows), schema), "simhash-links")
+    solved = stash(dealt.mapInArrow(lambda it: _solve_buckets(it, distance, confirm, refs, bucket_rows), schema), "simhash-links")
     links = solved.where("a is not null").select("a", "b")
     large = solved.where("a is null").select("choice", "key", "size")
     if not large.isEmpty():
         blocks = F.ceil(F.col("size") / bucket_rows)
-        own = F.pmod(F.xxhash64("fp"), blocks)
-        rows = keyed.join(large, ["choice", "key"]).select("choice", "key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        own = F.pmod(F.xxhash64("fp", "fp2"), blocks)
+        rows = keyed.join(large, ["choice", "key"]).select("choice", "key", "fp", "fp2", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        rows = rows.select("choice", pair.alias("key"), "fp", "node").repartition("choice", "key").sortWithinPartitions("choice", "key")
-        links = links.unionByName(rows.mapInArrow(lambda it: _solve_buckets(it, distance, refs, None), schema).select("a", "b"))
+        rows = rows.select("choice", pair.alias("key"), "fp", "fp2", "node").repartition("choice", "key").sortWithinPartitions("choice", "key")
+        links = links.unionByName(rows.mapInArrow(lambda it: _solve_buckets(it, distance, confirm, refs, None), schema).select("a", "b"))
     return links.distinct()
 
 
+def _grouped(signed: DataFrame, **how: int | None) -> DataFrame:
+    """(doc_id, fp, fp2, component_id) of fingerprints; equal ones count as one, of which no hot one is shuffled."""
+    reps = stash(signed.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    groups = connected_components(fingerprint_links(reps.where("node is not null").select("fp", "fp2", "node"), **how))
+    named = stash(reps.join(groups, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"), "n"), "simhash-groups")
+    return join_hot(signed, named, ["fp", "fp2"], "n", signed.count())
+
+
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int = 4, n_pivots: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for every row of docs.
 
@@ -209,8 +236,18 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int
     empty table gives an empty result; other columns of docs are not read.
     """
     signed = stash(fingerprints(docs, shingle_words, id_col, text_col), "simhash")
-    reps = stash(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    groups = connected_components(fingerprint_links(reps.where("node is not null"), distance, n_pivots))
-    named = reps.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = stash(named, "simhash-groups")
-    return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(signed, distance=distance, n_pivots=n_pivots)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, distance: int = 8, confirm: int = 12, exact: int = 4, n_pivots: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row of docs, for texts that are edited copies of each other.
+
+    Texts link if the fingerprints of their distinct words differ in at most distance
+    bits and those of their distinct word pairs in at most confirm. Copies that share
+    0.8 of their five-word shingles differ in up to 8 and 10 bits. Links of up to
+    `exact` bits are all found, wider ones where they share three of the blocks. Odd
+    rows are as in near_duplicate_groups.
+    """
+    signed = stash(fingerprints(docs, 1, id_col, text_col, distinct=True, confirm_words=2), "simhash")
+    return _grouped(signed, distance=distance, n_pivots=n_pivots, exact=exact, confirm=confirm).select("doc_id", "component_id")

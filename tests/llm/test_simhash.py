@@ -85,6 +85,44 @@ def test_dense_fingerprints_lose_no_link(spark):
     assert plain_components(links, range(len(nodes))) == plain_components(every, range(len(nodes)))
 
 
+def plain_distinct(text, k):
+    words = (text or "").encode().lower().split()
+    grams = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    return sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(g, 42) >> b & 1 for g in grams) > len(grams))
+
+
+def edited():
+    """Copies of long texts with 1 to 5 words of 250 changed, and texts that only share their language."""
+    rows = []
+    for base in range(30):
+        words = prose(base, 250).split()
+        for copy in range(6):
+            w = list(words)
+            for i in range(copy):
+                w[(17 * copy + 53 * i + base) % len(w)] = f"changed{copy}{i}"
+            rows.append((base * 10 + copy, " ".join(w)))
+    return rows + [(5000, ""), (5001, None), (5002, "one two")]
+
+
+def test_near_copies_against_all_pairs(spark):
+    rows = edited()
+    fps = {d: (plain_distinct(t, 1), plain_distinct(t, 2)) for d, t in rows}
+    ids = sorted(fps)
+    near = lambda a, b, d: (fps[a][0] ^ fps[b][0]).bit_count() <= d and (fps[a][1] ^ fps[b][1]).bit_count() <= 12
+    pairs = [(a, b) for a in ids for b in ids if a < b and near(a, b, 8)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, rows)).collect()}
+    whole, least = plain_components(pairs, ids), plain_components([p for p in pairs if near(*p, 4)], ids)
+    assert sorted(found) == ids
+    for a, b in pairs:
+        assert found[a] == found[b] or least[a] != least[b]
+        assert whole[found[a]] == whole[a]
+    told = sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+    caught = sum(found[b * 10 + c] == b * 10 for b in range(30) for c in range(1, 6)) / 150
+    print("recall of links", told, "of copies", caught)
+    assert told > 0.9 and caught > 0.9
+    assert all(found[b * 10 + c] // 10 == b for b in range(30) for c in range(6)) and found[5001] == 5000
+
+
 def test_pivots_never_discard_a_near_pair():
     refs = simhash.pivots(16)
     r = np.random.default_rng(2)
