@@ -4,7 +4,8 @@ Seeds are runs of `min_match` tokens. A bitmap of fixed size, filled from the
 benchmark's seeds, goes to every task and tells which runs of a document may be seeds;
 these meet the benchmark's in an equi-join, which gives the candidate pairs. A pair
 goes on only if enough item positions are seeds: tiles that cover c tokens hold at
-least c / min_match of them. Tiling then marks the longest non-overlapping matches
+least c / min_match of them. So the join can do without an item's commonest seeds, up to
+less than that number, and loses no pair. Tiling then marks the longest non-overlapping matches
 again and again, finding each by running Karp-Rabin hashes, on what the seeds of a
 document cover (no tile reaches beyond that). Coverage counts item tokens, so
 reordered passages are caught.
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import stash, text_slices
@@ -186,14 +187,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
     found = stash(_stretches(docs, bitmap, sorted(short), id_col, text_col), "stretches")
     places = seeds.groupBy("seed", "item_key", "n").agg(F.count(F.lit(1)).alias("places"))
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(coverage) / F.lit(min_match) - F.lit(1e-9)))
-    candidates = (
-        found.select("row", F.explode("seeds").alias("seed"))
-        .join(places, "seed")
-        .groupBy("row", "item_key", "n")
-        .agg(F.sum("places").alias("places"))
-        .where(F.col("places") >= least)
-        .select("row", "item_key")
-    )
-    texts = items.select(F.xxhash64("item_id", "tokens").alias("item_key"), "item_id", F.col("tokens").alias("item"))
-    pairs = candidates.join(found.select("row", "doc_id", "tokens"), "row").join(texts, "item_key")
+    # a pair has `least` places or more, so one at least beside the item's commonest seeds of less places in all
+    in_docs = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("rows"))
+    common = Window.partitionBy("item_key").orderBy(F.desc("rows"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    rare = places.join(in_docs, "seed").withColumn("so_far", F.sum("places").over(common)).where(F.col("so_far") >= least)
+    candidates = found.select("row", F.explode("seeds").alias("seed")).join(rare.select("seed", "item_key"), "seed").select("row", "item_key").distinct()
+    texts = items.select(F.xxhash64("item_id", "tokens").alias("item_key"), "item_id", F.col("tokens").alias("item"), F.col("seeds").alias("item_seeds"), F.size("tokens").alias("n"))
+    pairs = candidates.join(found, "row").join(texts, "item_key")
+    repeats = F.size("item_seeds") - F.size(F.array_distinct("item_seeds"))
+    pairs = pairs.where(F.size(F.array_intersect("item_seeds", "seeds")) + repeats >= least)
     return _tiled(pairs, min_match).withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens")).where(F.col("coverage") >= coverage)

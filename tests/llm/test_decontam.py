@@ -78,3 +78,25 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in found) == [0, 4, 4]
     assert decontam.contaminated(docs.limit(0), bench).collect() == []
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
+
+
+def test_equals_all_pairs(spark):
+    """Every document against every item, by the plain tiling: items that share a passage, parts in another order, parts left out."""
+    common = prose(900, 12)
+    items = [(k, f"{prose(500 + k, 12 + k)} {common} {prose(600 + k, 8)}") for k in range(12)] + [(50, "short one"), (51, common), (52, prose(700, 4))]
+    rows = []
+    for i in range(90):
+        words = items[i % 12][1].split()
+        cut = i % len(words)
+        moved = words[cut:] + words[:cut]
+        rows.append((i, f"{prose(i, 30)} {' '.join(moved[: len(moved) - i // 12])} {common if i % 3 else 'short one'} {prose(2000 + i, 20)}"))
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for d, text in rows:
+        for k, item in items:
+            a, b = decontam.tokens(text), decontam.tokens(item)
+            covered = sum(n for _, _, n in decontam.tile(a, b, min(5, len(b))))
+            if covered >= 0.8 * len(b):
+                want[d, k] = covered
+    found = {(r["doc_id"], r["item_id"]): r["covered_tokens"] for r in decontam.contaminated(docs, bench).collect()}
+    assert found == want and len({k for _, k in want}) > 8
