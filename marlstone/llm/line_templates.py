@@ -1,11 +1,13 @@
 """Line deduplication by a log-template tree, in Spark's own functions.
 
-Lines are compared in lower case; their tokens with digits become variables. The tree has a fixed depth: the number of
-tokens, then the leading tokens lead to a leaf. Within a leaf the tokens that most of
-its lines share are its template; the positions where they differ are variable fields.
-A line belongs to the leaf's template if enough of its tokens are the template's own,
-or else stands for itself. Lines whose template recurs in many documents are dropped
-from all but the earliest of them.
+Lines are compared in lower case; their tokens with digits become variables. The tree
+has a fixed depth: the number of tokens, then the leading tokens lead to a leaf. A leaf
+may hold several templates. Where most lines of a node share most of their tokens,
+these are its template, the other positions variable fields, and the lines that have
+enough of it leave the node; other nodes are split by the tokens at the position of
+the commonest token, for a fixed number of levels. A line that no template takes
+stands for itself. Lines whose template recurs in many documents are dropped from all
+but the earliest of them.
 
 Lines are counted as hashes first; only what lies in leaves that recur is looked at
 token by token, and each different line of a leaf once.
@@ -13,10 +15,12 @@ token by token, and each different line of a leaf once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stash
+from marlstone.llm.common import HOT_KEYS, join_hot, let, stash
 
 VARIABLE = "<*>"
 #: What a text may have that masking changes; most texts have nothing of it and pass as they are.
@@ -38,61 +42,119 @@ def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def recurring_lines(docs: DataFrame, occurrences: DataFrame, min_docs: int, similarity: float, constant: float) -> DataFrame:
-    """(line, template, first_doc, n_docs): hashes of the masked lines to drop, and of their templates.
-
-    docs has doc_id and text, occurrences doc_id, leaf and line.
+def _line_hashes(text: Column, depth: int, min_tokens: int) -> Column:
+    """Array of (line, pos, leaf, first) of the lines that count; first marks the first of equal lines."""
+
+    def hashed(masked: Column, pos: Column) -> Column:
+        worded = F.replace(F.replace(masked, F.lit(VARIABLE), F.lit("")), F.lit(" "), F.lit("")) != ""
+        n = _tokens(masked)
+        leaf = F.when(worded & (n >= min_tokens), F.xxhash64(n, F.substring_index(masked, " ", depth)))
+        return F.struct(F.xxhash64(masked).alias("line"), pos.alias("pos"), leaf.alias("leaf"))
+
+    def told(each: Column) -> Column:
+        first = lambda x, i: F.coalesce(F.get(each, i - 1)["line"] != x["line"], F.lit(True))
+        return F.transform(each, lambda x, i: F.struct(x["line"].alias("line"), x["pos"].alias("pos"), x["leaf"].alias("leaf"), first(x, i).alias("first")))
+
+    return let(F.array_sort(F.filter(F.transform(masked_lines(text), hashed), lambda x: x["leaf"].isNotNull())), told)
+
+
+def _templates(lines: DataFrame, min_docs: int, similarity: float, constant: float, levels: int) -> DataFrame:
+    """(line, template) of the lines that a template of their leaf takes; lines has leaf, line, n and tokens."""
+    live = lines.select(F.col("leaf").alias("node"), "line", "n", "tokens")
+    found = []
+    for level in range(levels + 1):
+        live = stash(live, "open-lines")
+        total = live.count()
+        if not total:
+            break
+        held = live.select("node", "n", F.posexplode("tokens").alias("at", "token")).groupBy("node", "at", "token")
+        held = stash(held.agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")), "node-tokens")
+        tops = held.groupBy("node", "at").agg(F.max(F.struct("weight", "token")).alias("top"), F.sum("weight").alias("node_n"), F.sum("rows").alias("rows"))
+        weight = F.col("top.weight")
+        shared = F.when(weight >= F.col("node_n") * constant, F.struct("at", F.col("top.token").alias("token")))
+        widest = F.when((weight < F.col("node_n")) & (weight >= min_docs), F.struct((-weight).alias("w"), "at"))
+        nodes = tops.groupBy("node").agg(F.max("node_n").alias("node_n"), F.max("rows").alias("rows"), F.count(F.lit(1)).alias("size"), F.collect_list(shared).alias("shared"), F.min(widest).alias("split"))
+        rows = join_hot(live, nodes, ["node"], "rows", total)
+        least = F.col("size") * similarity
+        is_template = F.size("shared") >= least
+        same = F.size(F.filter("shared", lambda t: F.get("tokens", t["at"]) == t["token"]))
+        rows = rows.select("node", "line", "n", "tokens", "node_n", is_template.alias("is_template"), (is_template & (same >= least)).alias("member"), F.col("split.at").alias("at"))
+        rows = stash(rows, "told-lines")
+        found.append(rows.where(F.col("member") & (F.col("node_n") >= min_docs)).select("line", "node"))
+        if level == levels:
+            break
+        rest = rows.where("is_template and not member").select(F.xxhash64("node", F.lit(-1)).alias("node"), "line", "n", "tokens")
+        parted = rows.where("not is_template and at is not null").withColumn("token", F.expr("get(tokens, at)"))
+        usual = held.where(F.col("weight") >= min_docs).select("node", "at", "token", "rows", F.lit(True).alias("usual"))
+        parted = join_hot(parted, usual, ["node", "at", "token"], "rows", total, how="left")
+        token = F.when(F.col("usual"), F.col("token"))
+        live = rest.unionByName(parted.select(F.xxhash64("node", "at", token).alias("node"), "line", "n", "tokens"))
+    if not found:
+        return lines.select("line", F.col("leaf").alias("template")).limit(0)
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("node", "template")
+
+
+def recurring_lines(docs: DataFrame, occurrences: DataFrame, min_docs: int, similarity: float, constant: float, levels: int) -> DataFrame:
+    """(line, template, first_doc, n): hashes of the masked lines to drop, of their templates, and in how many documents the line is.
+
+    docs has doc_id and text, occurrences doc_id, leaf and line once a document.
     """
+    n_occurrences = occurrences.count()
     counts = stash(occurrences.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-counts")
-    whole = counts.where(F.col("n") >= min_docs).select("line", F.col("line").alias("template"), "first_doc", F.col("n").alias("n_docs"))
+    whole = counts.where(F.col("n") >= min_docs).select("line", F.col("line").alias("template"), "first_doc", "n")
 
-    # lines that don't recur by themselves, in leaves that do
-    rare = counts.where(F.col("n") < min_docs)
-    leaves = rare.groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count(F.lit(1)).alias("kinds")).where((F.col("leaf_n") >= min_docs) & (F.col("kinds") > 1))
-    rare = stash(rare.join(leaves.select("leaf", "leaf_n"), "leaf"), "rare-lines")
+    # leaves that recur, by lines that may not
+    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count(F.lit(1)).alias("kinds"))
+    leaves = leaves.where((F.col("leaf_n") >= min_docs) & (F.col("kinds") > 1))
+    open_lines = stash(join_hot(counts, leaves.select("leaf", "kinds"), ["leaf"], "kinds", counts.count()), "rare-lines")
 
-    # their tokens, each different line once, out of its first document
-    first = docs.join(rare.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the tokens of their lines, each different line once, out of its first document
+    first = docs.join(open_lines.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = first.select("doc_id", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).select("doc_id", "masked", F.xxhash64("masked").alias("line"))
-    each = texts.join(rare.withColumnRenamed("first_doc", "doc_id"), ["doc_id", "line"]).dropDuplicates(["line"])
-    each = stash(each.select("leaf", "line", "n", "leaf_n", F.split("masked", " ").alias("tokens")), "rare-tokens")
-    tokens = each.select("leaf", "line", "n", "leaf_n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
-    held = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("token_n"), F.max("leaf_n").alias("leaf_n"))
-    template = held.where(F.col("token_n") >= F.col("leaf_n") * constant).select("leaf", "at", "token")
-    alike = tokens.join(template, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "line", "size").agg(F.count(F.lit(1)).alias("same"))
-    alike = stash(alike.where(F.col("same") >= F.col("size") * similarity).select("leaf", "line"), "alike-lines")
-    members = occurrences.join(alike.select("line"), "line", "left_semi")
-    wide = members.groupBy("leaf").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    general = alike.join(wide, "leaf").select("line", F.col("leaf").alias("template"), "first_doc", "n_docs")
-    return whole.unionByName(general)
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, constant: float = 0.6, min_tokens: int = 3) -> DataFrame:
+    each = texts.join(open_lines.withColumnRenamed("first_doc", "doc_id"), ["doc_id", "line"]).dropDuplicates(["line"])
+    each = each.select("leaf", "line", "n", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t)).alias("tokens"))
+    alike = stash(_templates(each, min_docs, similarity, constant, levels).join(open_lines.select("line", "n", "first_doc"), "line"), "alike-lines")
+
+    # a template with a recurring line recurs; of the others documents are counted
+    kinds = alike.groupBy("template").agg(F.max("n").alias("most"), F.min("first_doc").alias("first_doc"))
+    rare = alike.where(F.col("n") < min_docs).select("line", "template", "n")
+    hot = F.broadcast(counts.where((F.col("n") >= min_docs) & (F.col("n") > F.lit(n_occurrences / HOT_KEYS))).select("line"))
+    spread = rare.join(occurrences.select("line", "doc_id").join(hot, "line", "left_anti"), "line").groupBy("template").agg(F.count_distinct("doc_id").alias("n_docs"))
+    wide = kinds.join(spread, "template", "left").where((F.col("most") >= min_docs) | (F.col("n_docs") >= min_docs))
+    general = stash(alike.select("line", "template", "n").join(wide.select("template", "first_doc"), "template").select("line", "template", "first_doc", "n"), "general-lines")
+    return whole.join(general.select("line"), "line", "left_anti").unionByName(general)
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, constant: float = 0.6, min_tokens: int = 1, levels: int = 3) -> DataFrame:
     """docs with the text of the lines that stay, and n_lines and n_dropped of every row.
 
     A template recurs if at least min_docs documents have it. Lines of fewer tokens than
-    min_tokens and blank lines always stay, as do the lines of the template's earliest
-    document. Null texts stay null. Rows with a null id are left as they are; a row that
-    repeats an id may count as another document. All other columns pass through, but for
-    n_lines and n_dropped, which are replaced; an empty table gives an empty result.
+    min_tokens, blank lines and lines of nothing but variables always stay, as do the
+    lines of the template's earliest document. Null texts stay null. Rows with a null id
+    are left as they are; a row that repeats an id may count as another document. All
+    other columns pass through, whatever their names, but for n_lines and n_dropped,
+    which are replaced; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    lines = rows.select("doc_id", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).withColumn("n_tokens", _tokens(F.col("masked")))
-    lines = lines.where((F.col("masked") != "") & (F.col("n_tokens") >= min_tokens))
-    leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", depth))
-    occurrences = stash(lines.select("doc_id", leaf.alias("leaf"), F.xxhash64("masked").alias("line")), "line-hashes")
-    told = stash(recurring_lines(rows, occurrences, min_docs, similarity, constant), "recurring")
-    gone = occurrences.select("doc_id", "line").join(told.select("line", "first_doc"), "line").where("doc_id <> first_doc")
-    drops = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__drop"))  # lines of one document
-
-    joined = docs.join(drops, docs["doc_id"] == drops["__id"], "left")
-    pairs = F.arrays_zip(F.split("text", "\n").alias("line"), F.transform(masked_lines(F.col("text")), lambda m: F.xxhash64(m)).alias("hash"))
-    stays = F.transform(F.filter(pairs, lambda p: ~F.array_contains("__drop", p["hash"])), lambda p: p["line"])
-    cut = F.when(F.col("__drop").isNotNull() & F.col("text").isNotNull(), stays)
-    before = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    passed = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    told_rows = joined.select(*(docs[c] for c in passed), docs["text"], before.cast("long").alias("n_lines"), cut.alias("__stays"))
-    text = F.when(F.col("__stays").isNull(), F.col("text")).otherwise(F.array_join("__stays", "\n"))
-    dropped = F.when(F.col("__stays").isNull(), 0).otherwise(F.col("n_lines") - F.size("__stays"))
-    shown = {"text": text.alias("text")}
-    return told_rows.select(*(shown.get(c, F.col(c)) for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", dropped.cast("long").alias("n_dropped"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = docs.toDF(*names.values()).withColumn("text", F.col(names["text"])).withColumn("doc_id", F.col(names["doc_id"]).cast("long"))
+    # positions of lines are those of a text, so a row is known by its id and its text
+    whole = whole.withColumn("row", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64("doc_id", "text")))
+    rows = whole.where("row is not null").select("doc_id", "row", "text")
+    lines = rows.select("doc_id", "row", F.inline(_line_hashes(F.col("text"), depth, min_tokens)))
+    occurrences = stash(lines, "line-hashes")
+    told = stash(recurring_lines(rows, occurrences.where("first").select("doc_id", "leaf", "line"), min_docs, similarity, constant, levels), "recurring")
+    gone = join_hot(occurrences.select("doc_id", "row", "line", "pos"), told.select("line", "first_doc", "n"), ["line"], "n", occurrences.count()).where("doc_id <> first_doc")
+    drops = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("drop"))  # lines of one document
+
+    def between(k: Column) -> Column:
+        """The lines between two that are dropped."""
+        after = F.coalesce(F.get("drop", k - 1), F.lit(-1))
+        return F.slice("lines", after + 2, F.coalesce(F.get("drop", k), F.size("lines")) - after - 1)
+
+    joined = whole.join(drops, ["doc_id", "row"], "left").withColumn("lines", F.split("text", "\n"))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("drop")), between))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
+    passed = [(text if c == "text" else F.col(n)).alias(c) for c, n in names.items() if c not in ("n_lines", "n_dropped")]
+    return joined.select(*passed, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -34,7 +34,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=5)
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=12)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,24 @@ QUERIES: dict[str, Query] = {
 
 _MASKED = """
 raw AS (SELECT doc_id, unnest(range(0, len(parts))) AS pos, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
-masked AS (SELECT doc_id, pos, array_to_string(list_transform(string_split(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS line FROM raw)
+masked AS (SELECT doc_id, pos, lower(array_to_string(list_transform(string_split(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ')) AS line FROM raw)
 """
 
+
+def _level(k: int) -> str:
+    """One level of the tree: its templates in told{k}, and in open{k + 1} what goes on."""
+    return f"""
+held{k} AS (SELECT node, spot, token, sum(n) AS weight FROM (SELECT node, n, unnest(range(0, len(toks))) AS spot, unnest(toks) AS token FROM open{k}) GROUP BY ALL),
+tops{k} AS (SELECT node, spot, arg_max(token, weight) AS token, max(weight) AS weight, sum(weight) AS node_n FROM held{k} GROUP BY 1, 2),
+nodes{k} AS (SELECT node, max(node_n) AS node_n, count(*) AS size, count(*) FILTER (weight >= node_n * 0.6) AS shared, arg_min(spot, (-weight, spot)) FILTER (weight < node_n AND weight >= 5) AS split FROM tops{k} GROUP BY 1),
+same{k} AS (SELECT line, count(*) AS same FROM (SELECT line, node, unnest(range(0, len(toks))) AS spot, unnest(toks) AS token FROM open{k}) JOIN tops{k} USING (node, spot, token) WHERE weight >= node_n * 0.6 GROUP BY 1),
+told{k} AS (SELECT o.*, node_n, split, shared >= size * 0.7 AS is_template, shared >= size * 0.7 AND coalesce(same, 0) >= size * 0.7 AS member FROM open{k} o JOIN nodes{k} USING (node) LEFT JOIN same{k} USING (line)),
+open{k + 1} AS (SELECT CASE WHEN is_template THEN t.node || '/rest' ELSE t.node || '/' || split || ':' || coalesce(h.token, '') END AS node, line, toks, n, first_doc
+  FROM told{k} t LEFT JOIN held{k} h ON h.node = t.node AND h.spot = t.split AND h.token = t.toks[t.split + 1] AND h.weight >= 5 WHERE NOT member AND (is_template OR split IS NOT NULL))"""
+
+
+_LEVELS = 4
+
 ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": """
 WITH parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS p FROM documents),
@@ -79,18 +94,18 @@ each AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS unit FROM pa
 placed AS (SELECT doc_id, unit, CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(unit) - 1 AS BIGINT) AS start FROM each),
 units AS (SELECT doc_id, start, start + length(unit) AS "end", trim(regexp_replace(lower(unit), '[ \\t-\\r]+', ' ', 'g')) AS norm FROM placed),
 ranked AS (SELECT *, row_number() OVER w AS turn, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
-  FROM units WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
+  FROM units WHERE norm <> '' AND len(string_split(norm, ' ')) >= 12 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
 SELECT doc_id, start, "end", kept_doc_id, kept_start FROM ranked WHERE turn > 1""",
     "op9_line_templates": f"""
 WITH {_MASKED},
-lines AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS toks FROM masked WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+lines AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS toks FROM masked WHERE trim(replace(line, '<*>', '')) <> ''),
 counts AS (SELECT line, any_value(toks) AS toks, CAST(len(any_value(toks)) AS VARCHAR) || ' ' || array_to_string(any_value(toks)[1:3], ' ') AS leaf, count(*) AS n, min(doc_id) AS first_doc FROM lines GROUP BY line),
-opened AS (SELECT *, sum(n) OVER (PARTITION BY leaf) AS leaf_n FROM counts WHERE n < 5),
-tokens AS (SELECT leaf, leaf_n, line, n, unnest(range(0, len(toks))) AS pos, unnest(toks) AS tok FROM opened WHERE leaf_n >= 5),
-template AS (SELECT leaf, pos, tok FROM tokens GROUP BY ALL HAVING sum(n) >= max(leaf_n) * 0.6),
-alike AS (SELECT tokens.leaf, line FROM tokens JOIN template USING (leaf, pos, tok) GROUP BY 1, 2 HAVING count(*) >= len(string_split(line, ' ')) * 0.7),
-wide AS (SELECT leaf, min(doc_id) AS first_doc FROM alike JOIN lines USING (line) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
-told AS (SELECT line, first_doc FROM counts WHERE n >= 5 UNION ALL SELECT line, first_doc FROM alike JOIN wide USING (leaf)),
+open0 AS (SELECT leaf AS node, line, toks, n, first_doc FROM (SELECT *, sum(n) OVER w AS leaf_n, count(*) OVER w AS kinds FROM counts WINDOW w AS (PARTITION BY leaf)) WHERE leaf_n >= 5 AND kinds > 1),
+{",".join(map(_level, range(_LEVELS)))},
+alike AS ({" UNION ALL ".join(f"SELECT {k} || node AS node, line, n, first_doc FROM told{k} WHERE member AND node_n >= 5" for k in range(_LEVELS))}),
+wide AS (SELECT node, min(first_doc) AS first_doc FROM alike JOIN lines USING (line) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+general AS (SELECT line, wide.first_doc FROM alike JOIN wide USING (node)),
+told AS (SELECT line, coalesce(g.first_doc, c.first_doc) AS first_doc FROM counts c LEFT JOIN general g USING (line) WHERE c.n >= 5 OR g.first_doc IS NOT NULL),
 marked AS (SELECT raw.doc_id, raw.pos, raw.line, told.line IS NOT NULL AND raw.doc_id <> told.first_doc AS gone FROM raw JOIN masked ON raw.doc_id = masked.doc_id AND raw.pos = masked.pos LEFT JOIN told ON told.line = masked.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5 FROM marked GROUP BY doc_id""",
 }

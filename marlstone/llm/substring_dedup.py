@@ -1,6 +1,7 @@
 """Substring deduplication by hashing lines and the sentences in them.
 
-A unit is a line, or each sentence of a line of several. Units are normalised (case
+A unit is a line, or each sentence of a line of several. Short ones (`min_words`) stay,
+as documents that have nothing else in common share them. Units are normalised (case
 and white space), their 128-bit digests grouped over the whole corpus, and all but the
 earliest ranked occurrence removed. Offsets are those of the original text.
 """
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_slices
+from marlstone.llm.common import stash, text_slices
 
 #: A blank after one of these ends a unit, as a line break does.
 SENTENCE_END = re.compile(r"([.!?]) ")
@@ -32,7 +33,7 @@ def split_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
         at += len(unit) + 1
 
 
-def units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def units(docs: DataFrame, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, high, low): the long enough units of every row and the halves of their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +52,7 @@ def units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, start long, end long, high long, low long")
 
 
-def repeated_units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, kept_doc_id, kept_start): a row for each unit to remove, and the occurrence that stays.
 
     The earliest occurrence is the one of the smallest doc_id, then of the smallest
@@ -60,7 +61,7 @@ def repeated_units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     equal occurrences, which all stay if they are earliest. Empty tables give an empty
     result; other columns are not read.
     """
-    found = units(docs, min_words, id_col, text_col).where("doc_id is not null")
+    found = stash(units(docs, min_words, id_col, text_col).where("doc_id is not null"), "units")
     first = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select("high", "low", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
     return found.join(first, ["high", "low"]).where("doc_id <> kept_doc_id or start <> kept_start").select("doc_id", "start", "end", "kept_doc_id", "kept_start")

@@ -25,7 +25,7 @@ def plain(rows, min_words=5):
 def test_equals_brute_force_and_offsets_hold(spark):
     shared = prose(77, 60)
     rows = [(i, prose(i, 40) + ("\n" + shared.upper() + "\n" if i % 3 == 0 else " ") + prose(1000 + i % 4, 20)) for i in range(30)]
-    found = {tuple(r) for r in substring_dedup.repeated_units(documents(spark, rows)).collect()}
+    found = {tuple(r) for r in substring_dedup.repeated_units(documents(spark, rows), min_words=5).collect()}
     assert found == plain(rows) and found
     texts = dict(rows)
     for d, s, e, kd, ks in found:
@@ -49,5 +49,5 @@ def test_removal():
 
 def test_odd_rows(spark):
     docs = documents(spark, [*ODD, (9, "a b c d e f g h")]).withColumn("high", F.lit(1)).withColumn("kept", F.lit(2))
-    assert {(r["doc_id"], r["kept_doc_id"]) for r in substring_dedup.repeated_units(docs).collect()} == {(9, 4)}
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in substring_dedup.repeated_units(docs, min_words=5).collect()} == {(9, 4)}
     assert substring_dedup.repeated_units(docs.limit(0)).collect() == []
