@@ -30,6 +30,11 @@ def text_range(c: Column, low: str | None, high: str | None) -> Column:
     return out
 
 
+def day_range(c: Column, low: str, high: str) -> Column:
+    """A time within days given as ISO dates, both included; compares the time itself, so files can be skipped by it."""
+    return (c >= F.lit(low).cast("timestamp_ntz")) & (c < F.date_add(F.lit(high), 1).cast("timestamp_ntz"))
+
+
 def with_flag(df: DataFrame, other: DataFrame, on: list[str], wanted: bool | None) -> DataFrame:
     """Rows that have (True) or lack (False) a match in other; all of them for None."""
     if wanted is None:

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """New rows replace old ones of the same key; columns in keep stay as they were first."""
+    """New rows replace old ones of the same key; columns in keep stay as they were first.
+
+    Of several new rows of a key the one whose other columns, in their order, are the
+    greatest wins. Null keys match nothing and are added.
+    """
     kept = keep or []
+    others = [c for c in new.columns if c not in keys]
+    if others:
+        best = new.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__best"))
+        new = best.select(*(F.col(c) if c in keys else F.col(f"__best.{c}").alias(c) for c in new.columns))
+    else:
+        new = new.dropDuplicates(keys)
     first = old.select(*keys, *(F.col(c).alias(f"__{c}") for c in kept))
     fresh = new.join(first, keys, "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in kept else F.col(c) for c in new.columns))
     return old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(fresh)
@@ -79,15 +89,19 @@ def lifecycle(items: DataFrame, awards: DataFrame, visible: DataFrame, observed:
 
 
 def event_batches(docs: DataFrame, category: Column, key: str, titles: tuple[str, str]) -> DataFrame:
-    """One event for each category that isn't null: (event_key, category, n, body, ids).
+    """One event for each category that isn't null: (event_key, category, n, body, first_id, last_id).
 
-    The key holds the category and the sorted ids, so a replay makes the same event.
+    The key holds the category and a digest of its integer ids: their number, sum, sum of
+    squares (modulo a prime), least and greatest. So a replay makes the same event, in
+    whatever order the ids come, and no task gathers a category's ids; `docs` still has them.
     """
-    groups = docs.select(category.alias("category"), key).where("category is not null").groupBy("category")
-    events = groups.agg(F.sort_array(F.collect_list(key)).alias("__ids"), F.count(F.lit(1)).alias("n"))
-    ids = F.array_join(F.transform("__ids", lambda x: x.cast("string")), ",")
+    ids = docs.select(category.alias("category"), F.col(key).cast("long").alias("id")).where("category is not null")
+    rest = F.pmod("id", F.lit(1_000_003))
+    sums = [F.sum(x.cast("decimal(38,0)")) for x in (F.col("id"), F.pmod(rest * rest, F.lit(1_000_003)))]
+    events = ids.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), *(x.alias(f"s{i}") for i, x in enumerate(sums)))
+    digest = F.sha2(F.concat_ws(":", "n", "s0", "s1", "first_id", "last_id"), 256)
     body = F.concat_ws(" ", F.col("n").cast("string"), F.when(F.col("n") == 1, titles[0]).otherwise(titles[1]))
-    return events.select(F.concat_ws(":", "category", F.sha2(ids, 256)).alias("event_key"), "category", "n", body.alias("body"), ids.alias("ids"))
+    return events.select(F.concat_ws(":", "category", digest).alias("event_key"), "category", "n", body.alias("body"), "first_id", "last_id")
 
 
 def pending(outbox: DataFrame, limit: int) -> DataFrame:

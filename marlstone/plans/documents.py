@@ -117,10 +117,10 @@ def lookahead(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM (SELECT *, max(CASE WHEN contains(lower(line), 'license') THEN 1 ELSE 0 END) {_FRAME} AS is_open FROM lines)
-WHERE is_open = 1 AND NOT contains(lower(line), 'license')""")
+WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM (SELECT *, max(CASE WHEN contains(lower(line), 'stupid') THEN 1 ELSE 0 END) {_FRAME} AS is_open FROM lines)
+WHERE is_open = 1 AND NOT contains(lower(line), 'stupid')""")
 def gate(spark: SparkSession, sf: str) -> DataFrame:
-    return segments.gated(_doc_lines(spark, sf), "doc_id", F.contains(F.lower("line"), F.lit("license"))).select("doc_id", "line_no")
+    return segments.gated(_doc_lines(spark, sf), "doc_id", F.contains(F.lower("line"), F.lit("stupid"))).select("doc_id", "line_no")
 
 
 @query(f"""

@@ -58,7 +58,7 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey, d FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders) WHERE d >= '1997-01-01' AND d <= '1997-06-30'")
 def string_date_range(spark: SparkSession, sf: str) -> DataFrame:
     day = F.when(F.col("o_orderkey") % 10 > 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-    rows = table(spark, sf, "orders").select("o_orderkey", day.alias("d"))
+    rows = table(spark, sf, "orders").where(filters.day_range(F.col("o_orderdate"), "1997-01-01", "1997-06-30")).select("o_orderkey", day.alias("d"))
     return rows.where(filters.text_range(F.col("d"), "1997-01-01", "1997-06-30"))
 
 
@@ -221,11 +221,11 @@ def geo_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey, coalesce(string_agg(DISTINCT o_orderstatus, '' ORDER BY o_orderstatus), '') AS statuses, count(o_orderkey) AS n_orders, max(o_totalprice) AS largest
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 1 GROUP BY 1 ORDER BY n_orders DESC, c_custkey LIMIT 20""")
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY n_orders DESC, c_custkey LIMIT 20""")
 def profile_sections(spark: SparkSession, sf: str) -> DataFrame:
     """One section of a profile for many subjects at once."""
     orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    people = table(spark, sf, "customer").where("c_custkey % 50 = 1").select("c_custkey")
+    people = table(spark, sf, "customer").select("c_custkey")
     rows = rollup.with_child_counts(people, orders, ["c_custkey"], n_orders=F.count(F.lit(1)), largest=F.max("o_totalprice"), statuses=F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ""))
     found = paging.page(rows, [F.desc("n_orders"), F.asc("c_custkey")], 20)
     return found.select("c_custkey", F.coalesce("statuses", F.lit("")).alias("statuses"), "n_orders", "largest")

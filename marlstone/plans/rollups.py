@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators import rollup, segments
+from marlstone.operators import filters, rollup, segments
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table
 
@@ -143,8 +143,9 @@ def rolling_count(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') = (SELECT max(strftime(o_orderdate, '%Y-%m-%d')) FROM orders WHERE o_orderstatus = 'O')")
 def latest_date_rows(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    last = orders.where("o_orderstatus = 'O'").agg(F.max(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
-    return orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).join(F.broadcast(last), "day").select("o_orderkey", "o_custkey")  # one row
+    last = orders.where("o_orderstatus = 'O'").agg(F.max("o_orderdate")).first()[0]  # one value, so that the filter reaches the scan
+    day = last.date().isoformat() if last else None
+    return orders.where(filters.day_range(F.col("o_orderdate"), day, day) if day else F.lit(False)).select("o_orderkey", "o_custkey")
 
 
 @query("""
@@ -160,15 +161,15 @@ def nested_children(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT key, display, CAST(sum(n) AS BIGINT) AS n, max(latest) AS latest, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (
-  SELECT upper(c_mktsegment) AS key, c_mktsegment AS display, 'order' AS kind, count(*) AS n, max(strftime(o_orderdate, '%Y-%m-%d')) AS latest
-  FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(c_mktsegment) LIKE '%m%' GROUP BY ALL
+  SELECT upper(c_name) AS key, c_name AS display, 'order' AS kind, count(*) AS n, max(strftime(o_orderdate, '%Y-%m-%d')) AS latest
+  FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(c_name) LIKE '%r#00000010%' GROUP BY ALL
   UNION ALL
-  SELECT upper(c_mktsegment), c_mktsegment, 'event', count(*), max(strftime(ts, '%Y-%m-%d'))
-  FROM customer JOIN events ON user_id = c_custkey WHERE lower(c_mktsegment) LIKE '%m%' GROUP BY ALL)
+  SELECT upper(c_name), c_name, 'event', count(*), max(strftime(ts, '%Y-%m-%d'))
+  FROM customer JOIN events ON user_id = c_custkey WHERE lower(c_name) LIKE '%r#00000010%' GROUP BY ALL)
 GROUP BY 1, 2 ORDER BY n DESC, key LIMIT 20""")
 def person_search(spark: SparkSession, sf: str) -> DataFrame:
     """Partial counts of two sources by name, united, aggregated again, best first."""
-    people = table(spark, sf, "customer").where(tx.contains_folded(F.col("c_mktsegment"), "M")).select("c_custkey", tx.key_upper(F.col("c_mktsegment")).alias("key"), F.col("c_mktsegment").alias("display"))
+    people = table(spark, sf, "customer").where(tx.contains_folded(F.col("c_name"), "R#00000010")).select("c_custkey", F.upper("c_name").alias("key"), F.col("c_name").alias("display"))
     parts = []
     for kind, name, key, at in (("order", "orders", "o_custkey", "o_orderdate"), ("event", "events", "user_id", "ts")):
         rows = table(spark, sf, name).select(F.col(key).alias("c_custkey"), F.date_format(at, "yyyy-MM-dd").alias("latest"))

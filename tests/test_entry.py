@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -16,6 +17,16 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_the_rest_is_tested_without_the_corpus_folders(tmp_path):
+    """With both corpus folders and the pipeline gone, the other tests are found and those of functions pass."""
+    for p in ("marlstone", "tests", "__spark_entry__.py"):
+        subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "marlstone/llm"), str(tmp_path / "tests/llm")], check=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for args in (["--collect-only", "tests"], ["tests/test_functions.py"]):
+        subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], cwd=tmp_path, check=True, env=env)
+
+
 def test_imports_without_the_corpus_subpackage(tmp_path):
     """The rest works where the corpus subpackage and its pipeline aren't there."""
     for p in ("marlstone", "__spark_entry__.py"):

@@ -128,10 +128,18 @@ def test_outcomes(spark):
     assert rows(got) == [(1, "awarded", 1), (2, "selected_candidate", None), (3, "candidate", None), (4, "pending", 5), (5, "no_data", None)]
 
 
+def test_upsert_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (2, None), (3, "e"), (3, "e")], "id int, v string")
+    assert rows(state.upsert(old, new, ["id"])) == [(1, "a"), (2, "d"), (3, "e")]
+
+
 def test_event_batches_replay(spark):
     docs = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, None)], "id int, c string")
     first = state.event_batches(docs, F.col("c"), "id", ("new", "new ones"))
-    assert rows(first, "category", "body", "ids") == [("x", "2 new ones", "1,3"), ("y", "1 new", "2")]
+    assert rows(first, "category", "body", "first_id", "last_id") == [("x", "2 new ones", 1, 3), ("y", "1 new", 2, 2)]
+    other = state.event_batches(docs.replace(3, 5, "id"), F.col("c"), "id", ("new", "new ones"))
+    assert first.join(other, "event_key").count() == 1
     assert state.insert_absent(first, state.event_batches(docs, F.col("c"), "id", ("new", "new ones")), ["event_key"]).count() == 2
 
 
