@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from helpers import ODD, documents
+from helpers import ODD, documents, prose
 from marlstone.llm import compress_quality as cq
+from marlstone.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -14,6 +17,41 @@ def test_held_out_accuracy(spark):
     assert hard[y == 1].mean() > 0.98 and hard[y == 0].mean() < 0.15
 
 
+def test_scores_equal_a_plain_version(spark):
+    """Dictionaries, sizes by blocks and the logistic fit, without Spark, on every labelled row."""
+    import zstandard
+
+    rows = [(i, ("%%% ### $$$ &&& " if i % 3 == 0 else "") + prose(i, 40 + 5 * (i % 60))) for i in range(120)] + [(500, None), (501, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(100)]
+    found = {r["doc_id"]: r["score"] for r in cq.classify(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    texts, known = {d: (t or "").encode() for d, t in rows}, dict(labels)
+    order = {r["id"]: r["o"] for r in spark.range(120).select("id", F.xxhash64("id", F.lit(1)).alias("o")).collect()}
+    taught = sorted((i for i in known if zlib.crc32(str(i).encode()) % 5), key=lambda i: order[i])
+    seen, rest = taught[::2], taught[1::2]
+    words = [zstandard.ZstdCompressionDict(cq.dictionary([texts[i] for i in seen if known[i] == label], 32 << 10)) for label in (1, 0)]
+
+    def features(text):
+        good, bad = (sum(len(zstandard.ZstdCompressor(level=3, dict_data=w, write_content_size=False).compress(text[a : a + 1024])) for a in range(0, max(1, len(text)), 1024)) for w in words)
+        n = max(1, len(text))
+        a, b, c = (bad - good) / n, (bad - good) / (bad + good), np.log(n)
+        return [a, b, c, a * c, b * c]
+
+    x = np.array([features(texts[i]) for i in rest])
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    w = cq.logistic((x - centre) / scale, np.array([known[i] for i in rest], float))
+    for i, text in texts.items():
+        z = (np.array(features(text)) - centre) / scale @ w[:-1] + w[-1]
+        assert abs(found[i] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-6
+
+
+def test_long_labelled_texts_are_cut_and_not_left_out(spark):
+    docs = documents(spark, [(1, "ab" * 5000), (2, "short"), (3, None), (4, "")])
+    marks = spark.createDataFrame([(i, 1) for i in range(1, 5)], "doc_id long, label int")
+    rows = labelled_sample(docs, marks, 100, 16_000).collect()
+    assert "".join(sorted(r["text"] for r in rows if r["doc_id"] == 1)) == "ab" * 5000 and all(len(r["text"] or "") <= 1000 for r in rows)
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] != 1) == [2, 3, 4]
+
+
 def test_sizes_survive_the_journey():
     import pickle
 
