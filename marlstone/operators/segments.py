@@ -49,6 +49,16 @@ def block_texts(rows: DataFrame, key: str, block: str = "block_no") -> DataFrame
     return rows.groupBy(key, block).agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(parts, lambda x: x["line"]), " ").alias("row_text"))
 
 
+def block_fields(rows: DataFrame, keys: list[str], name: str, value: Column, matches: Column, kinds: dict[str, Column]) -> DataFrame:
+    """(keys, name, kinds): the value of a block's last line that matches, and the first line of each kind.
+
+    Null where no line does. A kind takes its lines with no regard to the others'.
+    """
+    last = F.max_by(value, F.when(matches, F.col("line_no")))
+    firsts = [F.min_by("line", F.when(is_kind, F.col("line_no"))).alias(kind) for kind, is_kind in kinds.items()]
+    return rows.groupBy(*keys).agg(last.alias(name), *firsts)
+
+
 def regex_rows(docs: DataFrame, key: str, text: Column, pattern: str, groups: list[str]) -> DataFrame:
     """A row for each match in a text, with its groups as columns and its number in order."""
     found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(g) for i, g in enumerate(groups)))

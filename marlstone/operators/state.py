@@ -49,6 +49,20 @@ def todo(work: DataFrame, runs: DataFrame, keys: list[str], version: str, wanted
     return work.join(done, keys, "left_anti")
 
 
+def run_log(started: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
+    """started with the columns of finished and a status: running, failed (error isn't null) or success.
+
+    finished has `finished`, `error` and counters named n_; of several endings of a run
+    the latest counts (of equal ones that with the greatest other columns). Counters of
+    a running run are 0. An ending without a start isn't a run.
+    """
+    others = ["finished", *(c for c in finished.columns if c not in (*keys, "finished"))]
+    last = finished.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__end"))
+    status = F.when(F.col("__end").isNull(), "running").when(F.col("__end.error").isNotNull(), "failed").otherwise("success")
+    ends = [(F.coalesce(f"__end.{c}", F.lit(0)) if c.startswith("n_") else F.col(f"__end.{c}")).alias(c) for c in others]
+    return started.join(last, keys, "left").select(*started.columns, status.alias("status"), *ends)
+
+
 def sticky(old: Column, as_of: Column, condition: Column) -> Column:
     """The time a condition was first seen: kept while it holds, null when it doesn't."""
     return F.when(condition, F.coalesce(old, as_of))

@@ -33,9 +33,12 @@ def filename(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", name.alias("file"), urls.has_extension(url, "html", "pdf").alias("downloadable"))
 
 
-@query()
+@query("""
+SELECT page_id, link, CASE WHEN regexp_matches(link, '^[a-z]+:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '^[a-z]+:') || link
+  WHEN starts_with(link, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || link ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(?:/[^?#]*/|/)?') || link END AS target
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) WHERE NOT regexp_matches(link, '^(?:$|#|javascript:|mailto:|tel:)')""")
 def absolute_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Relative links against their page, by an Arrow UDF: RFC 3986 is beyond SQL."""
+    """Relative links against their page, by an Arrow UDF; the SQL leaves out dot segments, which the tables don't hold."""
     rows = link_extract(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
     return rows.select("page_id", "link", urls.absolute("url", "link").alias("target"))
 
@@ -134,6 +137,19 @@ def repeated_headings(spark: SparkSession, sf: str) -> DataFrame:
     return told.groupBy("doc_id").agg(F.count_if("starts").alias("n_blocks"))
 
 
+@query(f"""
+WITH {_LINES}, marked AS (SELECT *, CAST(sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) {_FRAME} AS BIGINT) AS block_no FROM lines)
+SELECT doc_id, block_no, arg_max(trim(line), line_no) FILTER (regexp_matches(trim(line), '^[^.]+[.]$')) AS status,
+  arg_min(line, line_no) FILTER (contains(line, '@')) AS contact, arg_min(line, line_no) FILTER (regexp_matches(line, '[0-9]') AND NOT contains(line, '@')) AS numbered
+FROM marked WHERE block_no > 0 GROUP BY 1, 2""")
+def block_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each block the last line that is one whole sentence, and the first lines with an address and with a number."""
+    rows = segments.numbered_blocks(_doc_lines(spark, sf), "doc_id", F.length("line") < 80).where("block_no > 0")
+    line = F.col("line")
+    kinds = {"contact": F.contains(line, F.lit("@")), "numbered": line.rlike("[0-9]") & ~F.contains(line, F.lit("@"))}
+    return segments.block_fields(rows, ["doc_id", "block_no"], "status", F.trim("line"), F.trim("line").rlike("^[^.]+[.]$"), kinds)
+
+
 @query(r"""
 SELECT doc_id, user_name, host FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, '([a-z]+)[.]([0-9]+)@', 1)) AS user_name, unnest(regexp_extract_all(text, '([a-z]+)[.]([0-9]+)@', 2)) AS host FROM documents)""")

@@ -176,7 +176,7 @@ def _places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0 * asin(sqrt(least(1.0,
+SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0088 * asin(sqrt(least(1.0,
     sin(radians(40.4 - lat) / 2) * sin(radians(40.4 - lat) / 2)
     + cos(radians(lat)) * cos(radians(40.4)) * sin(radians(-3.7 - lon) / 2) * sin(radians(-3.7 - lon) / 2)))), 2) END AS km
 FROM (SELECT s_suppkey, {_PLACE.format(k='s_suppkey')} FROM supplier)""")
@@ -202,7 +202,7 @@ def collapsed_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT s_suppkey, km FROM (SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0 * asin(sqrt(least(1.0,
+SELECT s_suppkey, km FROM (SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0088 * asin(sqrt(least(1.0,
     sin(radians(-33.9 - lat) / 2) * sin(radians(-33.9 - lat) / 2)
     + cos(radians(lat)) * cos(radians(-33.9)) * sin(radians(18.4 - lon) / 2) * sin(radians(18.4 - lon) / 2)))), 0) END AS km
   FROM (SELECT s_suppkey, {_PLACE.format(k='s_suppkey')} FROM supplier))
@@ -213,10 +213,17 @@ def exact_distance_page(spark: SparkSession, sf: str) -> DataFrame:
     return paging.page(_places(spark, sf).select("s_suppkey", km.alias("km")), [F.desc_nulls_first("km"), F.desc("s_suppkey")], 25, 5)
 
 
-@query()
+@query(f"""
+SELECT s_suppkey, CASE WHEN lat IS NOT NULL THEN printf('geo:%.6f,%.6f', lat, lon) END AS map_url,
+  CASE WHEN lat IS NOT NULL THEN 'route:' || CASE WHEN from_lat IS NOT NULL THEN printf('%.6f,%.6f;', from_lat, from_lon) ELSE '' END || printf('%.6f,%.6f', lat, lon) END AS route_url,
+  CASE WHEN lat IS NOT NULL AND from_lat IS NOT NULL THEN round(2 * 6371.0088 * asin(sqrt(least(1.0,
+    sin(radians(from_lat - lat) / 2) * sin(radians(from_lat - lat) / 2)
+    + cos(radians(lat)) * cos(radians(from_lat)) * sin(radians(from_lon - lon) / 2) * sin(radians(from_lon - lon) / 2)))), 2) END AS distance_km
+FROM (SELECT s_suppkey, {_PLACE.format(k='s_suppkey')}, CASE WHEN s_suppkey % 5 > 0 THEN 51.25::DOUBLE END AS from_lat, 4.5::DOUBLE AS from_lon FROM supplier)""")
 def geo_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Map links where both coordinates are known; engines write doubles differently, so no SQL."""
-    return _places(spark, sf).select("s_suppkey", geo.map_link(F.col("lat"), F.col("lon")).alias("link"))
+    """Map link, way and distance of every place; every fifth has no origin."""
+    origin = F.when(F.col("s_suppkey") % 5 > 0, 51.25)
+    return geo.enriched(_places(spark, sf), "lat", "lon", origin, F.lit(4.5)).select("s_suppkey", "map_url", "route_url", "distance_km")
 
 
 @query("""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -159,22 +161,70 @@ def nested_children(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", flat.alias("orders"))
 
 
-@query("""
-SELECT key, display, CAST(sum(n) AS BIGINT) AS n, max(latest) AS latest, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (
-  SELECT upper(c_name) AS key, c_name AS display, 'order' AS kind, count(*) AS n, max(strftime(o_orderdate, '%Y-%m-%d')) AS latest
-  FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(c_name) LIKE '%r#00000010%' GROUP BY ALL
+_KEY = "trim(regexp_replace(lower(c_name), '[^a-z0-9-]+', ' ', 'g'))"
+
+
+@query(f"""
+WITH people AS (SELECT c_custkey, {_KEY} AS key, c_name AS display FROM customer WHERE lower(c_name) LIKE '%r 0000001%' OR {_KEY} LIKE '%r 0000001%')
+SELECT key, display, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_won) AS BIGINT) AS n_won, CAST(sum(coalesce(n_types, 0)) AS BIGINT) AS n_types, max(latest) AS latest, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (
+  SELECT key, display, 'order' AS kind, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_won, NULL::BIGINT AS n_types, max(strftime(o_orderdate, '%Y-%m-%d')) AS latest
+  FROM people JOIN orders ON o_custkey = c_custkey GROUP BY ALL
   UNION ALL
-  SELECT upper(c_name), c_name, 'event', count(*), max(strftime(ts, '%Y-%m-%d'))
-  FROM customer JOIN events ON user_id = c_custkey WHERE lower(c_name) LIKE '%r#00000010%' GROUP BY ALL)
-GROUP BY 1, 2 ORDER BY n DESC, key LIMIT 20""")
+  SELECT key, display, 'event', count(*), count(*) FILTER (event_type = 'purchase'), count(DISTINCT event_type), max(strftime(ts, '%Y-%m-%d'))
+  FROM people JOIN events ON user_id = c_custkey GROUP BY ALL)
+GROUP BY 1, 2 ORDER BY n DESC, display LIMIT 20""")
 def person_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Partial counts of two sources by name, united, aggregated again, best first."""
-    people = table(spark, sf, "customer").where(tx.contains_folded(F.col("c_name"), "R#00000010")).select("c_custkey", F.upper("c_name").alias("key"), F.col("c_name").alias("display"))
-    parts = []
-    for kind, name, key, at in (("order", "orders", "o_custkey", "o_orderdate"), ("event", "events", "user_id", "ts")):
-        rows = table(spark, sf, name).select(F.col(key).alias("c_custkey"), F.date_format(at, "yyyy-MM-dd").alias("latest"))
-        parts.append(rows.join(people, "c_custkey").groupBy("key", "display").agg(F.count(F.lit(1)).alias("n"), F.max("latest").alias("latest")).withColumn("kind", F.lit(kind)))
-    return rollup.union_reaggregate(parts, ["key", "display"], ["n"], ["latest"], kind="kind").orderBy(F.desc("n"), "key").limit(20)
+    """People whose name or search key holds a text, with partial counts of two sources united and aggregated again, best first."""
+    name, key = F.col("c_name"), tx.key_strict(F.col("c_name"))
+    people = table(spark, sf, "customer").where(tx.any_contains_folded([name, key], "R 0000001")).select("c_custkey", key.alias("key"), name.alias("display"))
+
+    def part(rows: DataFrame, kind: str, at: str, **more: Column) -> DataFrame:
+        counts = rows.join(people, "c_custkey").groupBy("key", "display").agg(F.count(F.lit(1)).alias("n"), F.max(F.date_format(at, "yyyy-MM-dd")).alias("latest"), *(c.alias(n) for n, c in more.items()))
+        return counts.withColumn("kind", F.lit(kind))
+
+    orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    events = table(spark, sf, "events").withColumnRenamed("user_id", "c_custkey")
+    parts = [
+        part(orders, "order", "o_orderdate", n_won=F.count_if(F.col("o_orderstatus") == "F")),
+        part(events, "event", "ts", n_won=F.count_if(F.col("event_type") == "purchase"), n_types=F.count_distinct("event_type")),
+    ]
+    found = rollup.union_reaggregate(parts, ["key", "display"], ["n", "n_won", "n_types"], ["latest"], kind="kind")
+    return found.orderBy(F.desc("n"), "display").limit(20)
+
+
+@query(f"""
+WITH person AS (SELECT c_custkey, c_name FROM customer WHERE {_KEY} = 'customer 000000007'),
+placed AS (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN person ON o_custkey = c_custkey),
+seen AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events JOIN person ON user_id = c_custkey)
+SELECT 'person' AS section, NULL::BIGINT AS ref, (SELECT max(day) FROM (SELECT day FROM placed UNION ALL SELECT day FROM seen)) AS day,
+  (SELECT c_name FROM (SELECT c_name, count(*) AS n FROM person GROUP BY 1) ORDER BY n DESC, c_name LIMIT 1) AS detail, (SELECT count(*) FROM placed) + (SELECT count(*) FROM seen) AS n_rows WHERE EXISTS (SELECT 1 FROM person)
+UNION ALL SELECT 'orders', o_orderkey, day, o_orderstatus, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) FROM placed
+UNION ALL SELECT 'items', l_orderkey, strftime(l_shipdate, '%Y-%m-%d'), CAST(l_partkey AS VARCHAR), NULL FROM lineitem JOIN placed ON l_orderkey = o_orderkey
+UNION ALL SELECT 'events', event_id, day, event_type, NULL FROM seen""")
+def full_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return profile_of(spark, sf, "Customer 000000007")
+
+
+def profile_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """All that is known of the people of a name's key: (section, ref, day, detail, n_rows).
+
+    The section `person` has the display name (the most frequent, then the first), the
+    last day and the number of rows; `orders`, `items` and `events` have a row for each.
+    No rows for a name that nobody has.
+    """
+    person = table(spark, sf, "customer").where(tx.key_strict(F.col("c_name")) == tx.key_strict(F.lit(name))).select("c_custkey", "c_name")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    placed = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey").join(person, "c_custkey").select(F.col("o_orderkey").alias("ref"), day("o_orderdate"), F.col("o_orderstatus").alias("detail"))
+    seen = table(spark, sf, "events").withColumnRenamed("user_id", "c_custkey").join(person, "c_custkey").select(F.col("event_id").alias("ref"), day("ts"), F.col("event_type").alias("detail"))
+    items = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "ref").join(placed.select("ref"), "ref").select("ref", day("l_shipdate"), F.col("l_partkey").cast("string").alias("detail"))
+    orders = rollup.with_child_counts(placed, items, ["ref"], n_rows=F.count(F.lit(1)))
+    # names and rows are counted apart and added: one row each, so that the person's is there without rows, too
+    named = person.groupBy("c_name").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("c_name", F.struct(-F.col("n"), "c_name")).alias("detail"), F.lit(0).cast("long").alias("n_rows"))
+    counted = placed.select("day").unionByName(seen.select("day")).agg(F.max("day").alias("day"), F.count(F.lit(1)).alias("n_rows"))
+    summary = named.unionByName(counted, allowMissingColumns=True).agg(F.max("detail").alias("detail"), F.max("day").alias("day"), F.sum("n_rows").alias("n_rows")).where("detail is not null")
+    parts = {"person": summary, "orders": orders, "items": items, "events": seen}
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("section", F.lit(s)) for s, df in parts.items()))
+    return united.select("section", "ref", "day", "detail", "n_rows")
 
 
 @query("SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations")

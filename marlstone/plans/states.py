@@ -188,13 +188,38 @@ def outbox_pending(spark: SparkSession, sf: str) -> DataFrame:
     return state.pending(outbox, 50).select("event_key", "created")
 
 
-@query()
+@query("""
+WITH RECURSIVE requests AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk AS (
+  SELECT user_id, event_id, rn, TRUE AS admitted, [us] AS taken FROM requests WHERE rn = 1
+  UNION ALL
+  SELECT user_id, event_id, rn, len(recent) < 3, CASE WHEN len(recent) < 3 THEN list_append(recent, us) ELSE recent END
+  FROM (SELECT r.user_id, r.event_id, r.rn, r.us, list_filter(w.taken, lambda x: x > r.us - 86400000000) AS recent FROM walk w JOIN requests r ON r.user_id = w.user_id AND r.rn = w.rn + 1))
+SELECT event_id, user_id, admitted FROM walk""")
 def sliding_admission(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact admission is recursive: a refused request doesn't count. Beyond plain SQL."""
+    """Exact admission is recursive: a refused request doesn't count."""
     requests = table(spark, sf, "events").select("event_id", "user_id", "ts")
     return admission.admit(requests, "user_id", "ts", "event_id", limit=3, seconds=86_400).select("event_id", "user_id", "admitted")
 
 
+@query("""
+SELECT o_orderkey AS run, o_custkey % 25 AS source, CASE WHEN n IS NULL THEN 'running' WHEN n_bad > 0 THEN 'failed' ELSE 'success' END AS status,
+  strftime(o_orderdate, '%Y-%m-%d') AS started, finished, coalesce(n, 0) AS n_seen, CAST(coalesce(n_new, 0) AS BIGINT) AS n_new, CASE WHEN n_bad > 0 THEN 'returned: ' || n_bad END AS error
+FROM orders LEFT JOIN (SELECT l_orderkey, max(strftime(l_shipdate, '%Y-%m-%d')) AS finished, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS n_new, count(*) FILTER (l_returnflag = 'R') AS n_bad
+  FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """An order stands for a started run, its items for what the run met; a returned one makes it fail."""
+    started = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 25).alias("source"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started"))
+    bad = F.count_if(F.col("l_returnflag") == "R")
+    met = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(
+        F.max(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("finished"),
+        F.count(F.lit(1)).alias("n_seen"),
+        F.count_if(F.col("l_linestatus") == "O").alias("n_new"),
+        F.when(bad > 0, F.concat(F.lit("returned: "), bad.cast("string"))).alias("error"),
+    )
+    return state.run_log(started, met, ["run"])
+
+
 @query("""
 WITH now AS (SELECT source, sha256(string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src1' GROUP BY 1),
 before AS (SELECT source, sha256(string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source NOT IN ('src2', 'src3') OR doc_id % 2 = 0 GROUP BY 1)
@@ -216,9 +241,9 @@ def change_detection(spark: SparkSession, sf: str) -> DataFrame:
     return before.join(now, "source", "left").select("source", status.alias("status"))
 
 
-@query()
+@query("SELECT event_id, CAST(to_json({'event_id': event_id, 'user_id': user_id, 'value': value}) AS VARCHAR) AS payload FROM events")
 def json_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with their payload as JSON text; engines differ in its spacing, so no SQL."""
+    """Events with their payload as JSON text."""
     return sinks.with_json(table(spark, sf, "events"), ["event_id", "user_id", "value"]).select("event_id", "payload")
 
 

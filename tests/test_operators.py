@@ -5,7 +5,9 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import geo
 from marlstone.operators import filters, joins, matching, paging, reach, resolve, rollup, rules, segments, state
+from marlstone.plans import rollups
 
 
 def rows(df, *cols):
@@ -174,3 +176,29 @@ def test_reach_over_a_cycle(spark):
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4)], "source int, target int")
     got = {r["node"]: r["depth"] for r in reach.reachable(links, spark.createDataFrame([(0,)], "n int"), 3).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_run_log(spark):
+    started = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "run int, source string")
+    ends = [(1, "d1", None, 3), (1, "d2", "broken", 4), (2, "d1", None, None), (9, "d1", None, 1), (None, "d1", None, 1)]
+    finished = spark.createDataFrame(ends, "run int, finished string, error string, n_new int")
+    got = {r["source"]: (r["status"], r["finished"], r["error"], r["n_new"]) for r in state.run_log(started, finished, ["run"]).collect()}
+    assert got == {"a": ("failed", "d2", "broken", 4), "b": ("success", "d1", None, 0), "c": ("running", None, None, 0), "d": ("running", None, None, 0)}
+
+
+def test_block_fields_look_backward_for_the_status_and_forward_for_each_kind(spark):
+    lines = [(1, 1, 0, "A."), (1, 1, 1, "7 x"), (1, 1, 2, "B."), (1, 1, 3, "8 y"), (1, 1, 4, None), (1, 2, 5, "none")]
+    rows_ = spark.createDataFrame(lines, "doc int, block int, line_no int, line string").repartition(3)
+    got = rows(segments.block_fields(rows_, ["doc", "block"], "status", F.col("line"), F.col("line").rlike("[.]$"), {"numbered": F.col("line").rlike("^[0-9]")}))
+    assert got == [(1, 1, "B.", "7 x"), (1, 2, None, None)]
+
+
+def test_geo_enrichment_is_null_where_a_place_or_an_origin_is_unknown(spark):
+    df = spark.createDataFrame([(1, 1.5, 2.0, 1.5, 2.0), (2, None, 2.0, 0.0, 0.0), (3, 1.5, 2.0, None, 0.0)], "id int, lat double, lon double, a double, b double")
+    got = rows(geo.enriched(df, "lat", "lon", F.col("a"), F.col("b")), "id", "map_url", "route_url", "distance_km")
+    here = "1.500000,2.000000"
+    assert got == [(1, f"geo:{here}", f"route:{here};{here}", 0.0), (2, None, None, None), (3, f"geo:{here}", f"route:{here}", None)]
+
+
+def test_a_profile_of_nobody_has_no_rows(spark):
+    assert rollups.profile_of(spark, "/root/testdata/sf0.001", "nobody").count() == 0

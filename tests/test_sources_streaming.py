@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import time
 from collections import deque
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.sources import sinks, tables
@@ -73,15 +75,23 @@ def run(stream, name):
     return q
 
 
-def test_admission_stream_equals_batch(spark, tmp_path):
-    events = tables.table(spark, SF, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    events.repartitionByRange(1, "at").sortWithinPartitions("at").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    run(admission.admit_stream(stream, "user_id", "at", 2, 86_400), "admitted")
-    got = {(r["client"], r["at"]): r["admitted"] for r in spark.sql("select * from admitted").collect()}
-    batch = admission.admit(tables.table(spark, SF, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 86_400)
-    want = {(str(r["user_id"]), r["at"]): r["admitted"] for r in batch.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).collect()}
-    assert got == want
+@pytest.mark.parametrize("files", [1, 4])
+def test_admission_stream_equals_batch(spark, tmp_path, files):
+    """In one micro-batch, and in several of which each has the later times."""
+    events = tables.table(spark, SF, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    slots = events.withColumn("slot", F.ntile(files).over(Window.orderBy("ts", "event_id"))).cache()
+    for slot in range(1, files + 1):
+        slots.where(F.col("slot") == slot).drop("slot").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = run(admission.admit_stream(stream, "user_id", "ts", 2, 86_400), f"admitted{files}")
+    got = {(r["client"], r["at"]): r["admitted"] for r in spark.sql(f"select * from admitted{files}").collect()}
+    batch = admission.admit(events, "user_id", "ts", "event_id", 2, 86_400)
+    want = {(str(r["user_id"]), r["at"]): r["admitted"] for r in batch.withColumn("at", F.unix_micros("ts")).collect()}
+    assert got == want and len(got) == events.count()
+    if files > 1:  # clients without a request in the last day of the watermark have no state
+        assert min(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[1:]) < events.select("user_id").distinct().count()
+        assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress) > 0
 
 
 def test_window_counts_stream(spark, tmp_path):
