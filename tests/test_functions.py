@@ -78,7 +78,7 @@ def test_distance(spark):
         return one(spark, km=geo.haversine_km(*(F.lit(x).cast("double") for x in (a, b, c, d))))["km"]
 
     assert km(40, -3, 40, -3) == 0 and km(None, 1, 2, 3) is None
-    assert km(0, 0, 0, 180) == pytest.approx(math.pi * 6371, abs=0.01)
+    assert km(0, 0, 0, 180) == pytest.approx(math.pi * geo.EARTH_KM, abs=0.01)
     assert one(spark, link=geo.map_link(F.lit(None).cast("double"), F.lit(1.0)))["link"] is None
 
 
