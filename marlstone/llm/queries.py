@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import compress_quality, decontam, langid, line_templates, packing, pii, quality_rules, simhash, substring_dedup, toxicity
+from marlstone.llm import compress_quality, decontam, langid, line_templates, packing, pii, quality_rules, resampling, sharding, simhash, substring_dedup, toxicity, whitening
 from marlstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0, threshold=0.3)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, buckets=10_000, longest=1, min_words=20, seed=2024)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_line_templates": op9_line_templates,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
+    "op12_sharding": op12_sharding,
+    "op13_resampling": op13_resampling,
 }
 
 _MASKED = """
@@ -108,4 +123,18 @@ general AS (SELECT line, wide.first_doc FROM alike JOIN wide USING (node)),
 told AS (SELECT line, coalesce(g.first_doc, c.first_doc) AS first_doc FROM counts c LEFT JOIN general g USING (line) WHERE c.n >= 5 OR g.first_doc IS NOT NULL),
 marked AS (SELECT raw.doc_id, raw.pos, raw.line, told.line IS NOT NULL AND raw.doc_id <> told.first_doc AS gone FROM raw JOIN masked ON raw.doc_id = masked.doc_id AND raw.pos = masked.pos LEFT JOIN told ON told.line = masked.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5 FROM marked GROUP BY doc_id""",
+    "op13_resampling": r"""
+WITH steps AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) t(i))),
+found AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM found),
+spelt AS (SELECT DISTINCT word, hex(word) AS h FROM words),
+bytes AS (SELECT word, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM spelt),
+coded AS (SELECT word, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, steps),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN coded USING (word) GROUP BY 1),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts),
+sums AS (SELECT id, count(*) AS n, sum(gain) AS total FROM words JOIN coded USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY 1),
+weighed AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / CAST(n AS DOUBLE)), 0) AS BIGINT) AS weight FROM documents LEFT JOIN sums ON id = doc_id),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weighed),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranks r ON r.doc_id = s.doc_id""",
 }
