@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import matching, resolve, state
 from marlstone.plans.registry import query
-from marlstone.sources import sinks
+from marlstone.sources import shared, sinks, versions
 from marlstone.sources.tables import table
 from marlstone.streaming import admission
 
@@ -252,3 +252,18 @@ def seeded_dimension(spark: SparkSession, sf: str) -> DataFrame:
     """A small dimension brought up to date from literal rows."""
     seed = spark.createDataFrame([(1, "renamed"), (99, "added")], "r_regionkey int, r_name string")
     return state.upsert(table(spark, sf, "region"), seed, ["r_regionkey"])
+
+
+@query("""
+SELECT 1 AS version, o_orderkey, o_orderstatus, o_totalprice FROM orders
+UNION ALL SELECT 2, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice END FROM orders
+UNION ALL SELECT 3, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice END FROM orders WHERE o_orderstatus <> 'P'""")
+def committed_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two changes of the orders, and every version as it was committed: some rows replaced, then those of a status gone."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    kept = versions.VersionedTable(spark, shared.new_path(spark, "orders"), ["o_orderkey"], buckets=8)
+    kept.overwrite(orders)
+    kept.replace_keys(orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice")))
+    kept.delete_keys(orders.where("o_orderstatus = 'P'"))
+    each = [kept.read(n).select(F.lit(n).alias("version"), "*") for n in kept.versions()]
+    return each[0].unionByName(each[1]).unionByName(each[2])

@@ -22,7 +22,8 @@ def test_the_rest_is_tested_without_the_corpus_folders(tmp_path):
     for p in ("marlstone", "tests", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "marlstone/llm"), str(tmp_path / "tests/llm")], check=True)
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != ROOT]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join(paths)}
     for args in (["--collect-only", "tests"], ["tests/test_functions.py"]):
         subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], cwd=tmp_path, check=True, env=env)
 
