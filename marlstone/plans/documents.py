@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.functions import urls
-from marlstone.operators import reach, rules, segments
+from marlstone.operators import automaton, reach, rules, segments
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table
 
@@ -161,3 +161,40 @@ def regex_rows(spark: SparkSession, sf: str) -> DataFrame:
 def provenance(spark: SparkSession, sf: str) -> DataFrame:
     signal = F.when(F.col("n_chars") >= 1000, "long").otherwise("short")
     return table(spark, sf, "documents").select("doc_id", F.format_string("%s v%d / %s", F.lit("pdf-rules"), F.lit(3), signal).alias("provenance"))
+
+
+def _grammar() -> automaton.Automaton:
+    """Rows begin with a line of middle length and go on over long ones; noise between them is left out; short lines are headings, which end a row and are carried, as the beginning of a long line outside of rows is."""
+    step = automaton.Step
+    return automaton.Automaton(
+        classes={
+            "blank": lambda x: F.trim(x) == "",
+            "noise": lambda x: F.contains(x, F.lit("@")) | F.contains(x, F.lit("|")),
+            "heading": lambda x: F.length(x) < 30,
+            "start": lambda x: F.length(x) < 100,
+        },
+        table={
+            (automaton.ANY, "blank"): step("outside", "end"),
+            (automaton.ANY, "noise"): step(automaton.SAME),
+            (automaton.ANY, "heading"): step("outside", "end", set={"heading": lambda x: x}, clear=("note",)),
+            (automaton.ANY, "start"): step("inside", "begin"),
+            ("inside", automaton.OTHER): step("inside", "extend"),
+            ("outside", automaton.OTHER): step("outside", set={"note": lambda x: F.substring(x, 1, 10)}),
+        },
+        states=("outside", "inside"),
+        fields=("heading", "note"),
+    )
+
+
+@query(f"""
+WITH {_LINES},
+told AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN contains(line, '@') OR contains(line, '|') THEN 'noise' WHEN length(line) < 30 THEN 'heading' WHEN length(line) < 100 THEN 'start' ELSE 'other' END AS kind FROM lines),
+clean AS (SELECT *, last_value(CASE WHEN kind <> 'other' THEN kind END IGNORE NULLS) {_FRAME} AS bound, sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) {_FRAME} AS row_no,
+  sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) {_FRAME} AS part, last_value(CASE WHEN kind = 'heading' THEN line END IGNORE NULLS) {_FRAME} AS heading FROM told WHERE kind <> 'noise'),
+noted AS (SELECT *, last_value(CASE WHEN kind = 'other' AND bound IS DISTINCT FROM 'start' THEN left(line, 10) END IGNORE NULLS) OVER (PARTITION BY doc_id, part ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS note FROM clean)
+SELECT doc_id, CAST(row_no - 1 AS INTEGER) AS row_no, CAST(min(line_no) AS INTEGER) AS first_line, CAST(count(*) AS INTEGER) AS n_lines, string_agg(line, ' ' ORDER BY line_no) AS row_text,
+  any_value(heading) AS heading, arg_min(note, line_no) FILTER (kind = 'start') AS note
+FROM noted WHERE bound = 'start' GROUP BY doc_id, row_no""")
+def grammar_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of several lines with what headings carry into them, by one fold a document."""
+    return automaton.parsed(table(spark, sf, "documents"), "doc_id", "text", _grammar())

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators import search
 from marlstone.plans.registry import query
+from marlstone.sources import shared
 from marlstone.sources.tables import table
 
 #: Fold in SQL.
@@ -150,3 +152,18 @@ def json_metric(spark: SparkSession, sf: str) -> DataFrame:
 def tokens_and_display(spark: SparkSession, sf: str) -> DataFrame:
     token = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("'"), F.col("event_id").cast("string"), F.lit(",5'"))).otherwise("1a")
     return table(spark, sf, "events").select("event_id", tx.quoted_number(token).alias("is_number"), F.date_format("ts", "dd/MM/yyyy").alias("shown"))
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_brand) LIKE '%ring%' OR lower(p_type) LIKE '%ring%'")
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A folded search of several columns by their grams."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    index = search.build(parts, shared.new_path(spark, "grams"), "p_partkey", ["p_name", "p_brand", "p_type"], gram_parts=16, row_parts=8)
+    return index.search("RÍNG")
+
+
+@query(f"SELECT doc_id, n_chars FROM documents WHERE {_fold('text')} LIKE '%right%res_rv%'")
+def indexed_text_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of whole texts with wildcards between its literal runs."""
+    index = search.build(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), shared.new_path(spark, "grams"), "doc_id", ["text"], gram_parts=16, row_parts=8)
+    return index.search("Right%RES_RV").select("doc_id", "n_chars")

@@ -1,0 +1,71 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as tx
+from marlstone.operators import search
+
+SCHEMA = "id long, a string, b string, other int"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    r = random.Random(8)
+    words = ["Ring", "ríngs", "spring", "brown  fox", "STRING", "äring", "rin", "g", "50%", "a_b", "x", "", "ring ring", "boring\tring", "漢字漢字"]
+    made = [(i, " ".join(r.choices(words, k=r.randint(0, 4))), r.choice([None, *words]), i % 3) for i in range(300)]
+    return spark.createDataFrame(made, SCHEMA).persist()
+
+
+@pytest.fixture(scope="module")
+def index(rows, tmp_path_factory):
+    return search.build(rows, str(tmp_path_factory.mktemp("grams")), "id", ["a", "b"], gram_parts=8, row_parts=4)
+
+
+PATTERNS = ["ring", "RÍNG", "r%g", "ri_g", "ring ring", "brown fox", "own%ing", "zzz", "ringzzz", "x", "", "%", "漢字漢", "50\\%", "spr_ng%fox", "rin  g", "oring ring"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_the_rows_of_a_scan(rows, index, pattern):
+    want = rows.where(tx.any_contains_folded([F.col("a"), F.col("b")], pattern))
+    found = index.search(pattern)
+    assert found.columns == rows.columns
+    assert sorted(found.collect(), key=lambda r: r["id"]) == sorted(want.collect(), key=lambda r: r["id"])
+
+
+def test_only_the_partitions_of_the_grams_are_read(index):
+    plan = index.candidates("spring")._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "postings" in line)
+    assert "PartitionFilters: [gram_part" in scan
+    told = re.search(r"gram_part#\d+ IN \(([\d,]+)\)|gram_part#\d+ = (\d+)", scan.split("PartitionFilters:")[1])
+    assert len((told[1] or told[2]).split(",")) <= 4 < 8
+
+
+def test_rows_are_fetched_by_their_partitions(index):
+    plan = index.search("spring")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in next(line for line in plan.splitlines() if "/rows" in line)
+
+
+def test_the_rarest_grams_come_first(rows, index):
+    wanted = search.pattern_grams("spring")
+    assert wanted == ["spr", "pri", "rin", "ing"]
+    counts = {g: rows.where(tx.contains_folded(F.col("a"), g)).count() for g in wanted}
+    own = index.rarest(wanted, 2)[0]
+    assert own == sorted(counts.items(), key=lambda x: (x[1], x[0]))[:2]
+
+
+def test_runs_of_a_pattern():
+    assert search.literal_runs("ab%cd_e") == ["ab", "cd", "e"] and search.literal_runs("a\\%bcd%") == ["a", "bcd"] and search.literal_runs("%_") == []
+
+
+def test_added_rows_are_found(rows, spark, tmp_path):
+    index = search.build(rows.where("id < 100"), str(tmp_path / "i"), "id", ["a", "b"], gram_parts=4, row_parts=2)
+    index.add(rows.where("id >= 100"))
+    want = rows.where(tx.any_contains_folded([F.col("a"), F.col("b")], "spring"))
+    assert sorted(r["id"] for r in index.search("spring").collect()) == sorted(r["id"] for r in want.collect())
+
+
+def test_an_empty_index(spark, rows, tmp_path):
+    index = search.build(rows.limit(0), str(tmp_path / "i"), "id", ["a", "b"], gram_parts=4, row_parts=2)
+    assert index.search("ring").collect() == []
