@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.functions import urls
-from marlstone.operators import automaton, reach, rules, segments
+from marlstone.operators import automaton, lines, reach, rules, segments
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table
 
@@ -96,34 +96,32 @@ _HEAD = "length(line) < 80"
 _FRAME = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def _doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return segments.lines(table(spark, sf, "documents"), "doc_id", "text")
+def _is_head(line: Column) -> Column:
+    return F.length(line) < 80
 
 
 @query(f"""
 WITH {_LINES}, marked AS (SELECT *, CAST(sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) {_FRAME} AS BIGINT) AS block_no FROM lines)
 SELECT doc_id, block_no, count(*) AS n_lines, string_agg(line, ' ' ORDER BY line_no) AS row_text FROM marked GROUP BY 1, 2""")
 def line_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = segments.numbered_blocks(_doc_lines(spark, sf), "doc_id", F.length("line") < 80)
-    return segments.block_texts(rows, "doc_id")
+    return lines.block_texts(lines.in_blocks(table(spark, sf, "documents"), "doc_id", "text", _is_head), "doc_id")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, last_value(CASE WHEN {_HEAD} THEN line END IGNORE NULLS) {_FRAME} AS heading FROM lines")
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return segments.carry_forward(_doc_lines(spark, sf), "doc_id", F.length("line") < 80, F.col("line"), "heading").select("doc_id", "line_no", "heading")
+    return lines.carry_forward(table(spark, sf, "documents"), "doc_id", "text", _is_head, lambda x: x, "heading").select("doc_id", "line_no", "heading")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM lines) WHERE {_HEAD} AND length(next_line) >= 80")
 def lookahead(spark: SparkSession, sf: str) -> DataFrame:
-    rows = segments.with_next(_doc_lines(spark, sf), "doc_id")
-    return rows.where((F.length("line") < 80) & (F.length("next_line") >= 80)).select("doc_id", "line_no")
+    return lines.with_next(table(spark, sf, "documents"), "doc_id", "text", lambda x, after: _is_head(x) & (F.length(after) >= 80)).select("doc_id", "line_no")
 
 
 @query(f"""
 WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM (SELECT *, max(CASE WHEN contains(lower(line), 'stupid') THEN 1 ELSE 0 END) {_FRAME} AS is_open FROM lines)
 WHERE is_open = 1 AND NOT contains(lower(line), 'stupid')""")
 def gate(spark: SparkSession, sf: str) -> DataFrame:
-    return segments.gated(_doc_lines(spark, sf), "doc_id", F.contains(F.lower("line"), F.lit("stupid"))).select("doc_id", "line_no")
+    return lines.gated(table(spark, sf, "documents"), "doc_id", "text", lambda x: F.contains(F.lower(x), F.lit("stupid"))).select("doc_id", "line_no")
 
 
 @query(f"""
@@ -132,9 +130,8 @@ carried AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER
 SELECT doc_id, CAST(count(*) FILTER (h IS NOT NULL AND h IS DISTINCT FROM prev) AS BIGINT) AS n_blocks FROM carried GROUP BY 1""")
 def repeated_headings(spark: SparkSession, sf: str) -> DataFrame:
     """A heading that is repeated goes on with its block."""
-    rows = _doc_lines(spark, sf).withColumn("h", F.when(F.length("line") < 80, F.substring("line", 1, 1)))
-    told = rows.withColumn("starts", segments.changed_from_previous(rows, "doc_id", "h"))
-    return told.groupBy("doc_id").agg(F.count_if("starts").alias("n_blocks"))
+    n_blocks = lines.heading_changes(F.split("text", "\n"), _is_head, lambda x: F.substring(x, 1, 1))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", n_blocks.cast("long").alias("n_blocks"))
 
 
 @query(f"""
@@ -144,10 +141,9 @@ SELECT doc_id, block_no, arg_max(trim(line), line_no) FILTER (regexp_matches(tri
 FROM marked WHERE block_no > 0 GROUP BY 1, 2""")
 def block_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Of each block the last line that is one whole sentence, and the first lines with an address and with a number."""
-    rows = segments.numbered_blocks(_doc_lines(spark, sf), "doc_id", F.length("line") < 80).where("block_no > 0")
-    line = F.col("line")
-    kinds = {"contact": F.contains(line, F.lit("@")), "numbered": line.rlike("[0-9]") & ~F.contains(line, F.lit("@"))}
-    return segments.block_fields(rows, ["doc_id", "block_no"], "status", F.trim("line"), F.trim("line").rlike("^[^.]+[.]$"), kinds)
+    found = lines.in_blocks(table(spark, sf, "documents"), "doc_id", "text", _is_head).where("block_no > 0")
+    kinds = {"contact": lambda x: F.contains(x, F.lit("@")), "numbered": lambda x: x.rlike("[0-9]") & ~F.contains(x, F.lit("@"))}
+    return lines.block_fields(found, ["doc_id", "block_no"], "status", F.trim, lambda x: F.trim(x).rlike("^[^.]+[.]$"), kinds)
 
 
 @query(r"""
