@@ -2,12 +2,14 @@
 
 A logistic model over the presence of words and of word beginnings, which inflected
 forms share. Labelled texts with exchangeable terms are also seen with each term
-swapped for every other of its group; the squared change of the score between the text
-and the swapped one, over all features that differ, is penalised, so mentions of a
-group carry no weight of their own. Exchangeable are identity terms and their plurals,
-and besides them the neutral words that the training texts themselves use alike: common
-words whose presence doesn't depend on the label, grouped by the words they stand
-beside. The model is fitted on a bounded sample of labelled rows; word counts, contexts,
+swapped for every other of its group, and without it, in the form they have and in the
+term's other forms (plurals). The squared change of the log-odds between the text and
+such a counterfactual, over all features that differ, is penalised, so mentions of a
+group carry no weight of their own, and no large bias can hide what they carry.
+Exchangeable are identity terms and their plurals, and besides them neutral words of
+the training texts: common words whose presence doesn't depend on the label, grouped by
+the words they stand beside. The loss is convex; the fit goes on until it is at its
+least. The model is fitted on a bounded sample of labelled rows; word counts, contexts,
 swaps and scoring are done in parallel.
 """
 
@@ -52,6 +54,18 @@ def inflected(groups: Groups) -> Groups:
     return (*groups, *(g for g in plurals if g))
 
 
+def other_forms(groups: Groups) -> dict[str, str]:
+    """Of each term the plural or the singular that groups has of it too, by the place in its group."""
+    single = [g for g in groups if any(w not in NO_PLURAL for w in g)]
+    out: dict[str, str] = {}
+    for g in single:
+        for w in g:
+            plural = PLURALS.get(w, f"{w}s")
+            if w not in NO_PLURAL and any(plural in other for other in groups):
+                out[w], out[plural] = plural, w
+    return out
+
+
 #: Beginnings of longer words count as features of their own.
 STEMS = (4, 5, 6)
 
@@ -81,11 +95,30 @@ def swaps(text: str | None, groups: Groups) -> Iterator[tuple[str, str, set[str]
                     yield term, other, own - others, {x for x in others if x not in met}
 
 
+def counterfactuals(text: str | None, groups: Groups, forms: dict[str, str]) -> Iterator[tuple[set[str], set[str]]]:
+    """(gone, new) features of each counterfactual: swaps, and the text without the term; both also for the text with the term's other form in its place."""
+    words = set(WORD.findall((text or "").lower()))
+    terms = {t for g in groups for t in g}
+    for term in sorted(words & terms):
+        for form in {term, forms.get(term, term)}:
+            rest = words - {term, form}
+            kept = {x for w in rest for x in features(w)}
+            own = features(form) - kept
+            yield own, set()
+            for g in groups:
+                if form in g:
+                    for other in g:
+                        if other != form:
+                            others = features(other) - kept
+                            yield own - others, others - own
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
-    pairs: int = 0  # text and swapped text, as many as the fit penalised
+    pairs: int = 0  # text and counterfactual, as many as the fit penalised
+    converged: bool = True
 
     def score(self, text: str | None) -> float:
         w = self.weights
@@ -137,7 +170,9 @@ def neutral_groups(rows: DataFrame, words: list[str], alike: float = 0.5, size:
 
 
 def _coded(rows: DataFrame, index: dict[str, int], groups: list[Groups]) -> DataFrame:
-    """(label, ids, swaps): the model's features of a text, and the kind (which of groups) and the signed differences of each of its swaps. Features count from 1 in these, gone ones are negative."""
+    """(label, ids, swaps): the model's features of a text, and the kind (which of groups) and the signed differences of each of its counterfactuals. Features count from 1 in these, gone ones are negative."""
+
+    forms = [other_forms(some) for some in groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -146,7 +181,7 @@ def _coded(rows: DataFrame, index: dict[str, int], groups: list[Groups]) -> Data
                 ids.append(sorted(index[x] for x in words_of(text) & index.keys()))
                 own = []
                 for kind, some in enumerate(groups):
-                    for _, _, gone, new in swaps(text, some):
+                    for gone, new in counterfactuals(text, some, forms[kind]):
                         change = [*sorted(-1 - index[x] for x in gone & index.keys()), *sorted(1 + index[x] for x in new & index.keys())]
                         if change:
                             own.append([kind, *change])
@@ -162,57 +197,58 @@ def _flat(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate([np.array(b, np.int64) for b in bags]) if len(rows) else np.zeros(0, np.int64)
 
 
-def train(bags: list[list[int]], labels: np.ndarray, size: int, swapped: list[list[list[int]]], penalty: float, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated full-batch gradient descent.
+def train(bags: list[list[int]], labels: np.ndarray, size: int, swapped: list[list[list[int]]], penalty: float, ridge: float = 1e-4, steps: int = 3000, close: float = 1e-4) -> tuple[np.ndarray, float, bool]:
+    """Weights, bias, and whether they are at the least loss: accelerated full-batch gradient descent, begun anew where it overshoots.
 
     swapped has, for each bag, (kind, differences...) of its counterfactuals as _coded
-    gives them; the penalty is on the mean over the counterfactuals of each kind.
+    gives them. The penalty is on the squared change of the log-odds, its mean over the
+    counterfactuals of each kind. It ends when no weight would move by `close`.
     """
     rows, cols = _flat(bags)
-    doc = np.repeat(np.arange(len(bags)), [len(s) for s in swapped])
-    kinds: dict[tuple[int, ...], int] = {}  # the same difference in many texts counts once here
-    which = np.array([kinds.setdefault(tuple(c), len(kinds)) for s in swapped for c in s], np.int64)
+    kinds = Counter(tuple(c) for s in swapped for c in s)  # log-odds change by the same, whatever the text
     rows2, signed = _flat([list(c[1:]) for c in kinds])
     cols2, sign = np.abs(signed) - 1, np.sign(signed).astype(float)
     n, w, bias = len(bags), np.zeros(size), 0.0
     hot = labels.sum()
     cost = np.where(labels == 1, n / (2 * hot), n / (2 * (n - hot)))  # both labels count the same in all
     width = cost * (np.bincount(rows, minlength=n) + 1.0)
-    group = np.array([c[0] for c in kinds], np.int64)[which]
-    share = penalty / np.maximum(np.bincount(group), 1)[group] if len(doc) else np.zeros(0)
+    group = np.array([c[0] for c in kinds], np.int64)
+    share = np.array(list(kinds.values()), float)
+    if len(share):
+        share *= penalty / np.bincount(group, share)[group]
     # each weight's own step: the curvature is at most this diagonal
-    wide = np.bincount(rows2, minlength=len(kinds)).astype(float)
-    curve = np.zeros(size)
-    np.maximum.at(curve, cols2, wide[rows2] / 2)
-    rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + penalty * curve)
+    wide = np.bincount(rows2, minlength=len(kinds)) * share if len(share) else share
+    curve = np.bincount(cols2, 2 * wide[rows2], size) if len(share) else 0.0
+    rate = 1 / (0.25 * np.bincount(cols, width[rows], size) / n + ridge + curve)
     bias_rate = 1 / (0.25 * width.mean())
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(steps):
         z = np.bincount(rows, ahead[cols], n) + ahead_bias
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        miss = cost * (p - labels) / n
+        miss = cost * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
         grad = np.bincount(cols, miss[rows], size) + ridge * ahead
-        if len(doc):  # (s(x) - s(x'))^2, s the score
+        if len(share):
             moved = np.bincount(rows2, sign * ahead[cols2], len(kinds))
-            p2 = 1 / (1 + np.exp(-np.clip(z[doc] + moved[which], -40, 40)))
-            diff = 2 * share * (p[doc] - p2)
-            down, up = diff * p[doc] * (1 - p[doc]), diff * p2 * (1 - p2)
-            grad += np.bincount(cols, np.bincount(doc, down - up, n)[rows], size)
-            grad -= np.bincount(cols2, sign * np.bincount(which, up, len(kinds))[rows2], size)
-        new, new_bias = ahead - rate * grad, ahead_bias - bias_rate * miss.sum()
+            grad += np.bincount(cols2, sign * (2 * share * moved)[rows2], size)
+        move, move_bias = rate * grad, bias_rate * miss.sum()
+        new, new_bias = ahead - move, ahead_bias - move_bias
+        if max(np.abs(move).max(initial=0.0), abs(move_bias)) < close:
+            return new, float(new_bias), True
+        if grad @ (new - w) + miss.sum() * (new_bias - bias) > 0:
+            t = 1.0  # uphill
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
-    return w, bias
+    return w, float(bias), False
 
 
-def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: Groups = IDENTITY_GROUPS, neutral: int = 64) -> Model:
+def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 10.0, groups: Groups = IDENTITY_GROUPS, neutral: int = 64) -> Model:
     """Learn from a bounded sample of (doc_id, text, label).
 
     The features are the words whose presence differs most between labels by the
     chi-square statistic, at most `vocabulary`, and the exchangeable terms: the groups'
-    and their plurals, and those grouped among the `neutral` commonest words whose
-    presence doesn't differ (chi-square of 3.84 at most).
+    and their plurals, and those grouped among `neutral` words of the 512 commonest
+    whose presence doesn't depend on it (chi-square of 10.83 at most, p 0.001): those
+    whose label rates differ most by chance, as a fit without the penalty would learn them.
     """
     rows = rows.where("label is not null").persist()
     bags = _bags(rows)
@@ -227,15 +263,16 @@ def fit(rows: DataFrame, vocabulary: int = 2048, penalty: float = 1.0, groups: G
     counts = bags.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hot"))
     counts = counts.where("n >= 3").select("word", "n", chi.alias("chi")).persist()
     words = [r["word"] for r in counts.where("chi > 15").orderBy(F.desc("chi"), "word").limit(vocabulary).collect()]
-    plain = counts.where("chi <= 3.84 and not word like '%-'").orderBy(F.desc("n"), "word").limit(neutral).collect()
+    common = counts.where("chi <= 10.83 and not word like '%-'").orderBy(F.desc("n"), "word").limit(512)
+    plain = common.orderBy(F.desc("chi"), "word").limit(neutral).collect()
     counts.unpersist()
     alike = [inflected(groups), neutral_groups(rows, [r["word"] for r in plain])]
     words = list(dict.fromkeys([*words, *(w for some in alike for g in some for w in g)]))
     sets = _coded(rows, {w: i for i, w in enumerate(words)}, alike).collect()  # bounded by the sample, the vocabulary and the groups
     rows.unpersist()
     swapped = [r["swaps"] for r in sets]
-    w, bias = train([r["ids"] for r in sets], np.array([r["label"] for r in sets], float), len(words), swapped, penalty)
-    return Model(dict(zip(words, w.tolist())), float(bias), sum(map(len, swapped)))
+    w, bias, converged = train([r["ids"] for r in sets], np.array([r["label"] for r in sets], float), len(words), swapped, penalty)
+    return Model(dict(zip(words, w.tolist())), bias, sum(map(len, swapped)), converged)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -251,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_rows: int = 20_000, vocabulary: int = 2048, penalty: float = 1.0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_rows: int = 20_000, vocabulary: int = 2048, penalty: float = 10.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     Labels of the held-out fold are never read. Labels that are null or lack a document

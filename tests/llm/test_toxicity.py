@@ -50,6 +50,37 @@ def test_penalty_holds_for_stems_and_plurals(spark):
     assert gap[0] > 0.3 and gap[1] < 0.25 * gap[0]
 
 
+def test_no_bias_hides_what_a_mention_adds(spark):
+    """Texts of one group are toxic and those of others aren't; plurals aren't in the sample. Unpenalised scores are far apart."""
+    rows = []
+    for i in range(300):
+        term = ("muslim", "christian", "hindu")[i % 3]
+        rows.append((i, f"the {term} {prose(i, 6)} home", int(term == "muslim")))
+    rows += [(1000 + i, f"the walk {prose(1000 + i, 6)} home", int(i % 10 == 0)) for i in range(60)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    texts = ["the walk home", "the muslims walk home", "the muslim walk home", "the christians walk home", "the hindus walk home", "muslim", "christian", "muslims"]
+    free, bound = (toxicity.fit(rows, penalty=p, neutral=0) for p in (0.0, 100.0))
+    scores = [[m.score(t) for t in texts] for m in (free, bound)]
+    assert bound.converged and max(scores[0]) - min(scores[0]) > 0.5 and max(scores[1]) - min(scores[1]) < 0.1
+
+
+def test_counterfactuals_are_those_of_the_changed_text():
+    groups = toxicity.inflected(toxicity.IDENTITY_GROUPS)
+    forms = toxicity.other_forms(groups)
+    assert forms["muslim"] == "muslims" and forms["jews"] == "jewish" and "women" not in forms
+    text = "a muslim met muslin traders and old men"
+    words = lambda t: toxicity.words_of(t)
+    want = set()
+    for term in ("muslim", "old", "men"):
+        for form in {term, forms.get(term, term)}:
+            base = text.replace(term, form)
+            for other in ["", *(o for g in groups if form in g for o in g if o != form)]:
+                changed = base.replace(form, other)
+                want.add((frozenset(words(base) - words(changed)), frozenset(words(changed) - words(base))))
+    assert {(frozenset(a), frozenset(b)) for a, b in toxicity.counterfactuals(text, groups, forms)} == want
+    assert list(toxicity.counterfactuals(None, groups, forms)) == []
+
+
 def test_swaps_are_those_of_the_swapped_text():
     """Differences equal those between the features of the text and of the text with the other word in its place."""
     groups = toxicity.inflected(toxicity.IDENTITY_GROUPS)
@@ -65,12 +96,13 @@ def test_swaps_are_those_of_the_swapped_text():
 
 
 def test_gradient_is_right():
-    """The accelerated descent ends where the loss is flat."""
+    """The accelerated descent ends, and says so, where the loss is flat."""
     r = np.random.default_rng(3)
     bags = [sorted(r.choice(8, 3, replace=False).tolist()) for _ in range(60)]
     y = np.array([float(0 in b or r.random() < 0.2) for b in bags])
     swapped = [[[0, -1 - a, *([1 + c] if c not in b else [])] for a, c in ((5, 6), (6, 5)) if a in b] for b in bags]
-    w, b = toxicity.train(bags, y, 8, swapped, penalty=2.0, ridge=0.01, steps=3000)
+    w, b, converged = toxicity.train(bags, y, 8, swapped, penalty=2.0, ridge=0.01, close=1e-7)
+    assert converged and not toxicity.train(bags, y, 8, swapped, penalty=2.0, steps=3)[2]
 
     def loss(w, b):
         x = np.array([[i in bag for i in range(8)] for bag in bags], float)
@@ -83,7 +115,7 @@ def test_gradient_is_right():
                 if row[a]:
                     other = row.copy()
                     other[a], other[c] = 0, 1
-                    diffs.append((1 / (1 + np.exp(-(row @ w + b))) - 1 / (1 + np.exp(-(other @ w + b)))) ** 2)
+                    diffs.append((row @ w - other @ w) ** 2)
         return out + 2.0 * np.mean(diffs)
 
     at = loss(w, b)
@@ -103,25 +135,33 @@ def test_scores_equal_a_plain_version(spark):
     assert all(abs(found[i] - 1 / (1 + np.exp(-z))) < 1e-12 for i, z in want.items())
 
 
-def test_pairs_are_penalised_on_a_corpus_without_identity_terms(spark):
-    """The corpus's own exchangeable words take part, and their swaps move the score less than without the penalty."""
+def swap_gap(spark, penalties):
+    """Mean change of the held-out texts' log-odds when a neutral word is swapped, for models of these penalties, and their AUC."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label")).where("doc_id % 3 = 0")
-    free, bound = (toxicity.fit(rows, penalty=p) for p in (0.0, 1.0))
-    assert free.pairs == bound.pairs > 1000
-    words = [r["word"] for r in rows.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").groupBy("word").count().orderBy(F.desc("count")).limit(40).collect()]
-    groups = toxicity.neutral_groups(rows, words)
-    assert groups and all(1 < len(g) <= 3 for g in groups)
-    texts = [r["text"] for r in rows.limit(60).collect()]
-
-    def gap(model):
-        w, out = model.weights, []
-        for text in texts:
-            for _, _, gone, new in toxicity.swaps(text, groups):
-                out.append(abs(sum(w.get(x, 0) for x in new) - sum(w.get(x, 0) for x in gone)))
-        return np.mean(out)
-
-    assert gap(bound) < gap(free)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
+    held = toxicity.fold_of(F.col("doc_id"), 3) == 1
+    groups, out = [], []
+    keep = toxicity.neutral_groups
+    toxicity.neutral_groups = lambda *a, **b: groups.append(keep(*a, **b)) or groups[-1]
+    try:
+        models = [toxicity.fit(rows.where(~held), penalty=p) for p in penalties]
+    finally:
+        toxicity.neutral_groups = keep
+    assert groups[0] == groups[1] and all(1 < len(g) <= 3 for g in groups[0])
+    texts = rows.where(held).select("text", "label").collect()
+    for m in models:
+        w = m.weights
+        gaps = [abs(sum(w.get(x, 0) for x in new) - sum(w.get(x, 0) for x in gone)) for t in texts[:300] for gone, new in toxicity.counterfactuals(t["text"], groups[0], {})]
+        out.append((float(np.mean(gaps)), float(auc(np.array([m.score(t["text"]) for t in texts]), np.array([t["label"] for t in texts]))), m))
+    return out
+
+
+def test_the_corpus_own_swaps_move_the_score_less(spark):
+    """Without identity terms in the corpus its neutral words take part: the penalty more than halves what swapping them does, and costs no accuracy."""
+    (free, free_auc, a), (bound, bound_auc, b) = swap_gap(spark, (0.0, 10.0))
+    print("swap gap", free, bound, "AUC", free_auc, bound_auc)
+    assert a.pairs == b.pairs > 1000 and a.converged and b.converged
+    assert bound < 0.5 * free and bound_auc > 0.95 and bound_auc > free_auc - 0.005
 
 
 def test_odd_rows(spark):
