@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,40 +38,58 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Tables of stash, by application, that are there to read.
-_stashed: dict[str, list[str]] = {}
+#: Where stash notes its tables: the innermost sweep of this thread, if it is within one.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows for which a stash whose number of rows is known writes a file, and the files it writes at least.
+FILE_ROWS, FILES = 50_000, 12
+
+
+def stash(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Where about how many rows there are at most is told, few rows are few files, as many
+    small steps would else spend their time on opening and closing them.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
     schema = df.schema
+    if (noted := _noted.get()) is not None:
+        noted.append(path)  # before it is written, so that a failed write is swept too
+    if rows is not None:
+        df = df.coalesce(max(FILES, rows // FILE_ROWS))
     df.write.parquet(path)
-    _stashed.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Removes the tables that stash writes within; gives a stash whose tables stay.
+    """Removes the tables that this thread's stash writes within, also after an error; gives a stash whose tables stay.
 
-    What is lazily defined within must be written within.
+    Other threads' tables are their own. What is lazily defined within must be written
+    within. Tables that stay within another sweep are that one's.
     """
-    tables = _stashed.setdefault(spark.sparkContext.applicationId, [])
-    before, kept = len(tables), []
+    tables: list[str] = []
+    kept: list[str] = []
+    outer = _noted.get()
+    token = _noted.set(tables)
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         out = stash(df, label)
         kept.append(tables[-1])
         return out
 
-    yield keep
-    gone = [path for path in tables[before:] if path not in kept]
-    tables[before:] = kept
-    for path in gone:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    try:
+        yield keep
+    finally:
+        _noted.reset(token)
+        if outer is not None:
+            outer += kept
+        for path in tables:
+            if path not in kept:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -100,6 +119,20 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     return told.where("is_hot").drop("is_hot").unionByName(rest)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner equi-join of left with right, which may have a key many times; its `weight` column is how many rows of left have the key.
+
+    A key with more than 1 / HOT_KEYS of left's total rows is dealt in parts of about
+    that many; right's rows of such a key go to each of its parts, left's by a hash of the row. Only the fewer than
+    HOT_KEYS hot keys and their numbers of parts are broadcast. weight isn't in the result.
+    """
+    parts = F.ceil(F.col(weight) * F.lit(HOT_KEYS / max(total, 1))).cast("int")
+    hubs = right.where(F.col(weight) > F.lit(total / HOT_KEYS)).select(key, parts.alias("parts")).distinct()
+    told = left.join(F.broadcast(hubs), key, "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), F.coalesce("parts", F.lit(1)).cast("long")).cast("int"))
+    spread = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > F.lit(total / HOT_KEYS), parts - 1).otherwise(F.lit(0)))))
+    return told.drop("parts").join(spread.drop(weight), [key, "part"]).drop("part")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, of few rows and few bytes of text, so that few Python objects exist at a time."""
     for batch in batches:

@@ -62,7 +62,7 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     edges = stash(edges, "edges")
     seen = _checksum(edges)
     while seen[0]:
-        edges = stash(_small_star(stash(_large_star(edges, seen[0]), "stars"), seen[0]).where("u <> v").distinct(), "edges")
+        edges = stash(_small_star(stash(_large_star(edges, seen[0]), "stars", seen[0]), seen[0]).where("u <> v").distinct(), "edges", seen[0])
         now = _checksum(edges)
         if now == seen:
             break

@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are runs of `min_match` tokens. A bitmap of fixed size, filled from the
+Seeds are runs of `min_match` tokens. A bitmap of bounded size, filled from the
 benchmark's seeds, goes to every task and tells which runs of a document may be seeds;
 these meet the benchmark's in an equi-join, which gives the candidate pairs. A pair
 goes on only if enough item positions are seeds: tiles that cover c tokens hold at
@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stash, text_slices
+from marlstone.llm.common import join_hot, join_salted, stash, text_slices
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BITMAP_BITS = 26
+#: Sizes of the bitmap, as powers of two: 1 MB for small benchmarks, 64 MB at most; in between 16 bits a seed.
+BITMAP_BITS = (23, 29)
 #: Between two stretches of a document; no token has it.
 GAP = np.uint64(0)
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -113,23 +114,29 @@ def _items(benchmark: DataFrame, min_match: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, "item_id long, tokens array<long>, seeds array<long>").where(F.size("tokens") > 0)
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit for each value of a seed's leading bits: 2 ** BITMAP_BITS bits, however large the benchmark."""
-    bit = F.shiftrightunsigned("seed", 64 - BITMAP_BITS) + 1
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each value of a seed's leading bits: 2 ** bits of them."""
+    bit = F.shiftrightunsigned("seed", 64 - bits) + 1
     filled = seeds.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in filled.collect():  # 4 KB each, 8 MB in all at most
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in filled.collect():  # 4 KB each, 64 MB in all at most
         at = (row["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
 
-def _stretches(docs: DataFrame, bitmap, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
+def bitmap_bits(seeds: int) -> int:
+    """Bits of the bitmap's index for so many seeds."""
+    least, most = BITMAP_BITS
+    return max(least, min(most, (16 * seeds).bit_length()))
+
+
+def _stretches(docs: DataFrame, bitmap, bits: int, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, seeds, tokens) of documents in which a seed may occur: its distinct seeds and the tokens they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, row = bitmap.value, TaskContext.get().partitionId() << 40
-        shift = np.uint64(64 - BITMAP_BITS)
+        filled, row = bitmap.value, TaskContext.get().partitionId() << 40
+        shift = np.uint64(64 - bits)
         for part in text_slices(batches):
             out: list[tuple] = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
@@ -139,7 +146,7 @@ def _stretches(docs: DataFrame, bitmap, lengths: list[int], id_col: str, text_co
                 for n in lengths:
                     h = windows(toks, n)
                     at = h >> shift
-                    hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                    hit = np.flatnonzero((filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
                     if len(hit):
                         covered[hit] += 1
                         covered[hit + n] -= 1
@@ -183,17 +190,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
     items = stash(_items(benchmark, min_match, item_id_col, item_text_col), "items")
     seeds = items.select("item_id", F.xxhash64("item_id", "tokens").alias("item_key"), F.size("tokens").alias("n"), F.explode("seeds").alias("seed"))
     short = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(min_match))).distinct().collect()]  # at most min_match values
-    bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
-    found = stash(_stretches(docs, bitmap, sorted(short), id_col, text_col), "stretches")
+    bits = bitmap_bits(seeds.count())
+    bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))
+    found = stash(_stretches(docs, bitmap, bits, sorted(short), id_col, text_col), "stretches")
     places = seeds.groupBy("seed", "item_key", "n").agg(F.count(F.lit(1)).alias("places"))
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(coverage) / F.lit(min_match) - F.lit(1e-9)))
     # a pair has `least` places or more, so one at least beside the item's commonest seeds of less places in all
     in_docs = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("rows"))
     common = Window.partitionBy("item_key").orderBy(F.desc("rows"), "seed").rowsBetween(Window.unboundedPreceding, 0)
     rare = places.join(in_docs, "seed").withColumn("so_far", F.sum("places").over(common)).where(F.col("so_far") >= least)
-    candidates = found.select("row", F.explode("seeds").alias("seed")).join(rare.select("seed", "item_key"), "seed").select("row", "item_key").distinct()
+    rare = stash(rare.select("seed", "item_key", "rows"), "rare-seeds")
+    met = found.select("row", F.explode("seeds").alias("seed"))
+    n_met = found.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    candidates = stash(join_salted(met, rare, "seed", "rows", n_met).select("row", "item_key").distinct(), "candidates")
     texts = items.select(F.xxhash64("item_id", "tokens").alias("item_key"), "item_id", F.col("tokens").alias("item"), F.col("seeds").alias("item_seeds"), F.size("tokens").alias("n"))
-    pairs = candidates.join(found, "row").join(texts, "item_key")
+    texts = texts.join(candidates.groupBy("item_key").agg(F.count(F.lit(1)).alias("pairs")), "item_key")
+    pairs = join_hot(candidates.join(found, "row"), texts, ["item_key"], "pairs", candidates.count())
     repeats = F.size("item_seeds") - F.size(F.array_distinct("item_seeds"))
     pairs = pairs.where(F.size(F.array_intersect("item_seeds", "seeds")) + repeats >= least)
     return _tiled(pairs, min_match).withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens")).where(F.col("coverage") >= coverage)

@@ -35,6 +35,8 @@ UNDETERMINED = "und"
 PART = 1 << 20
 #: A language keeps runs that are met at least the square root of its volume, by this, times.
 KEEP = 1 << 12
+#: Bytes of the runs of one order that may go to the driver and to every task.
+MODEL_BYTES = 256 << 20
 MASKS = [np.uint64((1 << (16 * n)) - 1) for n in range(ORDER + 1)]
 SIXTEEN = np.uint64(16)
 
@@ -220,14 +222,17 @@ def _by_lang(found: pd.DataFrame) -> dict[str, list[np.ndarray]]:
     return out
 
 
-def fit(rows: DataFrame) -> Model | None:
+def fit(rows: DataFrame, prune: bool = True, most_bytes: int = MODEL_BYTES) -> Model | None:
     """Learn from (lang, text). Every row is counted; a language's own volume tells which of its runs make the model.
 
     Discounts, continuation counts and totals are those of all runs. A run stays in the
     model if its count is at least a 4096th of the square root of all counts of its
     language, so a language of up to 2^24 characters keeps all, and what a larger one
     keeps grows with it. Hot languages take nothing from rare ones, and a language's
-    commonest run stays. None if there is nothing to learn from.
+    commonest run stays. Without prune every run stays. None if there is nothing to
+    learn from. The model goes through the driver to every task: one of more than
+    most_bytes is refused before it is gathered, as its size follows the different runs
+    and not the rows.
     """
     orders = [run_counts(rows).persist()]
     for order in range(ORDER - 1, 0, -1):  # distinct predecessors of the shorter runs
@@ -237,11 +242,14 @@ def fit(rows: DataFrame) -> Model | None:
     for counted in orders:
         told = counted.groupBy("lang").agg(F.sum("n").alias("volume"), F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()  # a row a language
         discount = {r["lang"]: r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] and r["twice"] else 0.5 for r in told}
-        bounds = [(r["lang"], min(r["most"], int(r["volume"] ** 0.5 / KEEP)), discount[r["lang"]]) for r in told]
+        bounds = [(r["lang"], min(r["most"], int(r["volume"] ** 0.5 / KEEP)) if prune else 0, discount[r["lang"]]) for r in told]
         if not bounds:
             break
         known = counted.join(F.broadcast(counted.sparkSession.createDataFrame(bounds, "lang string, least long, discount double")), "lang")
         kept = F.col("n") >= F.col("least")
+        size = known.where(kept).agg(F.count_distinct("run")).first()[0] * (8 + 4 * len(bounds))
+        if size > most_bytes:
+            raise ValueError(f"the model would have {size} bytes of runs of order {len(found[bounds[0][0]]) + 1 if found else 1}; raise most_bytes or prune")
         grams = known.where(kept).select("lang", "run", "n").toPandas()
         context = F.shiftrightunsigned("run", 16).alias("run")
         sums = known.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum(F.when(kept, F.col("n") - F.col("discount"))).alias("mass"))
@@ -327,11 +335,11 @@ def predict(docs: DataFrame, model: Model | None, accept: float = 0.5, id_col: s
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "lang_pred", "score", (F.col("score") < accept).alias("rejected"))
 
 
-def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit_on_folds(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", prune: bool = True) -> Model | None:
     """A calibrated model from all folds of docs but held_out; the calibration fold only calibrates."""
     fold = fold_of(F.col(id_col), folds)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), fold.alias("fold"))
-    model = fit(rows.where(~F.col("fold").isin(held_out, calibration)))
+    model = fit(rows.where(~F.col("fold").isin(held_out, calibration)), prune)
     if model:
         calibrate(model, rows.where(F.col("fold") == calibration))
     return model
@@ -344,13 +352,13 @@ def identified(docs: DataFrame, model: Model | None, accept: float = 0.5) -> Dat
     return told.where(~F.col("rejected")).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
-def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, calibration: int = 3, prune: bool = True) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row, learnt from the rows not held out.
 
     Rows with a null id are predicted, but belong to no fold and teach nothing; nor do
     rows with a null language or text. An empty table gives an empty result.
     """
-    model = fit_on_folds(docs, folds, held_out, calibration)
+    model = fit_on_folds(docs, folds, held_out, calibration, prune=prune)
     out = predict(docs, model)
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

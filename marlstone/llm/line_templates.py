@@ -97,7 +97,8 @@ def _templates(lines: DataFrame, min_docs: int, similarity: float, constant: flo
 def recurring_lines(docs: DataFrame, occurrences: DataFrame, min_docs: int, similarity: float, constant: float, levels: int) -> DataFrame:
     """(line, template, first_doc, n): hashes of the masked lines to drop, of their templates, and in how many documents the line is.
 
-    docs has doc_id and text, occurrences doc_id, leaf and line once a document.
+    docs has doc_id and text, occurrences doc_id, leaf and line once a document; neither
+    has a null id or text. Without occurrences there is nothing to drop.
     """
     n_occurrences = occurrences.count()
     counts = stash(occurrences.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-counts")
@@ -116,24 +117,25 @@ def recurring_lines(docs: DataFrame, occurrences: DataFrame, min_docs: int, simi
     alike = stash(_templates(each, min_docs, similarity, constant, levels).join(open_lines.select("line", "n", "first_doc"), "line"), "alike-lines")
 
     # a template with a recurring line recurs; of the others documents are counted
-    kinds = alike.groupBy("template").agg(F.max("n").alias("most"), F.min("first_doc").alias("first_doc"))
+    kinds = alike.groupBy("template").agg(F.max("n").alias("most"), F.min("first_doc").alias("first_doc"), F.count(F.lit(1)).alias("rows"))
     rare = alike.where(F.col("n") < min_docs).select("line", "template", "n")
     hot = F.broadcast(counts.where((F.col("n") >= min_docs) & (F.col("n") > F.lit(n_occurrences / HOT_KEYS))).select("line"))
     spread = rare.join(occurrences.select("line", "doc_id").join(hot, "line", "left_anti"), "line").groupBy("template").agg(F.count_distinct("doc_id").alias("n_docs"))
-    wide = kinds.join(spread, "template", "left").where((F.col("most") >= min_docs) | (F.col("n_docs") >= min_docs))
-    general = stash(alike.select("line", "template", "n").join(wide.select("template", "first_doc"), "template").select("line", "template", "first_doc", "n"), "general-lines")
+    wide = stash(kinds.join(spread, "template", "left").where((F.col("most") >= min_docs) | (F.col("n_docs") >= min_docs)).select("template", "first_doc", "rows"), "wide-templates")
+    general = join_hot(alike.select("line", "template", "n"), wide, ["template"], "rows", alike.count())
+    general = stash(general.select("line", "template", "first_doc", "n"), "general-lines")
     return whole.join(general.select("line"), "line", "left_anti").unionByName(general)
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, constant: float = 0.6, min_tokens: int = 1, levels: int = 3) -> DataFrame:
-    """docs with the text of the lines that stay, and n_lines and n_dropped of every row.
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, constant: float = 0.6, min_tokens: int = 1, levels: int = 3, counts: bool = True) -> DataFrame:
+    """docs with the text of the lines that stay, and with counts n_lines and n_dropped of every row.
 
     A template recurs if at least min_docs documents have it. Lines of fewer tokens than
     min_tokens, blank lines and lines of nothing but variables always stay, as do the
     lines of the template's earliest document. Null texts stay null. Rows with a null id
     are left as they are; a row that repeats an id may count as another document. All
     other columns pass through, whatever their names, but for n_lines and n_dropped,
-    which are replaced; an empty table gives an empty result.
+    which counts replace; an empty table gives an empty result.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     whole = docs.toDF(*names.values()).withColumn("text", F.col(names["text"])).withColumn("doc_id", F.col(names["doc_id"]).cast("long"))
@@ -151,10 +153,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, sim
         after = F.coalesce(F.get("drop", k - 1), F.lit(-1))
         return F.slice("lines", after + 2, F.coalesce(F.get("drop", k), F.size("lines")) - after - 1)
 
-    joined = whole.join(drops, ["doc_id", "row"], "left").withColumn("lines", F.split("text", "\n"))
+    # rows without an id or a text pass by, or the join would deal them all to one task
+    known = whole.where("row is not null").join(drops, ["doc_id", "row"], "left")
+    joined = known.unionByName(whole.where("row is null").withColumn("drop", F.lit(None).cast("array<int>"))).withColumn("lines", F.split("text", "\n"))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("drop")), between))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
-    passed = [(text if c == "text" else F.col(n)).alias(c) for c, n in names.items() if c not in ("n_lines", "n_dropped")]
-    return joined.select(*passed, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    counted = {"n_lines": n_lines, "n_dropped": n_dropped} if counts else {}
+    passed = [(text if c == "text" else F.col(n)).alias(c) for c, n in names.items() if c not in counted]
+    return joined.select(*passed, *(x.alias(c) for c, x in counted.items()))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stash, text_slices
+from marlstone.llm.common import join_hot, stash, text_slices
 
 #: A blank after one of these ends a unit, as a line break does.
 SENTENCE_END = re.compile(r"([.!?]) ")
@@ -34,7 +34,10 @@ def split_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def units(docs: DataFrame, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, high, low): the long enough units of every row and the halves of their digests."""
+    """(doc_id, start, end, high, low): the long enough units of every row and the halves of their digests.
+
+    Null and blank texts have none; units of a null id have a null id. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -63,8 +66,8 @@ def repeated_units(docs: DataFrame, min_words: int = 12, id_col: str = "doc_id",
     """
     found = stash(units(docs, min_words, id_col, text_col).where("doc_id is not null"), "units")
     first = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("high", "low", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
-    return found.join(first, ["high", "low"]).where("doc_id <> kept_doc_id or start <> kept_start").select("doc_id", "start", "end", "kept_doc_id", "kept_start")
+    first = stash(first.select("high", "low", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "n"), "first-units")
+    return join_hot(found, first, ["high", "low"], "n", found.count()).where("doc_id <> kept_doc_id or start <> kept_start").select("doc_id", "start", "end", "kept_doc_id", "kept_start")
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:

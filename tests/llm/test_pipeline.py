@@ -1,7 +1,12 @@
 import hashlib
+import pathlib
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -70,11 +75,65 @@ def test_stage_tables_are_removed(spark, tmp_path):
     assert any(p.startswith("outer-") for p in left) and not any(p.startswith("inner-") for p in left)
 
 
+def left_tables(spark):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return {p.name.split("-")[0] for p in folder.glob("marlstone/*")}
+
+
+def test_tables_of_other_work_stay(spark):
+    """Two threads, one of which fails: each sweeps its own tables, and no others."""
+    docs = documents(spark, [(i, prose(i, 20)) for i in range(8)])
+    before = stash(docs, "earlier")
+    at_once = threading.Barrier(2)
+
+    def work(name, fails):
+        with swept(spark):
+            inner = stash(docs, f"{name}inner")
+            at_once.wait(60)
+            if fails:
+                raise RuntimeError(name)
+            at_once.wait(60)
+            return inner.count()
+
+    def failing():
+        try:
+            with pytest.raises(RuntimeError):
+                work("failing", True)
+        finally:
+            at_once.wait(60)
+
+    with ThreadPoolExecutor(2) as pool:
+        other = pool.submit(failing)
+        assert pool.submit(work, "fine", False).result() == 8
+        other.result()
+    assert before.count() == 8
+    assert not {"failinginner", "fineinner"} & left_tables(spark) and "earlier" in left_tables(spark)
+
+
+def test_nested_sweeps(spark):
+    docs = documents(spark, [(1, "a")])
+    with swept(spark):
+        with swept(spark) as keep:
+            kept = keep(docs, "nestedkept")
+        assert kept.count() == 1
+    assert "nestedkept" not in left_tables(spark)
+
+
+def test_input_columns_pass_through_whatever_their_names(spark):
+    rows = [(i, "Read More Here\n" + prose(i, 60)) for i in range(12)]
+    docs = documents(spark, rows).withColumn("n_lines", F.concat(F.lit("z"), F.col("doc_id").cast("string"))).withColumn("n_dropped", F.lit(True)).withColumn("drop", F.lit(7))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stash(stage(spark, kept, SF), name)
+        assert kept.dtypes == docs.dtypes
+    found = kept.collect()
+    assert found and all(r["n_lines"] == f"z{r['doc_id']}" and r["n_dropped"] is True and r["drop"] == 7 for r in found)
+    assert sum("Read More" in r["text"] for r in found) <= 1
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
-    import pytest
-
     from marlstone.llm.common import shared_folder
 
     class Conf(dict):
