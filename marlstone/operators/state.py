@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import digests
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
     """New rows replace old ones of the same key; columns in keep stay as they were first.
@@ -102,20 +104,20 @@ def lifecycle(items: DataFrame, awards: DataFrame, visible: DataFrame, observed:
     return rows.withColumns({"status": status, "missing_since": since, "closed_by": closed_by}).select(*items.columns)
 
 
-def event_batches(docs: DataFrame, category: Column, key: str, titles: tuple[str, str]) -> DataFrame:
-    """One event for each category that isn't null: (event_key, category, n, body, first_id, last_id).
+def event_batches(docs: DataFrame, category: Column, key: str, titles: tuple[str, str], size: int = 64, fan: int = 64, levels: int = 3) -> DataFrame:
+    """One event for each category that isn't null, its ids in blocks: (event_key, category, n, body, block_no, ids).
 
-    The key holds the category and a digest of its integer ids: their number, sum, sum of
-    squares (modulo a prime), least and greatest. So a replay makes the same event, in
-    whatever order the ids come, and no task gathers a category's ids; `docs` still has them.
+    ids has those of a block, by number, joined by commas; an event has as many rows as
+    blocks, and no task gathers a category's ids. The key holds the category and the root
+    of a hash tree over its integer ids, so a replay makes the same event, in whatever
+    order the ids come, and other ids another one.
     """
-    ids = docs.select(category.alias("category"), F.col(key).cast("long").alias("id")).where("category is not null")
-    rest = F.pmod("id", F.lit(1_000_003))
-    sums = [F.sum(x.cast("decimal(38,0)")) for x in (F.col("id"), F.pmod(rest * rest, F.lit(1_000_003)))]
-    events = ids.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), *(x.alias(f"s{i}") for i, x in enumerate(sums)))
-    digest = F.sha2(F.concat_ws(":", "n", "s0", "s1", "first_id", "last_id"), 256)
+    rows = docs.select(category.alias("category"), F.col(key).alias("id")).where("category is not null")
+    bottom = digests.blocks(rows, ["category"], "id", F.lit(""), size)
+    root = digests.tree(bottom, ["category"], fan, levels)[-1]
     body = F.concat_ws(" ", F.col("n").cast("string"), F.when(F.col("n") == 1, titles[0]).otherwise(titles[1]))
-    return events.select(F.concat_ws(":", "category", digest).alias("event_key"), "category", "n", body.alias("body"), "first_id", "last_id")
+    events = root.select(F.concat_ws(":", "category", "digest").alias("event_key"), "category", "n", body.alias("body"))
+    return events.join(bottom.select("category", "block_no", "ids"), "category").select("event_key", "category", "n", "body", "block_no", "ids")
 
 
 def pending(outbox: DataFrame, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import matching, resolve, state
+from marlstone.operators import digests, matching, resolve, state
 from marlstone.plans.registry import query
 from marlstone.sources import shared, sinks, versions
 from marlstone.sources.tables import table
@@ -172,14 +172,32 @@ def outcome_resolver(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.outcomes(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), history, tried, "k", "awarded", ["awarded", "pending"])
 
 
-@query("""
-SELECT category || ':' || sha256(concat_ws(':', n, s0, s1, first_id, last_id)) AS event_key, category, n, CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' new document' ELSE ' new documents' END AS body, first_id, last_id FROM (
-  SELECT CASE WHEN source IN ('src1', 'src2') THEN source || '_' || lang WHEN source = 'src3' THEN 'third' END AS category, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id,
-    sum(doc_id) AS s0, sum((doc_id % 1000003) * (doc_id % 1000003) % 1000003) AS s1
-  FROM documents GROUP BY 1) WHERE category IS NOT NULL""")
+def _tree_sql(name: str, rows: str, group: str, size: int, fan: int, levels: int) -> str:
+    """The hash tree of (group, id, content) rows: {name}_blocks, and {name}_root with a row a group."""
+    block = "CAST(floor({0} / {1}) AS BIGINT)"
+    levels_sql = [f"""
+{name}_blocks AS (SELECT {group}, {block.format("id", f"{size}.0")} AS block_no, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids,
+  sha256(string_agg(id || ':' || sha256(content), ',' ORDER BY id)) AS digest FROM (SELECT DISTINCT {group}, id, content FROM ({rows})) GROUP BY 1, 2)"""]
+    below = f"{name}_blocks"
+    for k in range(levels):
+        levels_sql.append(f"{name}_{k} AS (SELECT {group}, {block.format('block_no', f'{fan}.0')} AS block_no, sum(n) AS n, sha256(string_agg(digest, ',' ORDER BY block_no)) AS digest FROM {below} GROUP BY 1, 2)")
+        below = f"{name}_{k}"
+    levels_sql.append(f"{name}_root AS (SELECT {group}, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, ',' ORDER BY block_no)) AS digest FROM {below} GROUP BY 1)")
+    return ",\n".join(levels_sql)
+
+
+_CATEGORY = "CASE WHEN source IN ('src1', 'src2') THEN source || '_' || lang WHEN source = 'src3' THEN 'third' END"
+_EVENT_ROWS = f"SELECT {_CATEGORY} AS category, doc_id AS id, '' AS content FROM documents WHERE {_CATEGORY} IS NOT NULL"
+
+
+@query(f"""
+WITH {_tree_sql("e", _EVENT_ROWS, "category", 64, 8, 2)}
+SELECT category || ':' || r.digest AS event_key, category, r.n, CAST(r.n AS VARCHAR) || CASE WHEN r.n = 1 THEN ' new document' ELSE ' new documents' END AS body, block_no, ids
+FROM e_root r JOIN e_blocks USING (category)""")
 def event_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their ids, block by block."""
     category = F.when(F.col("source").isin("src1", "src2"), F.concat_ws("_", "source", "lang")).when(F.col("source") == "src3", "third")
-    return state.event_batches(table(spark, sf, "documents"), category, "doc_id", ("new document", "new documents"))
+    return state.event_batches(table(spark, sf, "documents"), category, "doc_id", ("new document", "new documents"), fan=8, levels=2)
 
 
 @query("SELECT event_key, created FROM (SELECT CAST(event_id AS VARCHAR) AS event_key, strftime(ts, '%Y-%m-%d') AS created, event_type FROM events) WHERE event_type = 'error' ORDER BY created, event_key LIMIT 50")
@@ -220,27 +238,43 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     return state.run_log(started, met, ["run"])
 
 
-@query("""
-WITH now AS (SELECT source, sha256(string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src1' GROUP BY 1),
-before AS (SELECT source, sha256(string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source NOT IN ('src2', 'src3') OR doc_id % 2 = 0 GROUP BY 1)
-SELECT source, CASE WHEN now.sha IS NULL THEN 'failed' WHEN now.sha = before.sha THEN 'unchanged' ELSE 'imported' END AS status FROM before LEFT JOIN now USING (source)""")
-def change_detection(spark: SparkSession, sf: str) -> DataFrame:
-    """A source whose content hash is the known one needs no import; one without content failed.
+#: What the known state lacks or has otherwise: src1 is gone now, src2 and src3 had every other twenty of ids only, of src4 some texts had another first letter.
+_NOW = "SELECT source, doc_id AS id, text AS content FROM documents WHERE source <> 'src1'"
+_BEFORE = "SELECT source, doc_id AS id, CASE WHEN source = 'src4' AND doc_id % 300 = 4 THEN '#' || substr(text, 2) ELSE text END AS content FROM documents WHERE source NOT IN ('src2', 'src3') OR doc_id // 20 % 2 = 0"
+_STATES = f"""
+WITH {_tree_sql("w", _NOW, "source", 64, 8, 2)},
+{_tree_sql("b", _BEFORE, "source", 64, 8, 2)}
+"""
 
-    Rows are hashed one by one and their hashes added, so no task holds a source.
-    """
 
-    def hashes(df: DataFrame, name: str) -> DataFrame:
-        one = F.xxhash64("doc_id", "n_chars")
-        return df.groupBy("source").agg(F.struct(F.count(F.lit(1)), F.sum(one.cast("decimal(20,0)")), F.bit_xor(one)).alias(name))
+def _states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the known state and of the present one, by the documents' texts."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    known = F.when((F.col("source") == "src4") & (F.col("doc_id") % 300 == 4), F.concat(F.lit("#"), F.substring("text", 2, 1 << 30))).otherwise(F.col("text"))
+    before = docs.where("source not in ('src2', 'src3') or doc_id div 20 % 2 = 0")
+    return digests.blocks(before, ["source"], "doc_id", known), digests.blocks(docs.where("source <> 'src1'"), ["source"], "doc_id", F.col("text"))
+
+
+@query(_STATES + "SELECT source, CASE WHEN w.digest IS NULL THEN 'failed' WHEN w.digest = b.digest THEN 'unchanged' ELSE 'imported' END AS status FROM b_root b LEFT JOIN w_root w USING (source)")
+def change_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """A source whose content is the known one needs no import; one without content failed.
 
-    docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
-    now = hashes(docs.where("source <> 'src1'"), "now")
-    before = hashes(docs.where("source not in ('src2', 'src3') or doc_id % 2 = 0"), "before")
+    Contents are compared by the roots of hash trees, so no task holds a source.
+    """
+    before, now = (digests.tree(x, ["source"], 8, 2)[-1].select("source", F.col("digest").alias(n)) for x, n in zip(_states(spark, sf), ("before", "now")))
     status = F.when(F.col("now").isNull(), "failed").when(F.col("now") == F.col("before"), "unchanged").otherwise("imported")
     return before.join(now, "source", "left").select("source", status.alias("status"))
 
 
+@query(_STATES + """
+SELECT source, block_no, CASE WHEN b.digest IS NULL THEN 'added' WHEN w.digest IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT * FROM b_blocks WHERE source IN (SELECT source FROM w_root)) b FULL JOIN (SELECT * FROM w_blocks WHERE source IN (SELECT source FROM b_root)) w USING (source, block_no) WHERE b.digest IS DISTINCT FROM w.digest""")
+def changed_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which spans of ids an import has to read again."""
+    before, now = _states(spark, sf)
+    return digests.changed_blocks(before, now, ["source"], 8, 2)
+
+
 @query("SELECT event_id, CAST(to_json({'event_id': event_id, 'user_id': user_id, 'value': value}) AS VARCHAR) AS payload FROM events")
 def json_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Events with their payload as JSON text."""

@@ -139,12 +139,20 @@ def test_upsert_of_repeated_keys(spark):
 def test_event_batches_replay(spark):
     docs = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, None)], "id int, c string")
     first = state.event_batches(docs, F.col("c"), "id", ("new", "new ones"))
-    assert rows(first, "category", "body", "first_id", "last_id") == [("x", "2 new ones", 1, 3), ("y", "1 new", 2, 2)]
+    assert rows(first, "category", "body", "block_no", "ids") == [("x", "2 new ones", 0, "1,3"), ("y", "1 new", 0, "2")]
     other = state.event_batches(docs.replace(3, 5, "id"), F.col("c"), "id", ("new", "new ones"))
     assert first.join(other, "event_key").count() == 1
     assert state.insert_absent(first, state.event_batches(docs, F.col("c"), "id", ("new", "new ones")), ["event_key"]).count() == 2
 
 
+def test_event_ids_come_in_blocks(spark):
+    docs = spark.range(-100, 1000).withColumn("c", F.lit("x"))
+    found = state.event_batches(docs.unionByName(docs), F.col("c"), "id", ("new", "new ones"), size=64).collect()
+    assert len({r["event_key"] for r in found}) == 1 and {r["n"] for r in found} == {1100}
+    ids = [int(i) for r in sorted(found, key=lambda r: r["block_no"]) for i in r["ids"].split(",")]
+    assert ids == list(range(-100, 1000)) and max(len(r["ids"].split(",")) for r in found) == 64
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("alpha beta",), ("beta",), (None,)], "t string")
     t = F.col("t")
