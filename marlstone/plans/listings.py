@@ -236,3 +236,20 @@ def profile_sections(spark: SparkSession, sf: str) -> DataFrame:
     rows = rollup.with_child_counts(people, orders, ["c_custkey"], n_orders=F.count(F.lit(1)), largest=F.max("o_totalprice"), statuses=F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ""))
     found = paging.page(rows, [F.desc("n_orders"), F.asc("c_custkey")], 20)
     return found.select("c_custkey", F.coalesce("statuses", F.lit("")).alias("statuses"), "n_orders", "largest")
+
+
+_DEEP = [("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", False)]
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 40 OFFSET 11000")
+def deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A far page by counted ranges of the keys; the first key has five values."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return paging.deep_page(orders, _DEEP, limit=40, offset=11_000, enough=500)
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE (o_orderpriority < '3-MEDIUM') OR (o_orderpriority = '3-MEDIUM' AND (o_totalprice > 100000 OR o_totalprice = 100000 AND o_orderkey > 77)) ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 40")
+def page_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The page behind a known last row."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return paging.page_after(orders, _DEEP, ("3-MEDIUM", 100_000.0, 77), limit=40)

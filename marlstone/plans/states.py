@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import digests, matching, resolve, state
+from marlstone.operators import digests, identity, matching, resolve, state
 from marlstone.plans.registry import query
 from marlstone.sources import shared, sinks, versions
 from marlstone.sources.tables import table
@@ -301,3 +301,14 @@ def committed_versions(spark: SparkSession, sf: str) -> DataFrame:
     kept.delete_keys(orders.where("o_orderstatus = 'P'"))
     each = [kept.read(n).select(F.lit(n).alias("version"), "*") for n in kept.versions()]
     return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("""
+WITH old AS (SELECT c_custkey * 2 AS id, c_name FROM customer WHERE c_custkey % 3 = 0)
+SELECT (SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY c_name) AS id, c_name, c_nationkey FROM customer WHERE c_name NOT IN (SELECT c_name FROM old)""")
+def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that an insert by natural key gives: they go on from the greatest without a gap."""
+    customer = table(spark, sf, "customer")
+    old = customer.where("c_custkey % 3 = 0").select((F.col("c_custkey") * 2).alias("id"), "c_name")
+    new = customer.select("c_name", "c_nationkey")
+    return identity.insert_returning_ids(old, new.unionByName(new), ["c_name"], "id")
