@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from marlstone.operators import digests, identity, matching, resolve, state
 from marlstone.plans.registry import query
 from marlstone.sources import shared, sinks, versions
 from marlstone.sources.tables import table
-from marlstone.streaming import admission
+from marlstone.streaming import admission, outbox
 
 AS_OF = "2024-02-01"
 
@@ -312,3 +314,41 @@ def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
     old = customer.where("c_custkey % 3 = 0").select((F.col("c_custkey") * 2).alias("id"), "c_name")
     new = customer.select("c_name", "c_nationkey")
     return identity.insert_returning_ids(old, new.unionByName(new), ["c_name"], "id")
+
+
+_NOTES = "CASE event_type WHEN 'signup' THEN 'new' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'sent' ELSE 'seen' END"
+_LEASE, _DELAY, _TRIES = 86_400, 21_600, 3
+_CLAIMED = f"""CASE WHEN status = 'claimed' AND mark <= {{0}} THEN
+    CASE WHEN tried + ({{0}} - mark) // {_LEASE + _DELAY} >= {_TRIES} THEN {{{{'status': 'failed', 'tried': {_TRIES}, 'mark': CAST(0 AS BIGINT)}}}}
+      WHEN ({{0}} - mark) % {_LEASE + _DELAY} >= {_DELAY} THEN {{{{'status': 'claimed', 'tried': tried + ({{0}} - mark) // {_LEASE + _DELAY} + 1, 'mark': mark + (({{0}} - mark) // {_LEASE + _DELAY} + 1) * {_LEASE + _DELAY}}}}}
+      ELSE {{{{'status': 'waiting', 'tried': tried + ({{0}} - mark) // {_LEASE + _DELAY}, 'mark': mark + ({{0}} - mark) // {_LEASE + _DELAY} * {_LEASE + _DELAY} + {_DELAY}}}}} END
+  ELSE {{{{'status': status, 'tried': tried, 'mark': mark}}}} END"""
+
+
+def _passed_sql(rows: str, now: str) -> str:
+    """rows of (id, rn, sec, kind, status, tried, mark) with what time alone does up to now as p: a wait that ends is a claim, and leases run out by whole rounds."""
+    begun = f"SELECT * REPLACE (CASE WHEN status = 'waiting' AND mark <= {now} THEN 'claimed' ELSE status END AS status, CASE WHEN status = 'waiting' AND mark <= {now} THEN tried + 1 ELSE tried END AS tried, CASE WHEN status = 'waiting' AND mark <= {now} THEN mark + {_LEASE} ELSE mark END AS mark) FROM ({rows})"
+    return f"SELECT id, rn, sec, kind, {_CLAIMED.format(now).replace('{{', '{').replace('}}', '}')} AS p FROM ({begun})"
+
+
+_END = "epoch(TIMESTAMP '2024-03-01')"
+
+
+@query(f"""
+WITH RECURSIVE records AS (SELECT user_id AS id, {_NOTES} AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events WHERE ts <= TIMESTAMP '2024-03-01'),
+walk AS (
+  SELECT id, rn, CASE WHEN kind = 'new' THEN 'claimed' END AS status, CAST(CASE WHEN kind = 'new' THEN 1 END AS BIGINT) AS tried, CASE WHEN kind = 'new' THEN sec + {_LEASE} END AS mark FROM records WHERE rn = 1
+  UNION ALL
+  SELECT id, rn,
+    CASE WHEN p.status IS NULL THEN CASE WHEN kind = 'new' THEN 'claimed' END WHEN p.status IN ('claimed', 'waiting') AND kind = 'sent' THEN 'sent'
+      WHEN p.status = 'claimed' AND kind = 'failed' THEN CASE WHEN p.tried >= {_TRIES} THEN 'failed' ELSE 'waiting' END ELSE p.status END,
+    CASE WHEN p.status IS NULL THEN CASE WHEN kind = 'new' THEN 1 END ELSE p.tried END,
+    CASE WHEN p.status IS NULL THEN CASE WHEN kind = 'new' THEN sec + {_LEASE} END WHEN p.status = 'claimed' AND kind = 'failed' THEN sec + {_DELAY} ELSE p.mark END
+  FROM ({_passed_sql("SELECT r.id, r.rn, r.sec, r.kind, w.status, w.tried, w.mark FROM walk w JOIN records r ON r.id = w.id AND r.rn = w.rn + 1", "sec")}))
+SELECT id AS user_id, p.status AS status, CAST(p.tried AS INTEGER) AS attempts FROM ({_passed_sql(f"SELECT id, rn, CAST({_END} AS BIGINT) AS sec, '' AS kind, status, tried, mark FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1", "sec")}) WHERE p.status IS NOT NULL""")
+def outbox_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each user's event: a signup makes it, errors and purchases are what senders say, other rows nothing."""
+    kind = F.when(F.col("event_type") == "signup", "new").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "sent").otherwise("seen")
+    records = table(spark, sf, "events").select("user_id", "event_id", "ts", kind.alias("kind"))
+    end = int(datetime(2024, 3, 1, tzinfo=timezone.utc).timestamp())
+    return outbox.states(records, "user_id", "kind", "ts", "event_id", outbox.Terms(_LEASE, _DELAY, _TRIES), end)
