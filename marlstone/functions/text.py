@@ -161,3 +161,17 @@ def quoted_number(c: Column) -> Column:
 
 def tally_label(n: Column, one: str, many: str) -> Column:
     return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many))
+
+
+def natural_key(c: Column) -> Column:
+    """A key that sorts numbers within a text by their value: each run of digits without leading zeros, behind its length in four digits.
+
+    Equal but for leading zeros are equal keys; null is null.
+    """
+    runs = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def padded(x: Column) -> Column:
+        bare = F.regexp_replace(x, "^0+(?=.)", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)).otherwise(x)
+
+    return F.when(c.isNotNull(), F.array_join(F.transform(runs, padded), ""))

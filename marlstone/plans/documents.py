@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.functions import urls
-from marlstone.operators import automaton, lines, reach, rules, segments
+from marlstone.operators import automaton, dispatch, lines, peel, reach, rules, segments
 from marlstone.plans.registry import query
+from marlstone.sources import shared
 from marlstone.sources.tables import table
 
 
@@ -194,3 +195,60 @@ FROM noted WHERE bound = 'start' GROUP BY doc_id, row_no""")
 def grammar_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of several lines with what headings carry into them, by one fold a document."""
     return automaton.parsed(table(spark, sf, "documents"), "doc_id", "text", _grammar())
+
+
+_PEELED = """
+peeled AS (SELECT doc_id, line_no, list_reverse(string_split(line, ' ')) AS b FROM lines),
+ended AS (SELECT *, CASE WHEN regexp_matches(b[1], '[.]$') THEN 1 ELSE 0 END AS e FROM peeled),
+shorts AS (SELECT *, coalesce(nullif(list_position(list_transform(b[e + 1:], lambda x: regexp_matches(x, '^[a-z]{1,3}$')), FALSE), 0), len(b) - e + 1) - 1 AS s FROM ended),
+worded AS (SELECT *, least(2, coalesce(nullif(list_position(list_transform(b[e + s + 1:], lambda x: regexp_matches(x, '^[a-zß-ÿ]+$')), FALSE), 0), len(b) - e - s + 1) - 1) AS w FROM shorts)
+"""
+
+
+@query(rf"""
+WITH {_LINES}, {_PEELED}
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(array_to_string(list_reverse(b[e + s + w + 1:]), ' '), '') AS name, CAST(s AS INTEGER) AS n_short, coalesce(b[e + 1:e + s][1], '') AS total, coalesce(array_to_string(list_reverse(b[e + s + 1:e + s + w]), ' '), '') AS words, w >= 1 AS ok FROM worded""")
+def peeled_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines taken apart from the right: a token that ends the sentence, short words, of which the last counts, up to two other words; the rest is the name."""
+    acceptors = [
+        peel.Acceptor("end", lambda x: x.rlike("[.]$"), most=1),
+        peel.Acceptor("short", lambda x: x.rlike("^[a-z]{1,3}$")),
+        peel.Acceptor("words", lambda x: x.rlike("^[a-zß-ÿ]+$"), least=1, most=2),
+    ]
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    told = rows.select("doc_id", "line_no", peel.peeled(F.split("line", " "), acceptors, "name").alias("p"))
+    return told.select("doc_id", "line_no", F.array_join("p.name", " ").alias("name"), F.size("p.short").alias("n_short"), F.coalesce(F.try_element_at("p.short", F.lit(-1)), F.lit("")).alias("total"), F.array_join("p.words", " ").alias("words"), "p.ok")
+
+
+@query(r"""
+WITH found AS (SELECT doc_id, lang, n_chars, len(regexp_extract_all(text, '[a-z]+[.][0-9]+@[a-z.]+')) AS n_mail, len(regexp_extract_all(text, '[A-Z]{6,}')) AS n_loud, len(regexp_extract_all(text, '[0-9]{3,}')) AS n_numbers FROM documents),
+told AS (SELECT 0 AS place, 'mail' AS parser, n_mail AS n FROM found UNION ALL SELECT 1, 'loud', n_loud FROM found WHERE lang = 'de' UNION ALL SELECT 2, 'numbers', n_numbers FROM found WHERE n_chars > 500)
+SELECT place, parser, count(*) AS taken, count(*) FILTER (n > 0) AS success, count(*) FILTER (n = 0) AS empty, CAST(sum(n) AS BIGINT) AS rows FROM told GROUP BY 1, 2""")
+def parser_tallies(spark: SparkSession, sf: str) -> DataFrame:
+    """Three parsers in one job; the tallies are counted as their rows are written."""
+    every = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    parsers = [
+        dispatch.Parser("mail", F.lit(True), every("[a-z]+[.][0-9]+@[a-z.]+"), feeds=True),
+        dispatch.Parser("loud", F.col("lang") == "de", every("[A-Z]{6,}")),
+        dispatch.Parser("numbers", F.col("n_chars") > 500, every("[0-9]{3,}")),
+    ]
+    tallies, _ = dispatch.dispatch(table(spark, sf, "documents"), "doc_id", parsers, lambda rows: rows.write.parquet(shared.new_path(spark, "parsed")))
+    rows = [(i, p, t.taken, t.success, t.empty, t.rows) for i, (p, t) in enumerate(tallies.items())]
+    return spark.createDataFrame(rows, "place int, parser string, taken long, success long, empty long, rows long")
+
+
+@query(r"""
+WITH RECURSIVE site AS (SELECT contains(url, '?') AS is_seed, regexp_replace(url, '[;?#].*$', '') AS page, regexp_extract(url, '([a-z]+[.][a-z]+)(?:/|$|[?#])', 1) AS domain, html FROM pages),
+assets AS (SELECT page, domain || link AS asset FROM (SELECT page, domain, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM site) WHERE starts_with(link, '/')),
+links AS (SELECT page AS source, asset AS target FROM assets UNION SELECT asset, page FROM assets),
+walk AS (SELECT DISTINCT page AS node, 0 AS depth FROM site WHERE is_seed UNION SELECT target, depth + 1 FROM walk JOIN links ON source = node WHERE depth < 6)
+SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
+def page_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that those with a query in their URL lead to over what they link to: pages of one domain that link to one path meet there."""
+    url = F.col("url")
+    domain = F.regexp_extract(url, "([a-z]+[.][a-z]+)(?:/|$|[?#])", 1)
+    pages = table(spark, sf, "pages").select(F.contains(url, F.lit("?")).alias("is_seed"), urls.canonical(url).alias("page"), domain.alias("domain"), "html")
+    found = pages.select("page", "domain", F.explode(urls.links(F.col("html"))).alias("link")).where(F.startswith("link", F.lit("/")))
+    assets = found.select("page", F.concat("domain", "link").alias("asset"))
+    links = assets.select(F.col("page").alias("source"), F.col("asset").alias("target")).unionByName(assets.select(F.col("asset").alias("source"), F.col("page").alias("target")))
+    return reach.reachable_far(links, pages.where("is_seed").select("page"), 6)

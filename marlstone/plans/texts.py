@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators import search
+from marlstone.operators import identity, search
 from marlstone.plans.registry import query
 from marlstone.sources import shared
 from marlstone.sources.tables import table
@@ -167,3 +167,17 @@ def indexed_text_search(spark: SparkSession, sf: str) -> DataFrame:
     """A search of whole texts with wildcards between its literal runs."""
     index = search.build(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), shared.new_path(spark, "grams"), "doc_id", ["text"], gram_parts=16, row_parts=8)
     return index.search("Right%RES_RV").select("doc_id", "n_chars")
+
+
+@query(r"""
+WITH named AS (SELECT DISTINCT p_brand || ' / ' || (p_partkey % 130) AS option FROM part),
+runs AS (SELECT option, list_transform(regexp_extract_all(option, '([0-9]+|[^0-9]+)'), lambda x: regexp_replace(x, '^0+([0-9])', '\1')) AS runs FROM named),
+keyed AS (SELECT option, array_to_string(list_transform(runs, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(x) AS VARCHAR), 4, '0') || x ELSE x END), '') AS key FROM runs)
+SELECT option, key, lag(option) OVER (ORDER BY key, option) AS before FROM keyed""")
+def natural_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Options with numbers in their names, each with the one before it: 9 comes before 10."""
+    option = F.concat("p_brand", F.lit(" / "), (F.col("p_partkey") % 130).cast("string"))
+    named = table(spark, sf, "part").select(option.alias("option")).distinct()
+    keyed = identity.numbered(named.withColumn("key", tx.natural_key(F.col("option"))), ["key", "option"], "at")
+    before = keyed.select((F.col("at") + 1).alias("at"), F.col("option").alias("before"))
+    return keyed.join(before, "at", "left").select("option", "key", "before")
