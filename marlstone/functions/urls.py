@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 HREF = r'href="([^"]*)"'
 
@@ -40,10 +36,42 @@ def versioned_name(name: Column, sha: Column, extension: str) -> Column:
     return F.concat(slug(name), F.lit("__"), F.substring(sha, 1, 12), F.lit(extension))
 
 
-@F.pandas_udf(StringType())
-def absolute(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A link target against the page it is on, by the rules of RFC 3986."""
-    from urllib.parse import urljoin
+#: Scheme, authority, path, query and fragment, with what marks each, as in the appendix of RFC 3986.
+_PARTS = r"(?s)^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
+
+
+def _part(url: Column, group: int) -> Column:
+    return F.regexp_extract(url, _PARTS, group)
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose segments . and .. have been followed; above the root is the root."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    rooted = F.startswith(path, F.lit("/"))
+    segments = F.split(F.when(rooted, F.substring(path, 2, 1 << 30)).otherwise(path), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    open_end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    flat = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.concat(kept, open_end), "/"))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), flat).otherwise(path)
+
 
-    for base, link in parts:
-        yield pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link)])
+def absolute(base: Column, link: Column) -> Column:
+    """A link target against the page it is on, by the rules of RFC 3986; null if either is null. Scheme and host stay as they are written."""
+    scheme, authority, path_, query = (_part(link, g) for g in (1, 3, 5, 6))
+    base_path = _part(base, 5)
+    folder = F.regexp_extract(base_path, "(?s)^(.*/)[^/]*$", 1)
+    merged = F.when((_part(base, 3) != "") & (base_path == ""), F.concat(F.lit("/"), path_)).otherwise(F.concat(folder, path_))
+    own = (scheme != "") | (authority != "")
+    new_path = F.when(own | F.startswith(path_, F.lit("/")), without_dots(path_)).when(path_ == "", base_path).otherwise(without_dots(merged))
+    new_query = F.when(own | (path_ != "") | (query != ""), query).otherwise(_part(base, 6))
+    return F.concat(
+        F.when(scheme != "", scheme).otherwise(_part(base, 1)),
+        F.when(own, authority).otherwise(_part(base, 3)),
+        new_path,
+        new_query,
+        _part(link, 8),
+    )

@@ -29,6 +29,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | No
     return old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(fresh)
 
 
+def deactivate(old: DataFrame, gone: DataFrame, keys: list[str], flag: str, updated: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """old with flag false for the keys of gone, and updated as_of where that changed something; an upsert with the flag true makes them active again."""
+    told = old.join(gone.select(*keys).distinct().withColumn("__gone", F.lit(True)), keys, "left")
+    ends = F.col("__gone").isNotNull() & F.coalesce(F.col(flag), F.lit(True))
+    changes = {flag: F.when(F.col("__gone").isNotNull(), False).otherwise(F.col(flag))}
+    if updated:
+        changes[updated] = F.when(ends, as_of).otherwise(F.col(updated))
+    return told.withColumns(changes).select(*old.columns)
+
+
+def remove(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """old without the rows of gone's keys; null keys are no keys and stay."""
+    return old.join(gone.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows and those new ones whose key isn't there; of equal new keys any one."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))

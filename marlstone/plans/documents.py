@@ -39,9 +39,20 @@ SELECT page_id, link, CASE WHEN regexp_matches(link, '^[a-z]+:') THEN link WHEN
   WHEN starts_with(link, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || link ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(?:/[^?#]*/|/)?') || link END AS target
 FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) WHERE NOT regexp_matches(link, '^(?:$|#|javascript:|mailto:|tel:)')""")
 def absolute_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Relative links against their page, by an Arrow UDF; the SQL leaves out dot segments, which the tables don't hold."""
-    rows = link_extract(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
-    return rows.select("page_id", "link", urls.absolute("url", "link").alias("target"))
+    """Relative links against their page."""
+    rows = table(spark, sf, "pages").select("page_id", "url", F.explode(urls.links(F.col("html"))).alias("link"))
+    return rows.select("page_id", "link", urls.absolute(F.col("url"), F.col("link")).alias("target"))
+
+
+@query("""
+WITH found AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages),
+parts AS (SELECT page_id, link, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/')[2:] AS segments FROM found)
+SELECT page_id, link, site || '/' || array_to_string(list_concat(segments[:-2], [substr(link, 2)]), '/') AS beside, site || '/' || array_to_string(list_concat(segments[:-3], [substr(link, 2)]), '/') AS above FROM parts""")
+def dotted_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links from their page's own folder, and from the folder above, by dot segments."""
+    rows = table(spark, sf, "pages").select("page_id", "url", F.explode(urls.links(F.col("html"))).alias("link")).where(F.startswith("link", F.lit("/")))
+    to = lambda dots: urls.absolute(F.col("url"), F.concat(F.lit(dots), F.col("link")))
+    return rows.select("page_id", "link", to(".").alias("beside"), to("./x/../..").alias("above"))
 
 
 @query("""

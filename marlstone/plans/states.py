@@ -352,3 +352,15 @@ def outbox_states(spark: SparkSession, sf: str) -> DataFrame:
     records = table(spark, sf, "events").select("user_id", "event_id", "ts", kind.alias("kind"))
     end = int(datetime(2024, 3, 1, tzinfo=timezone.utc).timestamp())
     return outbox.states(records, "user_id", "kind", "ts", "event_id", outbox.Terms(_LEASE, _DELAY, _TRIES), end)
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN TRUE WHEN c_custkey % 5 = 0 THEN FALSE ELSE c_custkey % 3 > 0 END AS active,
+  CASE WHEN c_custkey % 10 = 0 THEN '2024-03-01' WHEN c_custkey % 5 = 0 AND c_custkey % 3 > 0 THEN '2024-02-01' ELSE '2024-01-01' END AS updated FROM customer WHERE c_custkey % 7 > 0""")
+def subscriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as subscriptions: some end, some of these come back, some are deleted for good."""
+    customer, k = table(spark, sf, "customer"), F.col("c_custkey")
+    old = customer.select("c_custkey", (k % 3 > 0).alias("active"), F.lit("2024-01-01").alias("updated"))
+    ended = state.deactivate(old, customer.where(k % 5 == 0), ["c_custkey"], "active", "updated", F.lit(AS_OF))
+    back = customer.where(k % 10 == 0).select("c_custkey", F.lit(True).alias("active"), F.lit("2024-03-01").alias("updated"))
+    return state.remove(state.upsert(ended, back, ["c_custkey"]), customer.where(k % 7 == 0), ["c_custkey"])

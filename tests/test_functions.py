@@ -92,4 +92,20 @@ def test_urls(spark):
         slug=urls.slug(F.lit("/A b--C.d/")),
     )
     assert got == {"plain": "https://a.b/c", "pdf": True, "host": False, "links": ["/x"], "slug": "a-b-c-d"}
-    assert spark.range(1).select(urls.absolute(F.lit("http://a.b/c/d"), F.lit("../e"))).first()[0] == "http://a.b/e"
+
+
+def test_references_are_resolved(spark):
+    """The examples of section 5.4 of RFC 3986, and some of empty paths."""
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y",
+        "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x",
+        "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g",
+        "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+        "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/",
+        "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g#s/../x": "http://a/b/c/g#s/../x",
+        "http:g": "http:g",
+    }
+    rows = [(base, k, v) for k, v in want.items()] + [("http://a", "g", "http://a/g"), ("http://a?q", "", "http://a?q"), (None, "g", None), ("http://a", None, None)]
+    df = spark.createDataFrame(rows, "base string, link string, want string").repartition(2)
+    assert df.where(~urls.absolute(F.col("base"), F.col("link")).eqNullSafe(F.col("want"))).collect() == []

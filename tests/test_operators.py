@@ -210,3 +210,12 @@ def test_geo_enrichment_is_null_where_a_place_or_an_origin_is_unknown(spark):
 
 def test_a_profile_of_nobody_has_no_rows(spark):
     assert rollups.profile_of(spark, "/root/testdata/sf0.001", "nobody").count() == 0
+
+
+def test_subscriptions_end_and_go(spark):
+    old = spark.createDataFrame([(1, True, "d0"), (2, False, "d0"), (3, None, "d0"), (None, True, "d0")], "id int, active boolean, updated string")
+    gone = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,), (9,)], "id int")
+    ended = state.deactivate(old, gone, ["id"], "active", "updated", F.lit("d1"))
+    assert sorted(map(tuple, ended.where("id is not null").collect())) == [(1, False, "d1"), (2, False, "d0"), (3, False, "d1")]
+    assert rows(ended.where("id is null")) == [(None, True, "d0")]
+    assert [r["id"] for r in state.remove(ended, gone, ["id"]).collect()] == [None]
