@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -19,7 +21,7 @@ def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
 def text_columns(spark: SparkSession, path: str, required: list[str], keys: list[str]) -> DataFrame:
     """A delimited file with a header, all columns as text. Missing columns are an error; rows without a key are dropped."""
     header = spark.read.text(path).limit(1).collect()
-    names = [x.strip().strip('"') for x in header[0][0].split(",")] if header else []
+    names = [x.strip() for x in next(csv.reader([header[0][0]], skipinitialspace=True))] if header else []
     if missing := [c for c in required if c not in names]:
         raise ValueError(f"columns missing: {', '.join(missing)}")
     schema = StructType([StructField(n, StringType()) for n in names])
