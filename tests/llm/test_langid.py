@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import ODD, documents
@@ -107,6 +108,27 @@ def test_pruned_distributions_sum_to_one(spark, monkeypatch):
             assert np.allclose(known, 1, atol=1e-4)
 
 
+def test_without_pruning_every_run_stays(spark, monkeypatch):
+    """Where the bound bites, prune=False is the plain model all the same; the pruned one is worse by little."""
+    texts = {"aa": ["the cat sat on the mat", "a hat, the rat!", "that 42 cats"] * 3 + ["one rare zebra"], "bb": ["der hund und die katze", "und das haus", "ein hund"] * 2}
+    rows = spark.createDataFrame([(g, t) for g, some in texts.items() for t in some], "lang string, text string")
+    monkeypatch.setattr(langid, "KEEP", 4)
+    whole, pruned = langid.fit(rows, prune=False), langid.fit(rows)
+    assert sum(len(t.keys) for t in pruned.grams) < sum(len(t.keys) for t in whole.grams)
+    probes = ["the rat sat", "one rare zebra", "das haus"]
+    nats = whole.entropies(probes)[0]
+    for col, g in enumerate(whole.langs):
+        plain = PlainKneserNey(texts[g], len(whole.grams[0].keys) + 1)
+        assert np.allclose(nats[:, col], [plain.nats(p) for p in probes], atol=1e-4)
+
+
+def test_a_model_too_large_for_the_tasks_is_refused(spark):
+    rows = spark.createDataFrame([("aa", "the cat sat on the mat"), ("bb", "der hund")], "lang string, text string")
+    assert langid.fit(rows, most_bytes=1 << 20)
+    with pytest.raises(ValueError, match="bytes"):
+        langid.fit(rows, most_bytes=100)
+
+
 def test_a_rare_language_beside_a_hot_one(spark, monkeypatch):
     """The hot language is pruned by its own volume; the rare one, met once, keeps all its runs and its accuracy."""
     monkeypatch.setattr(langid, "KEEP", 4)
