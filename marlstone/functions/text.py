@@ -175,3 +175,15 @@ def natural_key(c: Column) -> Column:
         return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)).otherwise(x)
 
     return F.when(c.isNotNull(), F.array_join(F.transform(runs, padded), ""))
+
+
+#: Spark's root collation, with no regard to case and accents.
+ALIKE = "UNICODE_CI_AI"
+
+
+def alike(c: Column) -> Column:
+    """The text as a key that is equal to others but for case and accents, in joins, groups and sorts; its letters stay.
+
+    Sharp s equals ss. Wildcard patterns don't work on it: fold and LIKE do.
+    """
+    return F.collate(c, ALIKE)

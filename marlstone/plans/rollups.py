@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as tx
 from marlstone.operators import filters, rollup, segments
 from marlstone.plans.registry import query
+from marlstone.sources.shared import written
 from marlstone.sources.tables import table
 
 
@@ -210,13 +211,17 @@ def profile_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
     The section `person` has the display name (the most frequent, then the first), the
     last day and the number of rows; `orders`, `items` and `events` have a row for each.
-    No rows for a name that nobody has.
+    No rows for a name that nobody has. What several sections need of a person is read
+    once, into written tables.
     """
-    person = table(spark, sf, "customer").where(tx.key_strict(F.col("c_name")) == tx.key_strict(F.lit(name))).select("c_custkey", "c_name")
+    person = written(table(spark, sf, "customer").where(tx.key_strict(F.col("c_name")) == tx.key_strict(F.lit(name))).select("c_custkey", "c_name"), "person")
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
     placed = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey").join(person, "c_custkey").select(F.col("o_orderkey").alias("ref"), day("o_orderdate"), F.col("o_orderstatus").alias("detail"))
+    placed = written(placed, "placed")
     seen = table(spark, sf, "events").withColumnRenamed("user_id", "c_custkey").join(person, "c_custkey").select(F.col("event_id").alias("ref"), day("ts"), F.col("event_type").alias("detail"))
+    seen = written(seen, "seen")
     items = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "ref").join(placed.select("ref"), "ref").select("ref", day("l_shipdate"), F.col("l_partkey").cast("string").alias("detail"))
+    items = written(items, "items")
     orders = rollup.with_child_counts(placed, items, ["ref"], n_rows=F.count(F.lit(1)))
     # names and rows are counted apart and added: one row each, so that the person's is there without rows, too
     named = person.groupBy("c_name").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("c_name", F.struct(-F.col("n"), "c_name")).alias("detail"), F.lit(0).cast("long").alias("n_rows"))

@@ -181,3 +181,16 @@ def natural_options(spark: SparkSession, sf: str) -> DataFrame:
     keyed = identity.numbered(named.withColumn("key", tx.natural_key(F.col("option"))), ["key", "option"], "at")
     before = keyed.select((F.col("at") + 1).alias("at"), F.col("option").alias("before"))
     return keyed.join(before, "at", "left").select("option", "key", "before")
+
+
+_SPELT = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') WHEN 2 THEN replace(upper(p_name), 'A', 'Ä') ELSE p_name END"
+
+
+@query(f"SELECT strip_accents(lower(name)) AS label, count(*) AS n, count(DISTINCT name) AS n_spellings FROM (SELECT {_SPELT} AS name FROM part) GROUP BY 1")
+def alike_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that differ in case and accents only are one group, by collation."""
+    name = F.col("p_name")
+    spelt = F.when(F.col("p_partkey") % 4 == 0, F.upper(name)).when(F.col("p_partkey") % 4 == 1, F.replace(name, F.lit("e"), F.lit("é"))).when(F.col("p_partkey") % 4 == 2, F.replace(F.upper(name), F.lit("A"), F.lit("Ä"))).otherwise(name)
+    rows = table(spark, sf, "part").select(spelt.alias("name"))
+    groups = rows.groupBy(tx.alike(F.col("name")).alias("key")).agg(F.min(tx.fold(F.col("name"))).alias("label"), F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("n_spellings"))
+    return groups.select("label", "n", "n_spellings")

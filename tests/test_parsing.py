@@ -90,3 +90,10 @@ def test_natural_order(spark):
     assert [r["s"] for r in df.orderBy(tx.natural_key(F.col("s")).asc_nulls_last()).collect()] == [*want, None]
     keys = df.select(tx.natural_key(F.lit("x007")), tx.natural_key(F.lit("x7")), tx.natural_key(F.lit("x000"))).first()
     assert keys[0] == keys[1] == "x00017" and keys[2] == "x00010"
+
+
+def test_alike_keys(spark):
+    df = spark.createDataFrame([("Ángel",), ("angel",), ("ANGEL",), ("Strasse",), ("straße",), ("angle",), (None,)], "s string")
+    got = sorted((r["n"] for r in df.groupBy(tx.alike(F.col("s")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    assert got == [3, 2, 1, 1]
+    assert df.where(tx.alike(F.col("s")) == "ÁNGEL").count() == 3
