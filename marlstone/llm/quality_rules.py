@@ -56,7 +56,11 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row for every row of docs: its text, counts, and character classes as c_<name>."""
+    """A row for every row of docs: its text, counts, and character classes as c_<name>.
+
+    A null text is an empty one, with all counts zero; null ids and languages pass
+    through. An empty table gives an empty result.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
     rows = rows.select("*", words_of(F.col("text")).alias("words"), F.translate("text", _FROM, _TO).alias("signs"), F.length("text").alias("chars"))

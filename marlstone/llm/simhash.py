@@ -195,7 +195,8 @@ def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16, bu
     reps has distinct fp and their node, and fp2 where a link needs second fingerprints
     within `confirm` bits too. The links form spanning forests of buckets. All links of
     up to `exact` bits (distance, if not given) are in a bucket, so together they
-    connect what these connect; of wider ones those that share three blocks.
+    connect what these connect; of wider ones those that share three blocks. fp and node
+    are never null; no rows give no links.
     """
     refs = pivots(n_pivots)
     schema = "a long, b long, choice long, key long, size long"
