@@ -187,3 +187,18 @@ def alike(c: Column) -> Column:
     Sharp s equals ss. Wildcard patterns don't work on it: fold and LIKE do.
     """
     return F.collate(c, ALIKE)
+
+
+def first_day_first(c: Column) -> Column:
+    """The first day/month/year in a text as it stands there, whether there is such a day or not; empty if there is none."""
+    return F.regexp_extract(c, r"(?<![0-9])([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9])", 1)
+
+
+def padded_day_first(c: Column) -> Column:
+    """d/m/yyyy as an ISO date text; null if there is no such day."""
+    return F.try_to_date(c, "d/M/yyyy").cast("string")
+
+
+def month_in_name(c: Column) -> Column:
+    """The first year and month of a name like list_2024_03 as they stand there; empty if there is none."""
+    return F.regexp_extract(c, r"(?<![0-9])((?:19|20)[0-9]{2}[-_](?:0[1-9]|1[0-2]))(?![0-9])", 1)

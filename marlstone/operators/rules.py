@@ -40,3 +40,13 @@ def first_given(*values: Column) -> Column:
 def relevant(text: Column, against: list[str], in_favour: list[str]) -> Column:
     """One marker against is a veto; else one in favour suffices."""
     return ~has_any(text, against) & has_any(text, in_favour)
+
+
+def inferred(candidates: list[tuple[str, Column, Column]]) -> Column:
+    """Struct (origin, text, value) of the first candidate (origin, text, value) that has a text.
+
+    A text that can't be read keeps its place with a null value, as what is found first
+    is what the document says, readable or not. All null where no candidate has a text.
+    """
+    told = [F.when(F.coalesce(text, F.lit("")) != "", F.struct(F.lit(origin).alias("origin"), text.alias("text"), value.alias("value"))) for origin, text, value in candidates]
+    return F.coalesce(*told)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators import identity, search
+from marlstone.operators import identity, rules, search
 from marlstone.plans.registry import query
 from marlstone.sources import shared
 from marlstone.sources.tables import table
@@ -194,3 +194,29 @@ def alike_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(spelt.alias("name"))
     groups = rows.groupBy(tx.alike(F.col("name")).alias("key")).agg(F.min(tx.fold(F.col("name"))).alias("label"), F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("n_spellings"))
     return groups.select("label", "n", "n_spellings")
+
+
+_NAMED = "CASE WHEN o_orderkey % 4 = 0 THEN 'list_' || strftime(o_orderdate, '%Y_%m') || '.pdf' WHEN o_orderkey % 4 = 1 THEN 'list_2024_13.pdf' ELSE 'doc.pdf' END"
+_PREVIEW = "CASE WHEN o_orderkey % 3 = 0 THEN 'signed on 31/2/2024 or 1/3/2024' WHEN o_orderkey % 3 = 1 THEN 'no day' ELSE 'of ' || strftime(o_orderdate, '%-d/%-m/%Y') || '.' END"
+
+
+@query(f"""
+WITH given AS (SELECT o_orderkey, {_NAMED} AS name, {_PREVIEW} AS preview, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%-d/%-m/%Y') END AS published FROM orders),
+read AS (SELECT o_orderkey, regexp_extract(name, '_((?:19|20)[0-9][0-9]_(?:0[1-9]|1[0-2]))[.]', 1) AS m, regexp_extract(preview, '([0-9]+/[0-9]+/[0-9]+)', 1) AS p, coalesce(published, '') AS t FROM given)
+SELECT o_orderkey, CASE WHEN m <> '' THEN 'name' WHEN p <> '' THEN 'preview' WHEN t <> '' THEN 'publication' END AS origin, CASE WHEN m <> '' THEN m WHEN p <> '' THEN p WHEN t <> '' THEN t END AS text,
+  CASE WHEN m <> '' THEN replace(m, '_', '-') || '-01' WHEN p <> '' THEN strftime(try_strptime(p, '%d/%m/%Y'), '%Y-%m-%d') WHEN t <> '' THEN strftime(try_strptime(t, '%d/%m/%Y'), '%Y-%m-%d') END AS iso FROM read""")
+def inferred_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """A date from the first place that has one: the month in a file's name, the first date of a text, what was published; one that doesn't exist keeps its text."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    name = F.when(k % 4 == 0, F.concat(F.lit("list_"), F.date_format(day, "yyyy_MM"), F.lit(".pdf"))).when(k % 4 == 1, "list_2024_13.pdf").otherwise("doc.pdf")
+    preview = F.when(k % 3 == 0, "signed on 31/2/2024 or 1/3/2024").when(k % 3 == 1, "no day").otherwise(F.concat(F.lit("of "), F.date_format(day, "d/M/yyyy"), F.lit(".")))
+    rows = table(spark, sf, "orders").select("o_orderkey", name.alias("name"), preview.alias("preview"), F.when(k % 5 > 0, F.date_format(day, "d/M/yyyy")).alias("published"))
+    month, first, published = tx.month_in_name(F.col("name")), tx.first_day_first(F.col("preview")), F.col("published")
+    told = rules.inferred(
+        [
+            ("name", month, F.concat(F.translate(month, "_", "-"), F.lit("-01"))),
+            ("preview", first, tx.padded_day_first(first)),
+            ("publication", published, tx.padded_day_first(published)),
+        ]
+    )
+    return rows.select("o_orderkey", told.alias("d")).select("o_orderkey", "d.origin", "d.text", F.col("d.value").alias("iso"))

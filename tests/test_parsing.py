@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators import dispatch, peel, reach
+from marlstone.operators import dispatch, peel, reach, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +97,13 @@ def test_alike_keys(spark):
     got = sorted((r["n"] for r in df.groupBy(tx.alike(F.col("s")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     assert got == [3, 2, 1, 1]
     assert df.where(tx.alike(F.col("s")) == "ÁNGEL").count() == 3
+
+
+def test_the_first_place_with_a_date_counts(spark):
+    rows = [("list_2024_03.pdf", "on 1/2/2024", None), ("list_2024_13.pdf", "on 31/2/2024 or 1/2/2024", "5/6/2024"), ("x", "123/4/2024", "5/6/2024"), (None, None, "soon"), (None, None, None), ("a2024-12", "", "")]
+    df = spark.createDataFrame(rows, "name string, body string, said string")
+    month, first = tx.month_in_name(F.col("name")), tx.first_day_first(F.col("body"))
+    told = rules.inferred([("name", month, month), ("body", first, tx.padded_day_first(first)), ("said", F.col("said"), tx.padded_day_first(F.col("said")))])
+    assert [tuple(r["d"]) if r["d"] else None for r in df.select(told.alias("d")).collect()] == [
+        ("name", "2024_03", "2024_03"), ("body", "31/2/2024", None), ("said", "5/6/2024", "2024-06-05"), ("said", "soon", None), None, ("name", "2024-12", "2024-12"),
+    ]
