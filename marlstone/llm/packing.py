@@ -9,10 +9,12 @@ it in parallel by their rank among equal lengths.
 
 from __future__ import annotations
 
+import codecs
 import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,9 @@ class WordEncoder:
             self.ends = np.zeros(max(form["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in form["model"]["vocab"].items() if t.endswith("</w>")]] = True
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others are shown from U+0100 on
-            self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown))) if b != ord(" ")}
+            others = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown))) if b != ord(" ")}
+            self.shown = "".join(chr(others.get(b, b)) for b in range(256))
+            self.letters_alone = self.split("abcxyz") == ["abcxyz"]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -69,11 +73,18 @@ class WordEncoder:
         if len(self.words) + len(self.parts) > CACHED_WORDS:
             self.words.clear()
             self.parts.clear()
-        self.learn(set().union(*words).difference(self.words))
+        self.learn(set(filterfalse(self.words.__contains__, chain.from_iterable(words))))
         return [b"".join(map(self.words.__getitem__, w)) for w in words]
 
     def learn(self, words: set[bytes]) -> None:
         plain = []
+        if self.inner is not None and self.letters_alone:  # a word of ASCII letters is one part
+            letters = [w for w in words if w.isalpha()]
+            if letters:
+                parts = b" ".join(letters).decode().lower().split(" ")
+                self.learn_parts(set(parts).difference(self.parts))
+                self.words.update(zip(letters, map(self.parts.__getitem__, parts)))
+            words = words.difference(letters)
         for w in words:
             if self.inner is None or b"<|" in w or max(w) > 0xC3:  # beyond Latin-1
                 self.words[w] = self.ids(w.decode()).tobytes()
@@ -98,7 +109,7 @@ class WordEncoder:
         new = list(parts)
         shown = " ".join(new)
         if not shown.isascii() or not shown.isprintable():
-            shown = shown.encode().decode("latin-1").translate(self.shown)
+            shown = codecs.charmap_decode(shown.encode(), "strict", self.shown)[0]
         ids = np.array(self.inner.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
         ends, flat, at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes(), 0
         for part, end in zip(new, ends, strict=True):
