@@ -9,9 +9,12 @@ fingerprints is computed once; by the triangle inequality a pair whose largest
 coordinate difference exceeds d can't be within d bits and is discarded; what
 survives is verified on the fingerprints themselves.
 
-Beyond the distance that the blocks find exactly, pairs can be taken too where a bucket
-has them; a second fingerprint, of other features, then confirms a pair, so that chance
-doesn't link texts of one language however large the corpus is.
+At wider distances so many combinations would be needed that few bits were left in each.
+There a block alone makes the buckets, with at most two differing bits: of d bits that fall
+into d/3 blocks, some block has two or fewer. A fingerprint goes to the bucket of the block
+and to those of the block with any one bit flipped, so two that are two bits apart meet.
+A second fingerprint, of other features, confirms a pair, so that chance doesn't link texts
+of one language however large the corpus is.
 
 Only distinct fingerprints meet in buckets: exact copies are collapsed first by a
 grouped minimum. A bucket emits a spanning forest of its links, not its pairs. A bucket
@@ -39,6 +42,8 @@ SEED = 42
 SHINGLE_BLOCK = 1 << 16
 #: Fingerprints of a bucket that one task takes at once.
 BUCKET_ROWS = 1 << 16
+#: Buckets up to this size are compared many at a time, row against row; larger ones each by itself.
+TOGETHER = 2048
 
 
 def fingerprint(text: bytes, shingle_words: int = 4, distinct: bool = False) -> int:
@@ -91,6 +96,14 @@ def block_masks(distance: int, kept: int = 3) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
+def flip_masks(distance: int) -> tuple[list[int], list[list[int]]]:
+    """Masks of so few blocks that one has two differing bits at most, and for each its bits, all as signed longs."""
+    n = (distance + 3) // 3
+    edges = [BITS * i // n for i in range(n + 1)]
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    return [signed(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:])], [[signed(1 << i) for i in range(a, b)] for a, b in zip(edges, edges[1:])]
+
+
 def _near(x: int, y: int, coords: np.ndarray, fps: np.ndarray, seconds: np.ndarray, table: np.ndarray, distance: int, confirm: int) -> np.ndarray:
     """Indices of the fingerprints near to x and, by the second ones, to y; coords are the pivot distances of x."""
     left = np.arange(len(fps))
@@ -144,11 +157,67 @@ def _links(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, fp2: np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, confirm: int, refs: np.ndarray, limit: int | None) -> Iterator[pa.RecordBatch]:
+def _here(choice: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether x and y, which meet in a bucket of flip_masks, are to be linked in this one of all in which they meet."""
+    apart = x ^ y
+    there = np.ones(len(x), bool)
+    for i, m in enumerate(masks[:-1]):
+        there &= (choice <= i) | (np.bitwise_count(apart & m) > 2)
+    m = masks[choice]
+    low = apart & m
+    low &= ~low + np.uint64(1)  # a pair two bits apart meets where either has the other's lower bit, or its higher one
+    return there & (key == np.minimum((x & m) ^ low, (y & m) ^ low))
+
+
+def _links_together(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, distance: int, confirm: int, refs: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _links, for buckets of flip_masks; of those up to TOGETHER rows, a pair is linked in one of the buckets in which it meets.
+
+    Every row is held against the next one of its bucket, the next but one and so on; all
+    buckets, the largest first, take such a step at once. One with as many links as rows
+    gives their forest.
+    """
+    starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
+    sizes = np.diff(np.r_[starts, len(key)])
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 1)]
+    starts, sizes = starts[order], sizes[order]
+    large = np.count_nonzero(sizes > TOGETHER)
+    ends = np.cumsum(sizes)
+    rows = np.repeat(starts - (ends - sizes), sizes) + np.arange(sizes.sum())
+    choice, key, fp, fp2, node = choice[rows], key[rows].view(np.uint64), fp[rows], fp2[rows], node[rows]
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    table = np.stack([np.bitwise_count(fp ^ p).astype(np.int8) for p in refs])
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first = ends[large - 1] if large else 0
+    for step in range(1, sizes[large] if large < len(sizes) else 1):
+        last = ends[np.count_nonzero(sizes > step) - 1]
+        near = bucket[first : last - step] == bucket[first + step : last]
+        for coords in table:
+            near &= np.abs(coords[first : last - step] - coords[first + step : last]) <= distance
+        at = first + np.flatnonzero(near)
+        at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
+        at = at[np.bitwise_count(fp2[at] ^ fp2[at + step]) <= confirm]
+        at = at[_here(choice[at], key[at], fp[at], fp[at + step], masks)]
+        x.append(at)
+        y.append(at + step)
+    x, y = np.concatenate(x), np.concatenate(y)
+    dense = np.bincount(bucket[x], minlength=len(sizes)) >= sizes
+    dense[:large] = True
+    few = ~dense[bucket[x]]
+    a, b = [node[x[few]]], [node[y[few]]]
+    for s, n in zip((ends - sizes)[dense], sizes[dense]):
+        if pairs := forest(fp[s : s + n], fp2[s : s + n], table[:, s : s + n].T, distance, confirm):
+            left, right = np.array(pairs).T
+            a.append(node[s + left])
+            b.append(node[s + right])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, confirm: int, refs: np.ndarray, limit: int | None, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a bucket may span batches. One of more than limit rows gives its key and size instead of links."""
 
     def linked(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        a, b = _links(*(np.concatenate(x) for x in zip(*held)), distance, confirm, refs)
+        cols = [np.concatenate(x) for x in zip(*held)]
+        a, b = _links(*cols, distance, confirm, refs) if masks is None else _links_together(*cols, distance, confirm, refs, masks)
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], ["a", "b", "choice", "key", "size"])
 
@@ -189,37 +258,44 @@ def _solve_buckets(batches: Iterator[pa.RecordBatch], distance: int, confirm: in
         yield put_off(*now, size)
 
 
-def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16, bucket_rows: int = BUCKET_ROWS, exact: int | None = None, confirm: int = BITS) -> DataFrame:
+def fingerprint_links(reps: DataFrame, distance: int = 4, n_pivots: int = 16, bucket_rows: int = BUCKET_ROWS, confirm: int = BITS, flips: bool = False) -> DataFrame:
     """Links (a, b) between node ids whose fingerprints differ in at most distance bits.
 
     reps has distinct fp and their node, and fp2 where a link needs second fingerprints
-    within `confirm` bits too. The links form spanning forests of buckets. All links of
-    up to `exact` bits (distance, if not given) are in a bucket, so together they
-    connect what these connect; of wider ones those that share three blocks. fp and node
-    are never null; no rows give no links.
+    within `confirm` bits too. All such links are in a bucket and each bucket gives a
+    spanning forest of its links, or those that no other one gives; so together they
+    connect what all links connect. Buckets are combinations of three blocks, or with
+    `flips` blocks with a bit flipped, which suits wide distances. fp and node are never
+    null; no rows give no links.
     """
     refs = pivots(n_pivots)
     schema = "a long, b long, choice long, key long, size long"
     if "fp2" not in reps.columns:
         reps = reps.withColumn("fp2", F.lit(0).cast("long"))
-    masks = block_masks(distance if exact is None else exact)
-    choices = F.array(*(F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
+    if flips:
+        blocks, bits = flip_masks(distance)
+        masks = np.array(blocks, np.int64).view(np.uint64)
+        keys = [(i, F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(bit))) for i, m in enumerate(blocks) for bit in [0, *bits[i]]]
+    else:
+        masks = None
+        keys = [(i, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(distance))]
+    choices = F.array(*(F.struct(F.lit(i).cast("long").alias("choice"), key.cast("long").alias("key")) for i, key in keys))
     keyed = reps.select("fp", "fp2", "node", F.explode(choices).alias("k")).select("k.choice", "k.key", "fp", "fp2", "node")
     dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
-    solved = stash(dealt.mapInArrow(lambda it: _solve_buckets(it, distance, confirm, refs, bucket_rows), schema), "simhash-links")
+    solved = stash(dealt.mapInArrow(lambda it: _solve_buckets(it, distance, confirm, refs, bucket_rows, masks), schema), "simhash-links")
     links = solved.where("a is not null").select("a", "b")
     large = solved.where("a is null").select("choice", "key", "size")
     if not large.isEmpty():
-        blocks = F.ceil(F.col("size") / bucket_rows)
-        own = F.pmod(F.xxhash64("fp", "fp2"), blocks)
-        rows = keyed.join(large, ["choice", "key"]).select("choice", "key", "fp", "fp2", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        parts = F.ceil(F.col("size") / bucket_rows)
+        own = F.pmod(F.xxhash64("fp", "fp2"), parts)
+        rows = keyed.join(large, ["choice", "key"]).select("choice", "key", "fp", "fp2", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
         pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         rows = rows.select("choice", pair.alias("key"), "fp", "fp2", "node").repartition("choice", "key").sortWithinPartitions("choice", "key")
         links = links.unionByName(rows.mapInArrow(lambda it: _solve_buckets(it, distance, confirm, refs, None), schema).select("a", "b"))
     return links.distinct()
 
 
-def _grouped(signed: DataFrame, **how: int | None) -> DataFrame:
+def _grouped(signed: DataFrame, **how: int) -> DataFrame:
     """(doc_id, fp, fp2, component_id) of fingerprints; equal ones count as one, of which no hot one is shuffled."""
     reps = stash(signed.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     groups = connected_components(fingerprint_links(reps.where("node is not null").select("fp", "fp2", "node"), **how))
@@ -241,14 +317,13 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, distance: int = 8, confirm: int = 12, exact: int = 4, n_pivots: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, distance: int = 8, confirm: int = 12, n_pivots: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row of docs, for texts that are edited copies of each other.
 
     Texts link if the fingerprints of their distinct words differ in at most distance
     bits and those of their distinct word pairs in at most confirm. Copies that share
-    0.8 of their five-word shingles differ in up to 8 and 10 bits. Links of up to
-    `exact` bits are all found, wider ones where they share three of the blocks. Odd
-    rows are as in near_duplicate_groups.
+    0.8 of their five-word shingles differ in up to 8 and 10 bits. All such links are
+    found. Odd rows are as in near_duplicate_groups.
     """
     signed = stash(fingerprints(docs, 1, id_col, text_col, distinct=True, confirm_words=2), "simhash")
-    return _grouped(signed, distance=distance, n_pivots=n_pivots, exact=exact, confirm=confirm).select("doc_id", "component_id")
+    return _grouped(signed, distance=distance, n_pivots=n_pivots, confirm=confirm, flips=True).select("doc_id", "component_id")

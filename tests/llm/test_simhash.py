@@ -123,6 +123,59 @@ def test_near_copies_against_all_pairs(spark):
     assert all(found[b * 10 + c] // 10 == b for b in range(30) for c in range(6)) and found[5001] == 5000
 
 
+def test_wide_links_are_all_found(spark):
+    """Fingerprints 5 to 8 bits apart that share no three of seven blocks, in small and in dense buckets."""
+    r = np.random.default_rng(6)
+    nodes = [(int(x), int(y)) for x, y in r.integers(-(2**63), 2**63, (300, 2))]
+    for x, y in list(nodes[:200]):
+        for n in (5, 6, 7, 8, 9):
+            spread = [9 * int(i) + int(r.integers(0, 9)) for i in r.permutation(7)[:n]] + [63] * (n > 7) + [62] * (n > 8)
+            far = [int(i) for i in r.choice(64, int(r.integers(0, 14)), replace=False)]
+            flipped = [v ^ sum(1 << i for i in set(bits)) % 2**64 if v >= 0 else (v + 2**64) ^ sum(1 << i for i in set(bits)) for v, bits in ((x, spread), (y, far))]
+            nodes.append(tuple(v - 2**64 if v >= 2**63 else v for v in flipped))
+    x, y = nodes[250]
+    nodes += [(x ^ (1 << i) ^ (1 << j), y) for i in range(12) for j in range(i)]
+    nodes = list(dict.fromkeys(nodes))
+    fps = np.array(nodes, np.int64).view(np.uint64)
+    near = (np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]) <= 8) & (np.bitwise_count(fps[:, None, 1] ^ fps[None, :, 1]) <= 12)
+    every = [(int(a), int(b)) for a, b in np.argwhere(near) if a < b]
+    whole = plain_components(every, range(len(nodes)))
+    reps = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(nodes)], "fp long, fp2 long, node long")
+    for bucket_rows in (simhash.BUCKET_ROWS, 20):
+        links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(reps, distance=8, confirm=12, flips=True, bucket_rows=bucket_rows).collect()]
+        assert all(near[a, b] for a, b in links) and len(links) < len(every)
+        assert plain_components(links, range(len(nodes))) == whole
+
+
+def test_large_buckets_of_flips(monkeypatch):
+    """Compared together or each by itself, buckets connect the same."""
+    r = np.random.default_rng(7)
+    fp = r.integers(0, 2**63, 400).astype(np.uint64)
+    for i in range(100, 400):
+        fp[i] = fp[i % 100] ^ np.uint64(sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 9)), replace=False)))
+    fp = np.unique(fp)
+    masks = np.array(simhash.flip_masks(8)[0], np.int64).view(np.uint64)
+    rows = sorted((c, int((fp[i] & masks[c]) ^ np.uint64(bit % 2**64)), i) for i in range(len(fp)) for c, bits in enumerate(simhash.flip_masks(8)[1]) for bit in [0, *bits])
+    node = np.array([i for _, _, i in rows])
+    args = np.array([c for c, _, _ in rows]), np.array([k for _, k, _ in rows], np.uint64).view(np.int64), fp[node], np.zeros(len(node), np.uint64), node, 8, 64, simhash.pivots(16), masks
+    every = [(int(a), int(b)) for a, b in np.argwhere(np.bitwise_count(fp[:, None] ^ fp) <= 8) if a < b]
+    want = plain_components(every, range(len(fp)))
+    for together in (2048, 3, 1):
+        monkeypatch.setattr(simhash, "TOGETHER", together)
+        a, b = simhash._links_together(*args)
+        assert plain_components(zip(a.tolist(), b.tolist()), range(len(fp))) == want
+        assert len(set(zip(a.tolist(), b.tolist()))) <= len(every)
+
+
+def test_near_copies_link_as_all_pairs_do(spark):
+    rows = edited()
+    fps = {d: (plain_distinct(t, 1), plain_distinct(t, 2)) for d, t in rows}
+    ids = sorted(fps)
+    near = lambda a, b: (fps[a][0] ^ fps[b][0]).bit_count() <= 8 and (fps[a][1] ^ fps[b][1]).bit_count() <= 12
+    want = plain_components([(a, b) for a in ids for b in ids if a < b and near(a, b)], ids)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, rows)).collect()} == want
+
+
 def test_pivots_never_discard_a_near_pair():
     refs = simhash.pivots(16)
     r = np.random.default_rng(2)
