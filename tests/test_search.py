@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,30 @@ def test_rows_are_fetched_by_their_partitions(index):
     assert "dynamicpruning" in next(line for line in plan.splitlines() if "/rows" in line)
 
 
+def test_only_fetched_rows_are_folded(index):
+    plan = index.search("spring")._jdf.queryExecution().optimizedPlan().toString()
+    folding = [line for line in plan.splitlines() if "translate(" in line]
+    assert folding and all("Join" in line for line in folding)
+
+
+def test_postings_are_lists_of_keys(rows, index):
+    """As few records as grams, for some thousand rows; they say what a scan says."""
+    postings = index._table("postings")
+    assert postings.groupBy("gram", "field").count().where("count > 4").isEmpty() and postings.where("n <> size(keys)").isEmpty()
+    found = {(r["key"], r["field"], r["gram"]) for r in postings.select(F.explode("keys").alias("key"), "field", "gram").collect()}
+    folded = rows.select("id", *(tx.fold(F.col(c)).alias(c) for c in "ab")).collect()
+    assert found == {(r["id"], i, r[c][k : k + 3]) for r in folded for i, c in enumerate("ab") for k in range(len(r[c]) - 2)}
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 7, 1 << 20])
+def test_grams_of_texts_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(search, "PIECE", piece)
+    for texts in ([], [""], ["", "ab"], ["abc"], ["", "abcabc", "", "a", "xbcab\0", "\U0001f600bc\U0001f600bc", ""], ["ab", "cd", "abcd", "bcd"]):
+        spelt, n, at = search.grams(pa.array(texts, pa.string()))
+        want = {(t[k : k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+        assert len(spelt) == len(set(spelt)) and len(at) == len(want) and set(zip(np.repeat(np.array(spelt, object), n), at.tolist())) == want
+
+
 def test_the_rarest_grams_come_first(rows, index):
     wanted = search.pattern_grams("spring")
     assert wanted == ["spr", "pri", "rin", "ing"]
