@@ -51,3 +51,64 @@ def test_odd_rows(spark):
     docs = documents(spark, [*ODD, (9, "a b c d e f g h")]).withColumn("high", F.lit(1)).withColumn("kept", F.lit(2))
     assert {(r["doc_id"], r["kept_doc_id"]) for r in substring_dedup.repeated_units(docs, min_words=5).collect()} == {(9, 4)}
     assert substring_dedup.repeated_units(docs.limit(0)).collect() == []
+
+
+def plain_stretches(rows, k):
+    """Brute force over all runs of k words: (doc_id, start, end, kept_doc_id); of equal texts the first is kept."""
+    equal = {}
+    for d, t in sorted(rows):
+        equal.setdefault(tuple(t.lower().split()), d)
+    runs = {d: [(tuple(t.lower().split()[i : i + k]), i) for i in range(len(t.split()) - k + 1)] for d, t in rows}
+    first = {}
+    for d in sorted(runs):
+        for run, _ in runs[d]:
+            first.setdefault(run, d)
+    out = set()
+    for d, t in rows:
+        spans = [m.span() for m in substring_dedup.WORD.finditer(t)]
+        open_at = None
+        for run, i in [*((r, i) for r, i in runs[d] if first[r] < d), (None, None)]:
+            if open_at is not None and (i is None or i - last > k):
+                like = equal[tuple(t.lower().split())]
+                out.add((d, spans[open_at][0], spans[last + k - 1][1], like if like < d else kept))
+                open_at = None
+            if i is not None:
+                open_at, kept = (i, first[run]) if open_at is None else (open_at, min(kept, first[run]))
+                last = i
+    return out
+
+
+def test_passages_without_regard_to_lines_and_sentences(spark):
+    """Short sentences, and pieces cut within lines, are no repeated units; as passages they are found."""
+    short = ". ".join(" ".join(prose(900 + i, 5).rstrip(".").split()) for i in range(12))
+    rows = [(1, f"{prose(1, 30)} {short}. {prose(2, 30)}"), (2, f"{prose(3, 20)} {short.upper()}. {prose(4, 20)}"), (3, prose(5, 80))]
+    docs = documents(spark, rows)
+    assert substring_dedup.repeated_units(docs).collect() == []
+    (found,) = substring_dedup.repeated_passages(docs).collect()
+    assert (found["doc_id"], found["kept_doc_id"]) == (2, 1)
+    text = dict(rows)[2][found["start"] : found["end"]]
+    assert short.upper() in text and len(text.split()) - len(short.split()) <= 1
+
+
+def test_passages_equal_brute_force(spark):
+    import random
+
+    r, source = random.Random(5), [prose(i, 150).split() for i in range(6)]
+    rows = []
+    for i in range(60):
+        words = prose(100 + i, r.randint(0, 60)).split()
+        for _ in range(r.randint(0, 3)):
+            other, at = r.choice(source), r.randint(0, 120)
+            words += other[at : at + r.randint(3, 40)] + prose(r.randint(1, 10**6), r.randint(0, 9)).split()
+        rows.append((i, "".join(w + r.choice([" ", "\n", "  "]) for w in (x.upper() if r.random() < 0.2 else x for x in words))))
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)] + [(200, "\u0130 b c " * 20), (201, "x \u0130 b c" + " \u0130 b c" * 9), (202, "and " * 40), (203, "so " + "and " * 30)]
+    for k in (1, 2, 7, 12):
+        found = [tuple(x) for x in substring_dedup.repeated_passages(documents(spark, rows), run_words=k).collect()]
+        assert len(found) == len(set(found)) and set(found) == plain_stretches(rows, k), k
+        assert found
+
+
+def test_passages_of_odd_rows(spark):
+    docs = documents(spark, [*ODD, (9, "A b c d e f g h")]).withColumn("marks", F.lit(1)).withColumn("kept_doc_id", F.lit(2))
+    assert [tuple(r) for r in substring_dedup.repeated_passages(docs, run_words=5).collect()] == [(9, 0, 15, 4)]
+    assert substring_dedup.repeated_passages(docs.limit(0)).collect() == []
