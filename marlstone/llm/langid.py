@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fold_of, text_slices
+from marlstone.llm.common import fold_of, let_go, text_slices
 
 ORDER = 4
 START = 1
@@ -33,6 +33,8 @@ BLANK = 32
 UNDETERMINED = "und"
 #: Texts go through in parts of so many characters.
 PART = 1 << 20
+#: Bytes of text, and runs, that a task works on at a time: each takes some 50 bytes more meanwhile.
+SLICE = 1 << 18
 #: A language keeps runs that are met at least the square root of its volume, by this, times.
 KEEP = 1 << 12
 #: Bytes of the runs of one order that may go to the driver and to every task.
@@ -81,6 +83,7 @@ def run_counts(rows: DataFrame) -> DataFrame:
     """(lang, run, n) over all rows of (lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: dict[str, list] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -89,7 +92,7 @@ def run_counts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "run", "n"])
             held.clear()
 
-        for part in text_slices(batches, rows=2048):
+        for part in text_slices(batches, size=SLICE):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
@@ -97,7 +100,7 @@ def run_counts(rows: DataFrame) -> DataFrame:
                 keys, n = np.unique(runs(texts)[0], return_counts=True)
                 parts = held.setdefault(lang, [])
                 parts.append((keys, n))
-                if len(parts) >= 8:
+                if sum(len(k) for k, _ in parts[1:]) > max(SLICE, len(parts[0][0])):
                     parts[:] = [_merged(parts)]
             if sum(len(k) for parts in held.values() for k, _ in parts) > 4_000_000:
                 yield from out()
@@ -149,9 +152,9 @@ class Model:
         keys, owner = runs(texts)
         n = np.bincount(owner, minlength=len(texts))
         total = np.zeros((len(texts), len(self.langs)))
-        for a in range(0, len(keys), PART):
-            logs = self.log_probs(keys[a : a + PART])
-            own = owner[a : a + PART]
+        for a in range(0, len(keys), SLICE):
+            logs = self.log_probs(keys[a : a + SLICE])
+            own = owner[a : a + SLICE]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             total[own[starts]] -= np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
         return total / np.maximum(n, 1)[:, None], n
@@ -273,8 +276,9 @@ def calibrate(model: Model, rows: DataFrame, quantile: float = 0.995, times: flo
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
-        for part in text_slices(batches):
+        for part in text_slices(batches, size=SLICE):
             langs = part.column("lang").to_pylist()
             bits, n = m.entropies(part.column("text").to_pylist())
             rows = [(g, int(c), float(bits[i, m.langs.index(g)])) for i, (g, c) in enumerate(zip(langs, length_class(n))) if n[i] and g in m.langs]
@@ -311,8 +315,9 @@ def predict(docs: DataFrame, model: Model | None, accept: float = 0.5, id_col: s
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
-        for part in text_slices(batches, text=source):
+        for part in text_slices(batches, text=source, size=SLICE):
             texts = [t or "" for t in part.column(source).to_pylist()]
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if m:

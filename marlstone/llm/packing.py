@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stash, text_slices, utf8
+from marlstone.llm.common import kept_by_worker, stash, text_slices, utf8
 
+#: Words and parts that a worker's tables hold, at most; each takes some 250 bytes.
 CACHED_WORDS = 750_000
-_encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -118,18 +118,20 @@ class WordEncoder:
 
 
 def encoder(tokenizer: str) -> WordEncoder:
-    """One per worker process. tokenizer: a file's path, or the name of an installed public one."""
+    """One per worker process, until another operator's task lets it go. tokenizer: a file's path, or the name of an installed public one."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if tokenizer not in _encoders:
+
+    def load() -> WordEncoder:
         path = tokenizer
         if "/" not in tokenizer:
             import public_tokenizers
 
             path = str(public_tokenizers.path(tokenizer))
-        _encoders[tokenizer] = WordEncoder(path)
-    return _encoders[tokenizer]
+        return WordEncoder(path)
+
+    return kept_by_worker(f"encoder {tokenizer}", load)
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import ODD, documents
+from helpers import ODD, documents, prose
 from marlstone.llm import langid
 
 SF = "/root/testdata/sf0.01"
@@ -175,3 +175,42 @@ def test_odd_rows(spark):
     assert langid.identify(docs.limit(0)).collect() == []
     nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_tasks_take_little_memory():
+    """Counting and scoring 4 MB of short texts, and the tables another operator left in the worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marlstone.llm import common, packing
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, f, _):
+            self.f = f
+            raise StopIteration
+
+    frame = Frame()
+    with pytest.raises(StopIteration):
+        langid.run_counts(frame)
+    texts = [prose(i, 40) * 12 for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    packing.encoder("word_bpe_49k.json")
+    assert common._kept
+    langid.symbols()
+    tracemalloc.start()
+    found = list(frame.f(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not common._kept and most < 40 << 20
+    keys, n = np.unique(langid.runs(texts)[0], return_counts=True)
+    whole = {}
+    for part in found:
+        for k, c in zip(part.column("run").to_pylist(), part.column("n").to_pylist()):
+            whole[k] = whole.get(k, 0) + c
+    assert whole == dict(zip(keys.view(np.int64).tolist(), n.tolist()))
